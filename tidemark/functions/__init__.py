@@ -1,4 +1,5 @@
 """Column functions: text, time, vectors, ranking and labels."""
+from .binding import let
 from .labels import branch_list, fusion_label, memory_label, present_label
 from .ranking import joint_top_k, top_k
 from .text import config_name, config_seed, format_mean_sd, is_safe_id, parse_bool, video_number

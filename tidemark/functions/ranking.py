@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .text import _col
 
 
@@ -25,11 +26,13 @@ def joint_top_k(p_verb, p_noun, k: int = 5, search: int = 10, num_nouns: int = 3
     ``k`` nouns, so looking at ``search >= k`` of each is exact."""
     if search < k:
         raise ValueError("search must be at least k")
-    verbs, nouns = ranked_pairs(p_verb, search), ranked_pairs(p_noun, search)
-    pairs = F.flatten(F.transform(verbs, lambda v: F.transform(nouns, lambda n: F.struct(
-        (-(v["neg"] * n["neg"])).alias("neg"),
-        (v["id"].cast("long") * num_nouns + n["id"]).alias("id")))))
-    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: s["id"])
+    def pairs(nouns):
+        return F.flatten(F.transform(ranked_pairs(p_verb, search), lambda v: F.transform(nouns, lambda n: F.struct(
+            (-(v["neg"] * n["neg"])).alias("neg"),
+            (v["id"].cast("long") * num_nouns + n["id"]).alias("id")))))
+
+    best = let(ranked_pairs(p_noun, search), lambda nouns: F.slice(F.array_sort(pairs(nouns)), 1, k))
+    return F.transform(best, lambda s: s["id"])
 
 
 def joint_hit(p_verb, p_noun, verb, noun, k: int = 5, num_nouns: int = 300) -> Column:
@@ -41,16 +44,16 @@ def joint_hit_ranked(verbs: Column, nouns: Column, verb, noun, k: int = 5) -> Co
     """``joint_hit`` on ranked pairs: the label must be in both lists, with fewer than ``k`` pairs
     ahead of it (larger product, or equal product and lower id)."""
     verb, noun = _col(verb), _col(noun)
-    mine_v = F.filter(verbs, lambda s: s["id"] == verb)[0]["neg"]
-    mine_n = F.filter(nouns, lambda s: s["id"] == noun)[0]["neg"]
-    mine = mine_v * mine_n
-
-    def ahead_in_row(v):
-        def ahead(n):
-            score = v["neg"] * n["neg"]
-            lower = (v["id"] < verb) | ((v["id"] == verb) & (n["id"] < noun))
-            return (score > mine) | ((score == mine) & lower)
-        return F.size(F.filter(nouns, ahead))
-
-    ahead = F.aggregate(verbs, F.lit(0), lambda acc, v: acc + ahead_in_row(v))
-    return F.when(mine.isNull(), F.lit(False)).otherwise(ahead < k)
+    mine_v = F.get(F.filter(verbs, lambda s: s["id"] == verb), F.lit(0))["neg"]
+    mine_n = F.get(F.filter(nouns, lambda s: s["id"] == noun), F.lit(0))["neg"]
+
+    def count(mine):
+        def row(v):
+            def ahead(n):
+                score = v["neg"] * n["neg"]
+                lower = (v["id"] < verb) | ((v["id"] == verb) & (n["id"] < noun))
+                return (score > mine) | ((score == mine) & lower)
+            return F.size(F.filter(nouns, ahead))
+        return F.when(mine.isNull(), F.lit(False)).otherwise(F.aggregate(verbs, F.lit(0), lambda acc, v: acc + row(v)) < k)
+
+    return let(mine_v * mine_n, count)

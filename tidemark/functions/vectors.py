@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .text import _col
 
 
@@ -24,8 +25,7 @@ def norm(v) -> Column:
 
 def normalize(v, eps: float = 1e-12) -> Column:
     """Unit vector; a zero vector stays zero."""
-    length = F.greatest(norm(v), F.lit(eps))
-    return F.transform(_doubles(v), lambda x: x / length)
+    return let(F.greatest(norm(v), F.lit(eps)), lambda length: F.transform(_doubles(v), lambda x: x / length))
 
 
 def cosine(a, b, eps: float = 1e-8) -> Column:
@@ -34,11 +34,13 @@ def cosine(a, b, eps: float = 1e-8) -> Column:
 
 def softmax(z) -> Column:
     """Shifted by the maximum so large scores cannot overflow."""
-    z = _doubles(z)
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - top))
-    total = _sum(e)
-    return F.transform(e, lambda x: x / total)
+    def shares(e):
+        return let(_sum(e), lambda total: F.transform(e, lambda x: x / total))
+
+    def shifted(z):
+        return let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp(x - top)), shares))
+
+    return let(_doubles(z), shifted)
 
 
 def adjust(logits, log_prior, tau: float = 0.0, temperature: float = 1.0) -> Column:
@@ -65,7 +67,7 @@ def mask_vector(v, keep) -> Column:
 
 
 def gate_mix(h, e, g) -> Column:
-    """Element-wise ``g * h + (1 - g) * e`` for a scalar or vector gate in [0, 1]."""
+    """Element-wise ``g * h + (1 - g) * e`` for a vector gate in [0, 1]."""
     h, e, g = _doubles(h), _doubles(e), _col(g)
     pairs = F.arrays_zip(h.alias("h"), e.alias("e"))
     return F.zip_with(pairs, g.cast("array<double>"),
@@ -75,9 +77,9 @@ def gate_mix(h, e, g) -> Column:
 def mean_vector(tokens) -> Column:
     """Element-wise mean of an array of equally long vectors."""
     t = _col(tokens).cast("array<array<double>>")
-    total = F.aggregate(t, F.transform(t[0], lambda x: F.lit(0.0)),
+    total = F.aggregate(t, F.transform(F.get(t, F.lit(0)), lambda x: F.lit(0.0)),
                         lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    return F.transform(total, lambda x: x / F.size(t))
+    return let(F.size(t), lambda n: F.transform(total, lambda x: x / n))
 
 
 def named_slice(packed, layout: dict[str, tuple[int, int]], name: str) -> Column:

@@ -32,7 +32,7 @@ def rank_hits(scored: DataFrame, kind: str = "logits", num_nouns: int = 300, kee
                            joint_top_k("_pv", "_pn", k, search, num_nouns).alias("_ta"))
     truth = {"verb": F.col("_yv"), "noun": F.col("_yn"), "action": joint_id("_yv", "_yn", num_nouns)}
     tops = {"verb": "_tv", "noun": "_tn", "action": "_ta"}
-    rows = [F.struct(F.lit(f).alias("field"), truth[f].alias("y"), (F.col(tops[f])[0] == truth[f]).alias("hit1"),
+    rows = [F.struct(F.lit(f).alias("field"), truth[f].alias("y"), (F.get(tops[f], F.lit(0)) == truth[f]).alias("hit1"),
                      F.array_contains(F.col(tops[f]), truth[f]).alias("hit5")) for f in FIELDS]
     return ranked.select(*keep, F.explode(F.array(*rows)).alias("h")).select(*keep, "h.*")
 
@@ -78,7 +78,8 @@ def _masked(scored: DataFrame, masks: dict[str, dict[str, Column] | Column], kin
                                                               for f in FIELDS]).alias("in")) for name in masks]
     hits = hits.withColumn("_in", F.transform(F.filter(F.array(*own), lambda s: s["in"]), lambda s: s["subset"]))
     counts = class_hits(hits, ["_in"])
-    return counts.withColumn("subset", F.explode("_in"))
+    return (counts.withColumn("subset", F.explode("_in")).groupBy("subset", "field", "y")
+            .agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n5")]))
 
 
 def evaluate(scored: DataFrame, task: str, subsets: dict[str, Column] | None = None, kind: str = "logits",
@@ -135,7 +136,7 @@ def grid_search(scored: DataFrame, log_prior_verb: DataFrame, log_prior_noun: Da
     y = joint_id("verb", "noun", num_nouns)
     if task == "AR":
         def right(scores, prior, taus, truth):
-            return F.array(*[(ranked_pairs(adjust(scores, prior, t, temperature), 1)[0]["id"] == F.col(truth)) for t in taus])
+            return F.array(*[(F.get(ranked_pairs(adjust(scores, prior, t, temperature), 1), F.lit(0))["id"] == F.col(truth)) for t in taus])
         s = s.select(y.alias("y"), right("verb_output", "_lv", taus_v, "verb").alias("_v"),
                      right("noun_output", "_ln", taus_n, "noun").alias("_n"))
         cells = F.flatten(F.transform("_v", lambda a: F.transform(F.col("_n"), lambda b: a & b)))

@@ -5,9 +5,9 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import all_finite, dot, mask_vector, mean_vector, normalize
+from ..functions import all_finite, dot, let, mask_vector, mean_vector, normalize
 from ..session import with_scalar
 
 
@@ -98,26 +98,24 @@ def attend(steps: DataFrame, query: str, key: str, value: str, valid: str, heads
     g = steps.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("_x"))
 
     def weights(h):
-        top = F.array_max(F.transform("_x", lambda e: e["s"][h]))
-        e = F.transform("_x", lambda x: F.coalesce(F.exp(x["s"][h] - top), F.lit(0.0)))
-        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(e, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+        def shares(e):
+            total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+            return let(total, lambda t: F.transform(e, lambda x: F.when(t > 0, x / t).otherwise(F.lit(0.0))))
+
+        s = F.transform("_x", lambda e: e["s"][h])
+        return let(F.array_max(s), lambda top: let(
+            F.transform(s, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0))), shares))
 
     g = g.select(by, "_x", F.array(*[weights(h) for h in range(heads)]).alias("weights"))
-    dims = F.size(F.col("_x")[0]["v"])
+    dims = F.size(F.get("_x", F.lit(0))["v"])
 
-    def mixed(acc, z):
-        v, w = z["x"]["v"], z["w"]
-        return F.zip_with(acc, F.zip_with(v, w, lambda a, b: a * b), lambda a, b: a + b)
+    def mixed(h):
+        span = (dims / heads).cast("int")
+        zipped = F.zip_with("_x", F.col("weights")[h], lambda x, w: F.struct(x["v"].alias("v"), w.alias("w")))
+        add = lambda acc, z: F.zip_with(acc, F.slice(z["v"], span * h + 1, span), lambda a, b: a + z["w"] * b)
+        return F.aggregate(zipped, F.array_repeat(F.lit(0.0), span), add)
 
-    per_dim = F.flatten(F.transform("weights", lambda w: w))  # heads x steps, flattened
-    count = F.size("_x")
-    step_weights = F.transform(F.sequence(F.lit(0), count - 1), lambda s: F.transform(
-        F.sequence(F.lit(0), dims - 1),
-        lambda d: per_dim[(F.floor(d * heads / dims) * count + s).cast("int")]))
-    zipped = F.arrays_zip(F.col("_x").alias("x"), step_weights.alias("w"))
-    start = F.transform(F.col("_x")[0]["v"], lambda x: F.lit(0.0))
-    return g.select(by, F.aggregate(zipped, start, mixed).alias("attended"), "weights")
+    return g.select(by, F.concat(*[mixed(h) for h in range(heads)]).alias("attended"), "weights")
 
 
 def gate_fuse(df: DataFrame, branches: Sequence[str], scores: str, available: str) -> DataFrame:
@@ -130,8 +128,11 @@ def gate_fuse(df: DataFrame, branches: Sequence[str], scores: str, available: st
     e = [F.coalesce(F.exp(m - top), F.lit(0.0)) for m in masked]
     total = sum(e[1:], e[0])
     out = df.withColumn("gate_weights", F.array(*[F.when(total > 0, x / total).otherwise(F.lit(0.0)) for x in e]))
-    parts = [F.transform(mask_vector(b, F.col(available)[i]), lambda x, i=i: x * F.col("gate_weights")[i])
-             for i, b in enumerate(branches)]
+
+    def weighted(b, i):
+        return let(F.col("gate_weights")[i], lambda w: F.transform(mask_vector(b, F.col(available)[i]), lambda x: x * w))
+
+    parts = [weighted(b, i) for i, b in enumerate(branches)]
     fused = parts[0]
     for p in parts[1:]:
         fused = F.zip_with(fused, p, lambda a, b: a + b)
@@ -193,9 +194,10 @@ def retrieval_top1(queries: DataFrame, keys: DataFrame, vector: str = "vector",
         (F.floor((F.col("m") / (F.floor((F.col("n") - 1) / block) + 1) - 1) / block) + 1).cast("int").alias("qbs"))
     load = F.broadcast(load)  # one row per pivot
     left = (routed.join(load, "cell").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("qbs")).cast("int"))
-            .select("cell", "kb", "qb", "id", "q", "own"))
+            .select("cell", "kb", "qb", F.col("id").alias("qid"), "q", "own"))
     right = (kd.join(load, "cell").withColumn("kb", F.pmod(F.xxhash64("id"), F.col("kbs")).cast("int"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1))).select("cell", "kb", "qb", "id", "k"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+             .select("cell", "kb", "qb", F.col("id").alias("kid"), "k"))
     beaten = (left.groupBy("cell", "kb", "qb").cogroup(right.groupBy("cell", "kb", "qb"))
               .applyInPandas(_beaten, "id long").distinct().withColumn("_lost", F.lit(True)))
     judged = own.select("id").join(beaten, "id", "left")
@@ -212,7 +214,7 @@ def _beaten(queries, keys):
     if not len(queries) or not len(keys):
         return pd.DataFrame({"id": np.array([], dtype="int64")})
     qm, km = np.stack(queries["q"].to_numpy()), np.stack(keys["k"].to_numpy())
-    qi, ki = queries["id"].to_numpy(), keys["id"].to_numpy()
+    qi, ki = queries["qid"].to_numpy(), keys["kid"].to_numpy()
     sims, mine = qm @ km.T, queries["own"].to_numpy()[:, None]
     tied = np.abs(sims - mine) <= 1e-12
     beats = np.where(tied, ki[None, :] < qi[:, None], sims > mine)
@@ -233,7 +235,8 @@ def score_frozen(features: DataFrame, weights: dict, version: str, vector: str =
 
     w, b = np.asarray(weights["W"], dtype="float64"), np.asarray(weights["b"], dtype="float64")
     shared = features.sparkSession.sparkContext.broadcast((w, b))
-    schema = features.schema.add("scores", "array<double>").add("scorer_version", "string")
+    schema = T.StructType([*features.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType())),
+                           T.StructField("scorer_version", T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
