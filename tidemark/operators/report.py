@@ -26,9 +26,9 @@ def flat_scores(best_val: Column, breakdown: Column) -> list[Column]:
     for prefix in ("", "unseen_", "tail_"):
         spellings = [k for k, v in ALIASES.items() if v == prefix]
         for m in METRICS:
-            out.append(F.coalesce(*[F.try_element_at(F.try_element_at(best_val, F.lit(s)), F.lit(m)) for s in spellings]).alias(prefix + m))
+            out.append(F.coalesce(*[F.try_element_at(F.try_element_at(best_val, F.lit(s)), F.lit(m)).try_cast("double") for s in spellings]).alias(prefix + m))
     for group in ("unseen", "tail"):
-        out.append(F.try_element_at(F.try_element_at(breakdown, F.lit(group)), F.lit("action_mt5r")).alias(f"official_{group}_action_mt5r"))
+        out.append(F.try_element_at(F.try_element_at(breakdown, F.lit(group)), F.lit("action_mt5r")).try_cast("double").alias(f"official_{group}_action_mt5r"))
     return out
 
 

@@ -1,5 +1,5 @@
 """All registered queries."""
-from . import scoring_queries, split_queries, statistics_queries, temporal_queries  # noqa: F401
+from . import scoring_queries, split_queries, statistics_queries, stream_queries, temporal_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
