@@ -7,6 +7,7 @@ probe takes its match from one sorted pass over its bucket.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -17,12 +18,16 @@ from .skew import copy_rows, hot_groups, split_rows
 def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str, fact_time: str,
          payload: Sequence[str] = (), width: float = 64.0, lookback: float | None = None,
          direction: str = "backward", tie: str | None = None, strict: bool = False,
-         hot_rows: int | None = None) -> DataFrame:
+         hot_rows: int | None = None, load: tuple[DataFrame, str, float, int] | None = None) -> DataFrame:
     """Add ``before`` and / or ``after``: a struct ``(time, *payload)`` of the matched fact, or NULL.
 
     ``lookback`` (at most ``width``) says that facts further away are of no use; without it, matches
     may lie any number of buckets away. Facts at the same time: the largest ``tie`` wins looking
-    back, the smallest looking ahead. ``strict`` ignores facts at exactly the probe time."""
+    back, the smallest looking ahead. ``strict`` ignores facts at exactly the probe time.
+
+    Busy buckets are found by counting the probes, which runs their plan once more. ``load = (table,
+    time column, seconds, n)`` replaces that by a cheaper bound: every row of the table makes at most
+    ``n`` probes within ``seconds`` before its time."""
     if lookback is not None and lookback > width:
         raise ValueError("width must be at least lookback")
     by = list(by)
@@ -53,7 +58,7 @@ def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str
     else:
         f = f.unionByName(_carried(f, p, by, back, ahead), allowMissingColumns=True)
 
-    hot = hot_groups(p, group, hot_rows)
+    hot = hot_groups(p, group, hot_rows) if load is None else _busy(load, by, w, width, hot_rows)
     p = split_rows(p, hot, group, [c for c in original if c not in by])
     f = copy_rows(f, hot, group)
     probe_side, fact_side = (0, 1) if strict else (1, 0)
@@ -73,6 +78,14 @@ def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str
         name for name, on in (("before", back), ("after", ahead)) if on])
 
 
+def _busy(load, by: list[str], w, width: float, hot_rows: int | None) -> DataFrame:
+    table, time, seconds, n = load
+    reach = math.ceil(seconds / width)
+    counted = table.groupBy(*by, F.floor(F.col(time) / w).alias("_b")).agg((F.count(F.lit(1)) * n).alias("_w"))
+    spread = counted.select(*by, F.explode(F.sequence(F.col("_b") - reach, F.col("_b"))).alias("_b"), "_w")
+    return hot_groups(spread, by + ["_b"], hot_rows, F.col("_w"))
+
+
 def _carried(f: DataFrame, p: DataFrame, by: list[str], back: bool, ahead: bool) -> DataFrame:
     """For every bucket with probes, the nearest fact of an earlier (later) bucket as an extra fact.
 

@@ -9,31 +9,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import adjust, joint_id, joint_top_k, softmax, top_k
-from ..functions.ranking import joint_hit_ranked, ranked_pairs
+from ..functions import joint_id
+from .batches import grid_hits, ranker
 
 FIELDS = ("verb", "noun", "action")
 
 
+def ranked(scored: DataFrame, kind: str = "logits", num_nouns: int = 300, k: int = 5, search: int = 10) -> DataFrame:
+    """Add ``top_verbs``, ``top_nouns`` and ``top_actions``: the ``k`` best ids of each, best first."""
+    r = scored.withColumn("_top", ranker(kind, k, search, num_nouns)("verb_output", "noun_output"))
+    return r.select(*scored.columns, *[F.col(f"_top.{f}s").alias(f"top_{f}s") for f in FIELDS])
+
+
 def rank_hits(scored: DataFrame, kind: str = "logits", num_nouns: int = 300, keep: Sequence[str] = (),
               k: int = 5, search: int = 10) -> DataFrame:
     """Per event and field: the true class, whether it ranks first and whether it is in the top ``k``.
     Expects ``verb``, ``noun``, ``verb_output`` and ``noun_output``."""
-    if kind == "logits":
-        scored = scored.withColumn("_pv", softmax("verb_output")).withColumn("_pn", softmax("noun_output"))
-    elif kind == "probabilities":
-        scored = scored.withColumn("_pv", F.col("verb_output").cast("array<double>")) \
-            .withColumn("_pn", F.col("noun_output").cast("array<double>"))
-    else:
-        raise ValueError("kind is logits or probabilities")
+    rank = ranker(kind, k, search, num_nouns)
     ranked = scored.select(*keep, F.col("verb").cast("long").alias("_yv"), F.col("noun").cast("long").alias("_yn"),
-                           top_k("_pv", k).cast("array<bigint>").alias("_tv"),
-                           top_k("_pn", k).cast("array<bigint>").alias("_tn"),
-                           joint_top_k("_pv", "_pn", k, search, num_nouns).alias("_ta"))
+                           rank("verb_output", "noun_output").alias("_top"))
     truth = {"verb": F.col("_yv"), "noun": F.col("_yn"), "action": joint_id("_yv", "_yn", num_nouns)}
-    tops = {"verb": "_tv", "noun": "_tn", "action": "_ta"}
+    tops = {f: F.col(f"_top.{f}s").cast("array<bigint>") for f in FIELDS}
     rows = [F.struct(F.lit(f).alias("field"), truth[f].alias("y"), (F.get(tops[f], F.lit(0)) == truth[f]).alias("hit1"),
-                     F.array_contains(F.col(tops[f]), truth[f]).alias("hit5")) for f in FIELDS]
+                     F.array_contains(tops[f], truth[f]).alias("hit5")) for f in FIELDS]
     return ranked.select(*keep, F.explode(F.array(*rows)).alias("h")).select(*keep, "h.*")
 
 
@@ -125,30 +123,18 @@ def grid_search(scored: DataFrame, log_prior_verb: DataFrame, log_prior_noun: Da
     tau = 0). AR compares each axis' own maximum, STA the joint top five.
 
     Each axis is ranked once per tau and event; events with the same class and hit pattern are
-    counted together before the grid is expanded. The priors are one-row array tables."""
+    counted together before the grid is expanded. The priors are one-row array tables, read here."""
     _primary(task)
+    if not 0 < temperature < float("inf"):
+        raise ValueError("temperature must be positive")
     if mask is not None:
         scored = scored.where(mask)
-    lp = log_prior_verb.select(F.col("log_prior").alias("_lv")).join(
-        F.broadcast(log_prior_noun.select(F.col("log_prior").alias("_ln"))), F.lit(True))
-    s = scored.select(F.col("verb").cast("int").alias("verb"), F.col("noun").cast("int").alias("noun"),
-                      "verb_output", "noun_output").join(F.broadcast(lp), F.lit(True))
-    y = joint_id("verb", "noun", num_nouns)
-    if task == "AR":
-        def right(scores, prior, taus, truth):
-            return F.array(*[(F.get(ranked_pairs(adjust(scores, prior, t, temperature), 1), F.lit(0))["id"] == F.col(truth)) for t in taus])
-        s = s.select(y.alias("y"), right("verb_output", "_lv", taus_v, "verb").alias("_v"),
-                     right("noun_output", "_ln", taus_n, "noun").alias("_n"))
-        cells = F.flatten(F.transform("_v", lambda a: F.transform(F.col("_n"), lambda b: a & b)))
-        patterns = s.groupBy(cells.alias("cells")).agg(F.count(F.lit(1)).alias("n")).withColumn("y", F.lit(0).cast("long"))
-    else:
-        def ranked(scores, prior, taus):
-            return F.array(*[ranked_pairs(softmax(adjust(scores, prior, t, temperature)), 5) for t in taus])
-        s = s.select("verb", "noun", y.alias("y"), ranked("verb_output", "_lv", taus_v).alias("_v"),
-                     ranked("noun_output", "_ln", taus_n).alias("_n"))
-        cells = F.flatten(F.transform("_v", lambda a: F.transform(
-            F.col("_n"), lambda b: joint_hit_ranked(a, b, F.col("verb"), F.col("noun")))))
-        patterns = s.groupBy("y", cells.alias("cells")).agg(F.count(F.lit(1)).alias("n"))
+    # one row of class values each: bounded by the label space
+    log_v, log_n = log_prior_verb.first()["log_prior"], log_prior_noun.first()["log_prior"]
+    hits = grid_hits(task, list(taus_v), list(taus_n), log_v, log_n, float(temperature), num_nouns)
+    y = joint_id("verb", "noun", num_nouns) if task == "STA" else F.lit(0).cast("long")
+    patterns = (scored.select(y.alias("y"), hits("verb_output", "noun_output", "verb", "noun").alias("cells"))
+                .groupBy("y", "cells").agg(F.count(F.lit(1)).alias("n")))
     wide = len(taus_n)
     counts = (patterns.select("y", "n", F.posexplode("cells").alias("cell", "hit"))
               .groupBy("cell", "y").agg(F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("h"), F.sum("n").alias("n")))

@@ -11,13 +11,14 @@ MAX_HOT_GROUPS = 10_000
 HOT_ROWS = 1_000_000
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None, weight: Column | None = None) -> DataFrame:
     """Groups worth splitting, with the number of parts for each (``_parts``).
 
     A group is hot when it has more than ``rows`` rows and more than 1/10,000 of all rows, so there
-    are never more than 10,000 of them: the result is safe to broadcast whatever the input size."""
+    are never more than 10,000 of them: the result is safe to broadcast whatever the input size.
+    ``weight`` lets one row of ``df`` stand for several."""
     rows = HOT_ROWS if rows is None else rows
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
     limit = F.greatest(F.lit(rows), F.ceil(F.col("_total") / MAX_HOT_GROUPS))
     return (with_scalar(counts, total).withColumn("_limit", limit).where(F.col("_n") > F.col("_limit"))

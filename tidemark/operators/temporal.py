@@ -32,12 +32,13 @@ def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float =
     keep = source.columns
     probes = (source.select("*", taus.alias("_i", "tau"))
               .select(*keep, (F.col("_i") + 1).alias("k"), "tau", (F.col("tau") + eps).alias("_key")))
+    load = (events.select("video_id", (F.col("sta_cutoff") + eps).alias("_key")), "_key", span, steps)
     if limit is None:
         matched = asof(probes, bank, ["video_id"], "_key", "t_end_s", ["row"], width=span, tie="row",
-                       hot_rows=hot_rows)
+                       hot_rows=hot_rows, load=load)
     else:
         matched = asof(probes, bank, ["video_id"], "_key", "t_end_s", ["row"], width=max(span, limit + 4 * eps),
-                       lookback=limit + 4 * eps, tie="row", hot_rows=hot_rows)
+                       lookback=limit + 4 * eps, tie="row", hot_rows=hot_rows, load=load)
     used = F.col("before.time")
     ok = used.isNotNull() & (F.col("sta_cutoff") >= 0)
     if not allow_negative_tau:
@@ -89,9 +90,11 @@ def present_clip(history_rows: DataFrame, event_features: DataFrame, steps: int
 
 
 def next_action(steps: DataFrame, events: DataFrame, lo: float = 0.5, hi: float = 2.5, eps: float = EPS,
-                by: tuple[str, ...] = ("video_id",), hot_rows: int | None = None) -> DataFrame:
+                by: tuple[str, ...] = ("video_id",), hot_rows: int | None = None,
+                load: tuple[DataFrame, str, float, int] | None = None) -> DataFrame:
     """Label each valid step with the first labelled action starting in ``[tau + lo, tau + hi]``
-    (ties by start, then id); invalid steps and steps without such an action get NULL."""
+    (ties by start, then id); invalid steps and steps without such an action get NULL. ``load``
+    is a cheap bound on the number of steps per time, as in ``asof``."""
     if not lo < hi:
         raise ValueError("need lo < hi")
     span = hi - lo + 4 * eps
@@ -99,7 +102,7 @@ def next_action(steps: DataFrame, events: DataFrame, lo: float = 0.5, hi: float
     labelled = events.where(F.col("verb").isNotNull())
     m = asof(probes, labelled, list(by), "_from", "start", ["narration_id", "verb", "noun"],
              width=max(64.0, 16 * span), lookback=span, direction="forward", tie="narration_id",
-             hot_rows=hot_rows)
+             hot_rows=hot_rows, load=load)
     hit = F.col("valid") & (F.col("after.time") <= F.col("tau") + hi + eps)
     return m.select(*steps.columns, F.when(hit, F.col("after.verb")).alias("next_verb"),
                     F.when(hit, F.col("after.noun")).alias("next_noun"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import all_finite, dot, let, mask_vector, mean_vector, normalize
 from ..session import with_scalar
+from .batches import attention
 
 
 def mean_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -87,35 +88,12 @@ def attend(steps: DataFrame, query: str, key: str, value: str, valid: str, heads
     weights. Heads are equal consecutive ranges of the vectors.
 
     Steps of an event are few and fixed in number; each is scored before they are brought together."""
-    size = F.size(query)
-    width = (size / heads).cast("int")
-
-    def head(v, h):
-        return F.slice(F.col(v).cast("array<double>"), width * h + 1, width)
-
-    scores = F.array(*[F.when(F.col(valid), dot(head(query, h), head(key, h)) / F.sqrt(width)) for h in range(heads)])
-    item = F.struct(F.col(order).alias("k"), scores.alias("s"), mask_vector(value, valid).alias("v"))
-    g = steps.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("_x"))
-
-    def weights(h):
-        def shares(e):
-            total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-            return let(total, lambda t: F.transform(e, lambda x: F.when(t > 0, x / t).otherwise(F.lit(0.0))))
-
-        s = F.transform("_x", lambda e: e["s"][h])
-        return let(F.array_max(s), lambda top: let(
-            F.transform(s, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0))), shares))
-
-    g = g.select(by, "_x", F.array(*[weights(h) for h in range(heads)]).alias("weights"))
-    dims = F.size(F.get("_x", F.lit(0))["v"])
-
-    def mixed(h):
-        span = (dims / heads).cast("int")
-        zipped = F.zip_with("_x", F.col("weights")[h], lambda x, w: F.struct(x["v"].alias("v"), w.alias("w")))
-        add = lambda acc, z: F.zip_with(acc, F.slice(z["v"], span * h + 1, span), lambda a, b: a + z["w"] * b)
-        return F.aggregate(zipped, F.array_repeat(F.lit(0.0), span), add)
-
-    return g.select(by, F.concat(*[mixed(h) for h in range(heads)]).alias("attended"), "weights")
+    fields = [F.col(order).alias("k"), F.col(valid).alias("ok")]
+    fields += [F.col(key).alias("key")] if key != value else []
+    item = F.struct(*fields, F.col(value).alias("value"))
+    g = steps.groupBy(by).agg(F.first(query).alias("q"), F.array_sort(F.collect_list(item)).alias("steps"))
+    kind = dict(steps.dtypes)[by]
+    return g.mapInArrow(attention(heads), f"{by} {kind}, attended array<double>, weights array<array<double>>")
 
 
 def gate_fuse(df: DataFrame, branches: Sequence[str], scores: str, available: str) -> DataFrame:

@@ -5,8 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import (adjust, config_name, config_seed, cosine, format_mean_sd, gate_mix, half_even_count, is_safe_id,
-                         joint_id, joint_top_k, mask_vector, named_slice, normalize, parse_bool, softmax, split_joint_id,
-                         top_k, video_number)
+                         joint_id, mask_vector, named_slice, normalize, parse_bool, softmax, split_joint_id, video_number)
 from ..operators import checks as C, metrics as M, report as R, sampling as SA, stats as S, vectors as VX
 from ..session import with_scalar
 from . import views as V
@@ -36,13 +35,14 @@ def metric_columns(df, *keys):
 
 @query("k1_top_five", V.cte(*SCORED, RANKS) + """SELECT event_id, string_agg(n, ',' ORDER BY r) AS nouns FROM nr WHERE r <= 5 GROUP BY event_id""")
 def k1(spark, sf):
-    return V.scored(spark, sf).select("event_id", F.array_join(top_k(softmax("noun_output"), 5).cast("array<string>"), ",").alias("nouns"))
+    best = M.ranked(V.scored(spark, sf), num_nouns=V.NOUNS)
+    return best.select("event_id", F.array_join(F.col("top_nouns").cast("array<string>"), ",").alias("nouns"))
 
 
 @query("k2_joint_top_five", V.cte(*SCORED, RANKS) + """SELECT event_id, string_agg(a, ',' ORDER BY r) AS actions FROM ar WHERE r <= 5 GROUP BY event_id""")
 def k2(spark, sf):
-    best = joint_top_k(softmax("verb_output"), softmax("noun_output"), num_nouns=V.NOUNS)
-    return V.scored(spark, sf).select("event_id", F.array_join(best.cast("array<string>"), ",").alias("actions"))
+    best = M.ranked(V.scored(spark, sf), num_nouns=V.NOUNS)
+    return best.select("event_id", F.array_join(F.col("top_actions").cast("array<string>"), ",").alias("actions"))
 
 
 @query("m1_rank_metrics", V.cte(*SCORED, RANKS, HITS) + metric_sql("hits", "field"))

@@ -281,10 +281,10 @@ def w9(spark, sf):
 def step_vectors(spark, sf):
     """History steps with their clip vector (zeros where invalid)."""
     h = V.history_rows(spark, sf).select("narration_id", "k", "valid", "row")
-    e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = e.agg(F.count(F.lit(1)).alias("_vectors"))
     keyed = with_scalar(h, n).withColumn("vec_id", F.col("row") % F.col("_vectors"))
-    zeros = F.array_repeat(F.lit(0.0), 64)
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), 64)
     return keyed.join(e, "vec_id", "left").select("narration_id", "k", "valid", F.coalesce("vector", zeros).alias("vector"))
 
 

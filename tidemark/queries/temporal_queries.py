@@ -74,7 +74,9 @@ def j5(spark, sf):
     steps = T.history(split, V.bank(spark, sf), V.STEPS, V.STRIDE)
     # a grouped split never divides a video, so the subset follows from it
     side = split.select("video_id", "subset").distinct()
-    labelled = T.next_action(steps.join(side, "video_id"), split, 1800.0, 10800.0, by=("subset", "video_id"))
+    reach = (V.STEPS - 1) * V.STRIDE
+    load = (split.select("subset", "video_id", (F.col("sta_cutoff") + 1800.0).alias("_to")), "_to", reach, V.STEPS)
+    labelled = T.next_action(steps.join(side, "video_id"), split, 1800.0, 10800.0, by=("subset", "video_id"), load=load)
     return labelled.select("narration_id", F.col("k").cast("long").alias("k"),
                            *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("next_verb", "next_noun")])
 
