@@ -156,12 +156,16 @@ def latest_videos(events: DataFrame, fraction: float = 0.08, max_fraction: float
 def hybrid_split(events: DataFrame, unseen: Sequence[str] | None = None, unseen_fraction: float = 0.06,
                  seen_fraction: float = 0.08, seen_max_fraction: float = 0.15) -> DataFrame:
     """Unseen participants (given or chosen) plus the latest videos of everybody else."""
+    spark = events.sparkSession
     if unseen:
-        spark = events.sparkSession
         held = spark.createDataFrame([(p,) for p in sorted(set(unseen))], "participant_id string")
         enforce(missing_keys(held, events, "participant_id").select(
             F.lit("unknown_participant").alias("check"), F.col("participant_id").alias("id"), F.lit("").alias("detail")))
     else:
-        held = choose_unseen(events, unseen_fraction)
+        # at most three names, used twice below: decide them once
+        names = [r["participant_id"] for r in choose_unseen(events, unseen_fraction).collect()]
+        if not names:
+            raise ValueError("no participant combination reaches the target; name the unseen participants")
+        held = spark.createDataFrame([(n,) for n in names], "participant_id string")
     seen = latest_videos(events, seen_fraction, seen_max_fraction, held)
     return with_subset(events, held, seen)

@@ -14,24 +14,25 @@ BANK, EXACT = "bank", "exact"
 
 def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float = 1.0,
             tolerance: float | str | None = "stride", allow_negative_tau: bool = False, eps: float = EPS,
-            anchors: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+            anchors: DataFrame | None = None, keep: tuple[str, ...] = (), hot_rows: int | None = None) -> DataFrame:
     """One row per (event, k): the latest bank clip that ends at or before
     ``tau_k = cutoff - (steps - k) * stride``.
 
     A step is invalid (times NULL) when the cutoff or tau is negative, when no clip ends early
     enough, or when the nearest is older than ``tolerance`` (``"stride"`` by default, ``None`` for
     no limit; ``allow_negative_tau`` keeps steps before the video start). With ``anchors`` (event
-    features), an exact clip takes the last step. Only index columns travel; join vectors last."""
+    features), an exact clip takes the last step. Only index columns and the event columns named in
+    ``keep`` travel; join vectors last."""
     limit = float(stride) if tolerance == "stride" else tolerance
     span = steps * float(stride)
     taus = F.posexplode(step_times("sta_cutoff", steps, stride))
-    source = events.select("narration_id", "video_id", "sta_cutoff")
+    source = events.select("narration_id", "video_id", "sta_cutoff", *keep)
     if anchors is not None:
         exact = anchors.where(F.col("has_clip")).select("narration_id", F.col("row").alias("anchor_row"))
         source = source.join(exact, "narration_id", "left")
-    keep = source.columns
+    carried = source.columns
     probes = (source.select("*", taus.alias("_i", "tau"))
-              .select(*keep, (F.col("_i") + 1).alias("k"), "tau", (F.col("tau") + eps).alias("_key")))
+              .select(*carried, (F.col("_i") + 1).alias("k"), "tau", (F.col("tau") + eps).alias("_key")))
     load = (events.select("video_id", (F.col("sta_cutoff") + eps).alias("_key")), "_key", span, steps)
     if limit is None:
         matched = asof(probes, bank, ["video_id"], "_key", "t_end_s", ["row"], width=span, tie="row",
@@ -45,11 +46,11 @@ def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float =
         ok &= F.col("tau") >= 0
     if limit is not None:
         ok &= F.col("tau") - used <= limit + eps
-    out = matched.select("narration_id", "video_id", "sta_cutoff", "k", "tau", F.coalesce(ok, F.lit(False)).alias("valid"),
+    base = ["narration_id", "video_id", "sta_cutoff", *keep, "k", "tau"]
+    out = matched.select(*base, F.coalesce(ok, F.lit(False)).alias("valid"),
                          used.alias("_u"), F.col("before.row").alias("_r"),
                          *(["anchor_row"] if anchors is not None else []))
-    out = out.select("narration_id", "video_id", "sta_cutoff", "k", "tau",
-                     F.when(F.col("valid"), F.col("_u")).alias("used_time"),
+    out = out.select(*base, F.when(F.col("valid"), F.col("_u")).alias("used_time"),
                      F.when(F.col("valid"), F.col("_r")).alias("row"), "valid",
                      F.when(F.col("valid"), F.lit(BANK)).alias("source"),
                      *(["anchor_row"] if anchors is not None else []))

@@ -16,11 +16,10 @@ SELECT subset, count(*) AS events, CAST(sum(steps) AS BIGINT) AS valid_steps, co
 FROM split JOIN per USING (narration_id) GROUP BY subset""".replace("\n,", ",", 1))
 def flagship(spark, sf):
     split = SP.grouped_split(V.action_events(spark, sf))
-    steps = T.history(split, V.bank(spark, sf), V.STEPS, V.STRIDE)
-    per = steps.groupBy("narration_id").agg(F.count_if("valid").alias("steps"), F.first("video_id").alias("video_id"))
-    side = split.select("narration_id", "subset")
-    return per.join(side, "narration_id").groupBy("subset").agg(
-        F.count(F.lit(1)).alias("events"), F.sum("steps").alias("valid_steps"), F.count_if(F.col("steps") == 0).alias("use_prior"))
+    steps = T.history(split, V.bank(spark, sf), V.STEPS, V.STRIDE, keep=("subset",))
+    per = steps.groupBy("narration_id", "subset").agg(F.count_if("valid").alias("steps"))
+    return per.groupBy("subset").agg(F.count(F.lit(1)).alias("events"), F.sum("steps").alias("valid_steps"),
+                                     F.count_if(F.col("steps") == 0).alias("use_prior"))
 
 
 @query("p1_clock_times", f"""SELECT event_id, {sql6('(hour(ts) * 60 + minute(ts)) * 60 + microsecond(ts) / 1e6')} AS clock_s, {sql6('value')} AS plain_s FROM events""")
