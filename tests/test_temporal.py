@@ -60,13 +60,13 @@ def test_history_equals_binary_search_on_a_hot_timeline(spark, hot_rows):
 
 
 def test_hot_groups_are_split_and_bounded(spark):
-    from tidemark.operators.skew import copy_rows, hot_groups, split_rows
+    from tidemark.operators.skew import hot_groups, spread_hot
     df = spark.range(1000).select(F.when(F.col("id") < 600, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id")
     hot = hot_groups(df, ["g"], rows=100)
     assert [tuple(r) for r in hot.collect()] == [("hot", 6)]
-    parts = split_rows(df, hot, ["g"], ["id"]).where("g = 'hot'").groupBy("_part").count().collect()
+    parts = spread_hot(df, hot, ["g"], F.lit(False), ["id"]).where("g = 'hot'").groupBy("_part").count().collect()
     assert len(parts) == 6 and max(r["count"] for r in parts) < 200
-    assert copy_rows(df.where("id = 0"), hot, ["g"]).count() == 6
+    assert spread_hot(df.where("id IN (0, 999)"), hot, ["g"], F.lit(True), ["id"]).count() == 7
 
 
 def test_asof_directions(spark):

@@ -8,19 +8,31 @@ probe takes its match from one sorted pass over its bucket.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .skew import copy_rows, hot_groups, split_rows
+from .skew import hot_groups, spread_hot
 
 
-def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str, fact_time: str,
+@dataclass(frozen=True)
+class Grid:
+    """``n`` ascending times per row; ``at`` gives the time of slot 0..n-1 from the row's columns."""
+    n: int
+    at: Callable[[Column], Column]
+
+
+def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str | Grid, fact_time: str,
          payload: Sequence[str] = (), width: float = 64.0, lookback: float | None = None,
          direction: str = "backward", tie: str | None = None, strict: bool = False,
          hot_rows: int | None = None, load: tuple[DataFrame, str, float, int] | None = None) -> DataFrame:
     """Add ``before`` and / or ``after``: a struct ``(time, *payload)`` of the matched fact, or NULL.
 
+    ``probe_time`` is a time column or a ``Grid``: then every row asks ``n`` times, and the result has
+    one row per ask with its ``slot`` and ``time``. Grids are expanded only after the shuffle, so a
+    row travels once per bucket it touches, not once per ask.
+
     ``lookback`` (at most ``width``) says that facts further away are of no use; without it, matches
     may lie any number of buckets away. Facts at the same time: the largest ``tie`` wins looking
     back, the smallest looking ahead. ``strict`` ignores facts at exactly the probe time.
@@ -36,9 +48,18 @@ def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str
     if not (back or ahead):
         raise ValueError("direction is backward, forward or both")
     w = F.lit(float(width))
+    many = isinstance(probe_time, Grid)
     original = probes.columns
 
-    p = probes.withColumn("_t", F.col(probe_time)).withColumn("_b", F.floor(F.col("_t") / w))
+    if many:
+        lo, hi = (F.floor(probe_time.at(F.lit(i)) / w) for i in (0, probe_time.n - 1))
+        few = F.transform(F.sequence(F.lit(0), F.lit(probe_time.n - 1)), lambda i: F.floor(probe_time.at(i) / w))
+        cells = F.when(hi - lo < probe_time.n, F.sequence(lo, hi)).otherwise(F.array_distinct(few))
+        p = probes.withColumn("_b", F.explode(cells))
+        weight = F.lit(probe_time.n)
+    else:
+        p = probes.withColumn("_t", F.col(probe_time)).withColumn("_b", F.floor(F.col("_t") / w))
+        weight = None
     entry = F.struct(F.col(fact_time).alias("time"), *[F.col(c) for c in payload])
     rank = F.col(tie) if tie else F.lit(0)
     picks = [F.max_by(entry, rank).alias("_last")] if back else []
@@ -58,12 +79,19 @@ def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str
     else:
         f = f.unionByName(_carried(f, p, by, back, ahead), allowMissingColumns=True)
 
-    hot = hot_groups(p, group, hot_rows) if load is None else _busy(load, by, w, width, hot_rows)
-    p = split_rows(p, hot, group, [c for c in original if c not in by])
-    f = copy_rows(f, hot, group)
+    hot = hot_groups(p, group, hot_rows, weight) if load is None else _busy(load, by, w, width, hot_rows)
     probe_side, fact_side = (0, 1) if strict else (1, 0)
     rows = (p.withColumn("_side", F.lit(probe_side))
             .unionByName(f.withColumn("_side", F.lit(fact_side)), allowMissingColumns=True))
+    rows = spread_hot(rows, hot, group, F.col("_side") == fact_side, [c for c in original if c not in by] or by)
+    if many:
+        is_probe = F.col("_side") == probe_side
+        slots = F.sequence(F.lit(0), F.when(is_probe, F.lit(probe_time.n - 1)).otherwise(F.lit(0)))
+        # a fixed number of partitions: the rows about to be expanded look small to adaptive coalescing
+        tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = (rows.repartition(tasks, *group, "_part").withColumn("_slot", F.explode(slots))
+                .withColumn("_t", F.when(is_probe, probe_time.at(F.col("_slot"))).otherwise(F.col("_t")))
+                .where(~is_probe | (F.floor(F.col("_t") / w) == F.col("_b"))))
 
     cell = Window.partitionBy(*group, "_part")
     frame = (Window.unboundedPreceding, Window.currentRow)
@@ -74,7 +102,8 @@ def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str
     if ahead:
         backwards = cell.orderBy(F.col("_t").desc(), F.col("_side")).rowsBetween(*frame)
         found.append(F.last("_first", ignorenulls=True).over(backwards).alias("after"))
-    return rows.select("*", *found).where(F.col("_side") == probe_side).select(*original, *[
+    asks = [F.col("_slot").alias("slot"), F.col("_t").alias("time")] if many else []
+    return rows.select("*", *found).where(F.col("_side") == probe_side).select(*original, *asks, *[
         name for name, on in (("before", back), ("after", ahead)) if on])
 
 

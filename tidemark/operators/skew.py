@@ -5,36 +5,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import with_scalar
-
 MAX_HOT_GROUPS = 10_000
 HOT_ROWS = 1_000_000
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None, weight: Column | None = None) -> DataFrame:
-    """Groups worth splitting, with the number of parts for each (``_parts``).
+    """Groups with more than ``rows`` rows, and into how many parts to split each (``_parts``).
 
-    A group is hot when it has more than ``rows`` rows and more than 1/10,000 of all rows, so there
-    are never more than 10,000 of them: the result is safe to broadcast whatever the input size.
-    ``weight`` lets one row of ``df`` stand for several."""
+    Only the 10,000 largest are listed, so the result is safe to broadcast whatever the input size;
+    every other group then holds less than 1/10,000 of all rows. ``weight`` lets one row of ``df``
+    stand for several. The counting is one partial aggregation, and almost always finds nothing."""
     rows = HOT_ROWS if rows is None else rows
     counts = df.groupBy(*keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    limit = F.greatest(F.lit(rows), F.ceil(F.col("_total") / MAX_HOT_GROUPS))
-    return (with_scalar(counts, total).withColumn("_limit", limit).where(F.col("_n") > F.col("_limit"))
-            .select(*keys, F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_parts")))
-
-
-def split_rows(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    """Give every row of a hot group one of its parts, by a hash of ``spread``."""
-    part = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_part", part).drop("_parts")
+    return (counts.where(F.col("_n") > rows).orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS)
+            .select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts")))
 
 
-def copy_rows(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copy every row of a hot group to all of its parts."""
-    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_part", F.explode(parts)).drop("_parts")
+def spread_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], copied: Column, spread: Sequence[str]) -> DataFrame:
+    """Add ``_part``: a row of a hot group goes to one part, by a hash of ``spread``, or to all of them
+    where ``copied`` holds. Rows of other groups have part 0."""
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    one = F.array(F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    targets = F.when(copied, F.sequence(F.lit(0), parts - 1)).otherwise(one)
+    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_part", F.explode(targets)).drop("_parts")
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column, value: Column | None = None,

@@ -3,8 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import step_times, targets
-from .asof import asof
+from .asof import Grid, asof
 
 EPS = 1e-6
 
@@ -25,21 +24,23 @@ def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float =
     ``keep`` travel; join vectors last."""
     limit = float(stride) if tolerance == "stride" else tolerance
     span = steps * float(stride)
-    taus = F.posexplode(step_times("sta_cutoff", steps, stride))
     source = events.select("narration_id", "video_id", "sta_cutoff", *keep)
     if anchors is not None:
         exact = anchors.where(F.col("has_clip")).select("narration_id", F.col("row").alias("anchor_row"))
         source = source.join(exact, "narration_id", "left")
-    carried = source.columns
-    probes = (source.select("*", taus.alias("_i", "tau"))
-              .select(*carried, (F.col("_i") + 1).alias("k"), "tau", (F.col("tau") + eps).alias("_key")))
-    load = (events.select("video_id", (F.col("sta_cutoff") + eps).alias("_key")), "_key", span, steps)
+    if steps < 1 or not stride > 0:
+        raise ValueError("need steps >= 1 and stride > 0")
+
+    def tau(slot: Column) -> Column:
+        return F.col("sta_cutoff") - (steps - 1 - slot) * F.lit(float(stride))
+
+    grid = Grid(steps, lambda slot: tau(slot) + eps)
     if limit is None:
-        matched = asof(probes, bank, ["video_id"], "_key", "t_end_s", ["row"], width=span, tie="row",
-                       hot_rows=hot_rows, load=load)
+        matched = asof(source, bank, ["video_id"], grid, "t_end_s", ["row"], width=span, tie="row", hot_rows=hot_rows)
     else:
-        matched = asof(probes, bank, ["video_id"], "_key", "t_end_s", ["row"], width=max(span, limit + 4 * eps),
-                       lookback=limit + 4 * eps, tie="row", hot_rows=hot_rows, load=load)
+        matched = asof(source, bank, ["video_id"], grid, "t_end_s", ["row"], width=max(span, limit + 4 * eps),
+                       lookback=limit + 4 * eps, tie="row", hot_rows=hot_rows)
+    matched = matched.withColumn("k", F.col("slot") + 1).withColumn("tau", tau(F.col("slot")))
     used = F.col("before.time")
     ok = used.isNotNull() & (F.col("sta_cutoff") >= 0)
     if not allow_negative_tau:
@@ -116,9 +117,12 @@ def nearest_frames(windows: DataFrame, frames: DataFrame, num_targets: int = 8,
     w = windows.where(~F.col("observation.empty"))
     keys = [c for c in w.columns if c != "observation"]
     lo, hi = F.col("observation.start"), F.col("observation.end")
-    probes = w.select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.col("observation.inclusive_end").alias("_closed"),
-                      F.posexplode(targets(lo, hi, num_targets)).alias("slot", "target"))
-    m = asof(probes, frames, ["video_id"], "target", "pts", width=width, direction="both", hot_rows=hot_rows)
+    probes = w.select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.col("observation.inclusive_end").alias("_closed"))
+    if num_targets < 1:
+        raise ValueError("need at least one target")
+    grid = Grid(num_targets, lambda i: F.col("_lo") + (i + F.lit(0.5)) * (F.col("_hi") - F.col("_lo")) / F.lit(num_targets))
+    m = asof(probes, frames, ["video_id"], grid, "pts", width=width, direction="both", hot_rows=hot_rows)
+    m = m.withColumnRenamed("time", "target")
     a, b = F.col("before.time"), F.col("after.time")
     a = F.when(a >= F.col("_lo"), a)
     b = F.when((b < F.col("_hi")) | (F.col("_closed") & (b == F.col("_hi"))), b)

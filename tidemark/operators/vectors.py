@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import all_finite, dot, let, mask_vector, mean_vector, normalize
 from ..session import with_scalar
-from .batches import attention
+from .batches import attention, with_pivot_distances
 
 
 def mean_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -143,23 +143,20 @@ def retrieval_top1(queries: DataFrame, keys: DataFrame, vector: str = "vector",
     query. Own keys are found by an equi join, so nothing here needs all pairs as rows."""
     q = queries.select("id", normalize(vector).alias("q"))
     k = keys.select("id", normalize(vector).alias("k"))
-    picked = k.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots)
-    table = picked.agg(F.array_sort(F.collect_list(F.struct("id", "k"))).alias("_pivots"))
-
-    def distances(v):
-        return F.transform("_pivots", lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col(v), p["k"]))))
-
-    kd = (with_scalar(k, table).withColumn("_d", distances("k")).drop("_pivots")
+    # a fixed, small number of vectors: held by the driver and sent with the tasks
+    chosen = k.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
+    table = [r["k"] for r in chosen]
+    kd = (with_pivot_distances(k, "k", table)
           .withColumn("cell", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
           .select("id", "k", "cell", F.array_min("_d").alias("d")))
     cells = (kd.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n"))
              .agg(F.collect_list(F.struct("cell", "lo", "hi", "n")).alias("_cells")))
     mine = keys.select(F.col("id").alias("own_id"), normalize(vector).alias("k"))
     own = (q.join(mine, F.col("id") == F.col("own_id")).withColumn("own", dot("q", "k"))
-           .select("id", "q", "k", "own"))
+           .select("id", "q", "own"))
     slack = 1e-6
     radius = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("own"))) + slack
-    qd = with_scalar(with_scalar(own, table).withColumn("_d", distances("q")).withColumn("_r", radius).drop("_pivots", "k"), cells)
+    qd = with_scalar(with_pivot_distances(own, "q", table).withColumn("_r", radius), cells)
     reach = F.filter("_cells", lambda c: (F.col("_d")[c["cell"]] - F.col("_r") <= c["hi"])
                      & (F.col("_d")[c["cell"]] + F.col("_r") >= c["lo"]))
     routed = qd.select("id", "q", "own", F.explode(reach).alias("c")).select(
