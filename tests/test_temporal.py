@@ -39,6 +39,12 @@ def test_negative_cutoff_has_no_history(spark):
     assert not any(r["valid"] for r in rows)
 
 
+def test_event_without_cutoff_keeps_its_rows(spark):
+    ev = spark.createDataFrame([("e", "v", None)], "narration_id string, video_id string, sta_cutoff double")
+    rows = T.history(ev, bank_frame(spark, [1.0]), 4).collect()
+    assert len(rows) == 4 and not any(r["valid"] for r in rows)
+
+
 @pytest.mark.parametrize("hot_rows", [None, 3])
 def test_history_equals_binary_search_on_a_hot_timeline(spark, hot_rows):
     rng = random.Random(5)

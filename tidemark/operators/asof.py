@@ -91,7 +91,7 @@ def asof(probes: DataFrame, facts: DataFrame, by: Sequence[str], probe_time: str
         tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = (rows.repartition(tasks, *group, "_part").withColumn("_slot", F.explode(slots))
                 .withColumn("_t", F.when(is_probe, probe_time.at(F.col("_slot"))).otherwise(F.col("_t")))
-                .where(~is_probe | (F.floor(F.col("_t") / w) == F.col("_b"))))
+                .where(~is_probe | F.floor(F.col("_t") / w).eqNullSafe(F.col("_b"))))
 
     cell = Window.partitionBy(*group, "_part")
     frame = (Window.unboundedPreceding, Window.currentRow)

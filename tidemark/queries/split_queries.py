@@ -283,6 +283,12 @@ def i10(spark, sf):
     return v.select("check", "id", count.alias("n"))
 
 
+@query("i11_version_mismatch", """SELECT 'source_rows' AS id, concat('found ', count(*), ' expected 0') AS detail FROM events WHERE true HAVING count(*) <> 0""")
+def i11(spark, sf):
+    meta = V.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("source_rows"), F.lit("linear-1").alias("scorer"))
+    return C.check_versions(meta, {"source_rows": "0", "scorer": "linear-1"}).select("id", "detail")
+
+
 @query("i12_coarse_bank", V.cte(V.EV) + f"""SELECT video_id AS id, round((max(start) - min(start)) / (count(*) - 1), 3) AS spacing FROM ev
 GROUP BY video_id HAVING count(*) > 1 AND (max(start) - min(start)) / (count(*) - 1) > 43200 + 1e-9""")
 def i12(spark, sf):

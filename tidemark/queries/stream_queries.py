@@ -119,9 +119,10 @@ def s2(spark, sf):
     return m.select("narration_id", "split", "task", r6("observation.start").alias("win_start"), r6("observation.end").alias("win_end"))
 
 
-@query("s4_file_inventory")
+@query("s4_file_inventory", """SELECT stem FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
+  ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(stem)""")
 def s4(spark, sf):
-    return SRC.file_index(spark, sf, ".PARQUET").select("stem", "length")
+    return SRC.file_index(spark, sf, ".PARQUET").select("stem")
 
 
 @query("s5_bank_scan", V.cte(V.EV, GREEDY, recursive=True) + f"""SELECT k.video_id, {sql6('k.t')} AS t_end_s FROM kept k""")

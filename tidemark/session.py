@@ -14,6 +14,7 @@ def build_session(cores: str = "*", **extra) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no Python stack per expression
         .config("spark.driver.memory", "8g")
     )
     for key, value in extra.items():
