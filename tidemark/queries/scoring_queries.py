@@ -71,7 +71,9 @@ groups AS (SELECT *, 'overall' AS subset FROM vhits
     OR (field = 'action' AND (tv IN (SELECT class_id FROM tc WHERE field = 'verb') OR tn IN (SELECT class_id FROM tc WHERE field = 'noun'))))"""
 
 
-@query("m3_breakdown", TRAINED.rstrip() + ",\n" + V.cte(V.VEC, V.SMAX, RANKS, HITS, TAILS)[5:] + metric_sql("groups", "subset, field"))
+@query("m3_breakdown", TRAINED.rstrip() + ",\n" + V.cte(V.VEC, V.SMAX, RANKS, HITS, TAILS, "measured AS (" + metric_sql("groups", "subset, field") + ")")[5:] + """
+SELECT s.subset, f.field, coalesce(m.events, 0) AS events, m.top1, m.top5, m.mt5r FROM (VALUES ('overall'), ('unseen'), ('seen'), ('tail')) s(subset)
+CROSS JOIN (VALUES ('verb'), ('noun'), ('action')) f(field) LEFT JOIN measured m ON m.subset = s.subset AND m.field = f.field""")
 def m3(spark, sf):
     s = split(spark, sf)
     tail = S.tail_classes(counts(s.where("subset = 'train'")))
