@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import fresh_folder
-from . import bpe, packing, token_counts
+from . import bpe, packing, token_counts, toxicity
 from .pretokens import library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,13 +32,19 @@ def english_pieces():
     return library_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents, read back from the flat files they are written to."""
     folder = fresh_folder(spark, "tokens")
     places = token_counts.write_token_files(table(spark, sf, "documents"), folder, english_pieces, END_OF_TEXT)
     counts = token_counts.count_tokens(spark, folder, END_OF_TEXT)
-    return places.join(counts, ["file", "place"]).select("doc_id", "n_tokens")
+    return places.join(counts.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
 
 
 @query("op8_sum_of_squares_packing")
