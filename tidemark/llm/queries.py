@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import fresh_folder
-from . import bpe, packing, token_counts, toxicity
+from . import bpe, html_text, neighbours, packing, token_counts, toxicity
 from .pretokens import library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+@query("op5_nearest_vectors")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, sf, "embeddings"))
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents, read back from the flat files they are written to."""
@@ -52,6 +58,12 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), english_pieces, 2)
 
 
+@query("op9_main_text")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
