@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import fresh_folder
-from . import bpe, html_text, neighbours, packing, token_counts, toxicity
+from . import bpe, html_text, neighbours, packing, perplexity, token_counts, toxicity
 from .pretokens import library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+@query("op4_perplexity_bands")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper")
+
+
 @query("op5_nearest_vectors")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     vectors = neighbours.usable(table(spark, sf, "embeddings"))
