@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import fresh_folder
-from . import bpe, html_text, neighbours, packing, perplexity, token_counts, toxicity
+from . import bpe, html_text, line_dedup, neighbours, packing, perplexity, token_counts, toxicity
 from .pretokens import library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,25 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return places.join(counts.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
 
 
+# A window of two lines with words goes where it stands earlier too; documents without lines to remove keep their text.
+LINES_SQL = r"""WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) AS line FROM cut),
+trimmed AS (SELECT *, regexp_replace(content, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS t FROM lines),
+solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM trimmed WHERE t <> ''),
+pairs AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM solid),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY t, u ORDER BY doc_id, i) AS copy FROM pairs WHERE u IS NOT NULL),
+later AS (SELECT doc_id, i FROM numbered WHERE copy > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (VALUES (0), (1)) v(d)),
+marked AS (SELECT l.doc_id, l.content, l.line, g.i IS NOT NULL AS out FROM trimmed l LEFT JOIN solid s USING (doc_id, line) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
+  sha256(coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (WHERE NOT out), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op8_sum_of_squares_packing")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), english_pieces, 2)
