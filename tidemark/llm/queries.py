@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import fresh_folder
-from . import bpe, html_text, line_dedup, near_dedup, neighbours, packing, perplexity, token_counts, toxicity
+from . import bpe, html_text, line_dedup, near_dedup, neighbours, packing, perplexity, substring_dedup, token_counts, toxicity
 from .pretokens import library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def english_pieces():
     return library_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_digests(table(spark, sf, "documents"))
+
+
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), size=3, percent=85)
