@@ -338,11 +338,13 @@ def remove_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def remove(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, text, n_words, n_removed: texts that lose words become the kept words joined by one space, others stay as they are."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """`docs` with the texts as they are after removal: texts that lose words become the kept words joined by one space, others stay.
+    Documents that lose all their words are left out. Other columns pass, whatever they are called."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def texts_of(part: pa.RecordBatch, texts: list[bytes], removed: np.ndarray) -> pa.Array:
         return pa.array([t.decode() if gone else old for t, gone, old in zip(texts, removed.tolist(), part.column("text").to_pylist())], pa.string())
 
-    return _with_spans(plain, least).select("doc_id", "text", "spans").mapInArrow(
-        _apply(texts_of, ["doc_id", "n_words", "n_removed", "text"]), "doc_id long, n_words long, n_removed long, text string")
+    schema = f"row {docs.select(F.struct(*(F.col(f'`{c}`') for c in docs.columns)).alias('row')).schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string"
+    done = _with_spans(rows, least).select("row", "text", "spans").mapInArrow(_apply(texts_of, ["row", "n_words", "n_removed", "text"]), schema)
+    return done.where("n_removed = 0 OR n_removed < n_words").select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -295,3 +295,15 @@ def score(docs: DataFrame, network: Network | None, fold: int = 5) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 0, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for part in slices(batches, most=SLICE_BYTES):
+            yield part.filter(pa.array(net.score(part.column("text")) < 0.5)) if net else part
+
+    return docs.mapInArrow(run, docs.schema)
