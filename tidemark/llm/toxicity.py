@@ -204,7 +204,7 @@ def _adam(network: Network, moments: dict, gradient: dict, step: int, rate: floa
         network.weights[k] -= np.float32(rate * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)) * m / (np.sqrt(v) + np.float32(1e-7))
 
 
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 14, least_steps: int = 600, batch: int = 256, seed: int = 7) -> Network | None:
+def train(texts: pa.Array, labels: np.ndarray, rounds: int = 10, least_steps: int = 300, batch: int = 256, seed: int = 7) -> Network | None:
     """Fit on documents. In the first round a window takes its document's label. From then on a toxic document is
     represented by its most toxic window, and clean windows are half those that look most toxic, half drawn. At last the
     two numbers that turn the highest logit into a score are fitted."""
