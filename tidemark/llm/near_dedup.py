@@ -99,7 +99,8 @@ def _links(members: DataFrame, against_pivot: Callable, in_block: Callable) -> D
     """Edges (a, b) that connect the members of each group as their links do. members: grp, id, n, rank (the greatest becomes the
     pivot), payload. `against_pivot(payloads, sizes, pivot payloads, pivot sizes)` compares row by row,
     `in_block(payloads, sizes, payloads, sizes)` gives a matrix."""
-    pivots = members.groupBy("grp").agg(F.max(F.struct("rank", "id", "n", "payload")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # stored, so that the join below reads members straight from their shuffle and large groups in it can be split
+    pivots = checkpointed(members.groupBy("grp").agg(F.max(F.struct("rank", "id", "n", "payload")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     paired = members.join(pivots, "grp").select("grp", "id", "n", "payload", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.payload").alias("p_payload"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
