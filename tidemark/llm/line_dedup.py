@@ -65,7 +65,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     numbers = _numbered(lines, "key")
     once = checkpointed(lines.join(numbers, "key").select(DOC, AT, "line", F.col("next").alias("rank"), (F.struct(DOC, AT) != F.col("earliest")).alias("later")))
     level, later, depth = once.select(DOC, AT, "rank"), once.where("later").select(DOC, AT), 1
-    found = [later.withColumn("depth", F.lit(1))] if least <= 1 else []
+    found = [later.where(F.lit(least <= 1)).withColumn("depth", F.lit(1))]
     while True:
         if depth < least <= 2 * depth and least != 2 * depth:
             found.append(_ranked(level, least - depth)[1].withColumn("depth", F.lit(least)))

@@ -118,7 +118,9 @@ def model(docs: DataFrame) -> list[DataFrame]:
             ready = (direct.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(lower, ["lang", "suffix"])
                      .select("lang", "gram", "n", (F.col("direct") + F.col("back") * F.col("p_lower")).alias("p"), F.lit(None).cast("double").alias("root")))
             weights = contexts.select("lang", F.col("context").alias("gram"), F.col("back").alias("weight"))
-            out[-1] = out[-1].join(weights, ["lang", "gram"], "left").withColumn("back", F.col("weight")).drop("weight")
+            # the zeros before a text are a context, but no n-gram
+            out[-1] = out[-1].join(weights, ["lang", "gram"], "full").select(
+                "lang", "gram", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(1e-12)).alias("p"), "root", F.col("weight").alias("back"))
         out.append(checkpointed(ready.withColumn("back", F.lit(None).cast("double"))))
     return out
 
