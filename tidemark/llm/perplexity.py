@@ -89,7 +89,9 @@ def _pieces(order: int):
 def model(docs: DataFrame) -> list[DataFrame]:
     """For each order from 1: lang, gram (its bytes as a number), p (probability), back (weight of what follows it as a context,
     null if nothing does) and n. `docs` has text and lang."""
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "gram long, n long")
+    # a few tasks for each core are enough to keep all busy, and each adds up more before the shuffle
+    tasks = max(32, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    counted = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).coalesce(tasks).mapInArrow(_count, "gram long, n long")
     top = checkpointed(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     tables = {ORDER: top.select(F.shiftrightunsigned("gram", BYTES).alias("lang"), F.col("gram").bitwiseAND(F.lit((1 << BYTES) - 1)).alias("gram"), "n")}
     for order in range(ORDER - 1, 0, -1):  # how many different bytes stand before it
@@ -135,7 +137,7 @@ class Arrays:
     """The model as sorted hash arrays: per order hashes, log-probabilities and log back-off weights."""
 
     def __init__(self, tables: list[DataFrame]):
-        self.orders = []
+        self.orders, self.directories = [], []
         for order, frame in enumerate(tables, 1):
             key = F.shiftleft("lang", BYTES).bitwiseOR(F.col("gram"))
             slot = F.pmod(F.xxhash64("lang", "gram"), F.lit(SLOTS))
@@ -145,14 +147,26 @@ class Arrays:
             at = np.argsort(hashes)
             back = np.asarray(data.column("back").fill_null(1.0), np.float64)
             self.orders.append((hashes[at], np.log(np.asarray(data.column("p"), np.float64))[at].astype(np.float32), np.log(np.maximum(back, 1e-12))[at].astype(np.float32)))
+            bits = max(4, min(22, len(hashes).bit_length() + 1))  # where hashes with the same leading bits begin
+            self.directories.append((np.uint64(64 - bits), np.searchsorted(hashes[at] >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)))
         roots = tables[0].groupBy("lang").agg(F.max("root").alias("root")).collect()  # a row for each language
         self.unknown = {row["lang"]: float(np.log(max(row["root"], 1e-12) / 256)) for row in roots}
 
     def find(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        hashes = self.orders[order - 1][0]
+        """Place of each n-gram and whether it has one: from the directory on, hashes are passed while they are smaller."""
+        hashes, (shift, directory) = self.orders[order - 1][0], self.directories[order - 1]
+        if not len(hashes):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
         wanted = hashed(keys, order)
-        at = np.minimum(np.searchsorted(hashes, wanted), max(0, len(hashes) - 1))
-        return at, (hashes[at] == wanted) if len(hashes) else np.zeros(len(keys), bool)
+        last = np.int32(len(hashes) - 1)
+        at = np.minimum(directory[wanted >> shift], last)
+        there = hashes[at]
+        behind = np.flatnonzero((there < wanted) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            there[behind] = hashes[at[behind]]
+            behind = behind[(there[behind] < wanted[behind]) & (at[behind] < last)]
+        return at, there == wanted
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.float32)
