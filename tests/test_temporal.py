@@ -75,6 +75,21 @@ def test_hot_groups_are_split_and_bounded(spark):
     assert spread_hot(df.where("id IN (0, 999)"), hot, ["g"], F.lit(True), ["id"]).count() == 7
 
 
+def test_late_exact_clip_is_a_violation(spark):
+    from tidemark.operators.checks import IntegrityError, check_before_cutoff, enforce
+    ev = spark.createDataFrame([("x", "v", 5.0)], "narration_id string, video_id string, sta_cutoff double")
+    feats = spark.createDataFrame([("x", 7, True, 9.0)], "narration_id string, row long, has_clip boolean, sta_clip_end_s double")
+    h = T.history(ev, bank_frame(spark, range(1, 30)), 4, anchors=feats)
+    with pytest.raises(IntegrityError, match="after_cutoff"):
+        enforce(check_before_cutoff(h))
+
+
+def test_every_hot_group_is_split(spark):
+    from tidemark.operators.skew import hot_groups
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("g"))
+    assert hot_groups(df, ["g"], rows=2).where("_parts = 2").count() == 20_000
+
+
 def test_asof_directions(spark):
     p = spark.createDataFrame([("a", 5.0, 1), ("a", 7.0, 2), ("b", 1.0, 3)], "g string, t double, id int")
     f = spark.createDataFrame([("a", 5.0, 10), ("a", 5.0, 11), ("a", 900.0, 12), ("a", -400.0, 13)], "g string, t double, v int")
@@ -89,12 +104,12 @@ def test_asof_directions(spark):
 def test_exact_anchor_and_present_source(spark):
     bank = bank_frame(spark, range(1, 30))
     ev = spark.createDataFrame([("x", "v", 10.4), ("y", "v", 10.4), ("cold", "v", -1.0), ("z", "w", 5.0)], "narration_id string, video_id string, sta_cutoff double")
-    feats = spark.createDataFrame([("x", 7, True), ("cold", 8, True), ("y", 9, False)], "narration_id string, row long, has_clip boolean")
+    feats = spark.createDataFrame([("x", 7, True, 10.2), ("cold", 8, True, 0.0), ("y", 9, False, 10.4)], "narration_id string, row long, has_clip boolean, sta_clip_end_s double")
     h = T.history(ev, bank, 4, anchors=feats)
     again = T.use_exact_anchor(T.history(ev, bank, 4), feats, 4)
     assert sorted(map(str, h.select(sorted(h.columns)).collect())) == sorted(map(str, again.select(sorted(h.columns)).collect()))
     last = {r["narration_id"]: r for r in h.where("k = 4").collect()}
-    assert (last["x"]["source"], last["x"]["used_time"], last["x"]["row"]) == ("exact", 10.4, 7)
+    assert (last["x"]["source"], last["x"]["used_time"], last["x"]["row"]) == ("exact", 10.2, 7)
     assert (last["y"]["source"], last["y"]["used_time"]) == ("bank", 10.0) and not last["cold"]["valid"]
     source = {r["narration_id"]: r["present_source"] for r in T.present_clip(h, feats, 4).collect()}
     assert source == {"x": 1, "y": 2, "cold": 0, "z": 0}

@@ -26,7 +26,7 @@ def rank_hits(scored: DataFrame, kind: str = "logits", num_nouns: int = 300, kee
     """Per event and field: the true class, whether it ranks first and whether it is in the top ``k``.
     Expects ``verb``, ``noun``, ``verb_output`` and ``noun_output``."""
     rank = ranker(kind, k, search, num_nouns)
-    ranked = scored.select(*keep, F.col("verb").cast("long").alias("_yv"), F.col("noun").cast("long").alias("_yn"),
+    ranked = _checked(scored, kind).select(*keep, F.col("verb").cast("long").alias("_yv"), F.col("noun").cast("long").alias("_yn"),
                            rank("verb_output", "noun_output").alias("_top"))
     truth = {"verb": F.col("_yv"), "noun": F.col("_yn"), "action": joint_id("_yv", "_yn", num_nouns)}
     tops = {f: F.col(f"_top.{f}s").cast("array<bigint>") for f in FIELDS}
@@ -35,6 +35,31 @@ def rank_hits(scored: DataFrame, kind: str = "logits", num_nouns: int = 300, kee
     return ranked.select(*keep, F.explode(F.array(*rows)).alias("h")).select(*keep, "h.*")
 
 
+def _checked(scored: DataFrame, kind: str) -> DataFrame:
+    """The same rows; a row without labels, with labels outside the scores or with scores that are missing, not finite or (for
+    probabilities) negative or not of sum one raises when it is reached. No pass of its own."""
+    def scores_bad(c):
+        v = F.col(c).cast("array<double>")
+        bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        if kind == "probabilities":
+            total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+            bad = bad | F.exists(v, lambda x: x < 0) | (F.abs(total - 1) > 1e-3)
+        return F.coalesce(bad, F.lit(True))
+
+    def label_bad(c):
+        y = F.col(c)
+        return F.coalesce((y < 0) | (y >= F.size(f"{c}_output")), F.lit(True))
+
+    out = scored
+    for c in ("verb", "noun"):
+        message = F.lit(f"{c}: a label or score is missing, not finite or out of range")
+        # on the scores, which the ranking reads first
+        kept = F.col(f"{c}_output")
+        raised = F.raise_error(message).cast(scored.schema[f"{c}_output"].dataType)
+        out = out.withColumn(f"{c}_output", F.when(scores_bad(f"{c}_output") | label_bad(c), raised).otherwise(kept))
+    return out
+
+
 def class_hits(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per (by, field, class)."""
     return hits.groupBy(*by, "field", "y").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit1").alias("n1"),

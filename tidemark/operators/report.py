@@ -13,12 +13,22 @@ METRICS = ("action_mt5r", "verb_mt5r", "noun_mt5r", "action_top1")
 ALIASES = {"all": "", "unseen": "unseen_", "tail": "tail_", "unseen_participants": "unseen_", "tail_actions": "tail_"}
 
 
+# The settings whose runs a horizon compares.
+HORIZON = {"anchor": True, "fusion": "aga", "memory": "scratch"}
+
+
 def delta_vs(runs: DataFrame, reference: str, on: str = "seed", metric: str = "score", name: str = "configuration") -> DataFrame:
-    """Difference to the reference configuration at the same seed; seeds it lacks drop out."""
-    ref = runs.where(F.col(name) == reference).select(on, F.col(metric).alias("_ref"))
+    """Difference to the reference configuration at the same seed; seeds it lacks drop out. A seed that the
+    reference ran twice counts with the run that comes last by name (without a ``run`` column: the best)."""
+    ref = _reference(runs, reference, on, metric, name)
     return runs.join(ref, on).withColumn("delta", F.col(metric) - F.col("_ref")).drop("_ref")
 
 
+def _reference(runs: DataFrame, reference: str, on: str, metric: str, name: str) -> DataFrame:
+    last = F.max_by(metric, "run") if "run" in runs.columns else F.max(metric)
+    return runs.where(F.col(name) == reference).groupBy(on).agg(last.alias("_ref"))
+
+
 def flat_scores(best_val: Column, breakdown: Column) -> list[Column]:
     """Result columns of one evaluation: plain, unseen and tail scores by either subset spelling, and
     the official breakdown's unseen and tail action score."""
@@ -91,7 +101,7 @@ def ablation(runs: DataFrame, reference: str, metrics: Sequence[str] = ("score",
     first metric against ``reference`` (NULL for itself), and mean gate weights when given as
     (configuration, seed, history, present, future)."""
     main = metrics[0]
-    ref = runs.where(F.col(name) == reference).select("seed", F.col(main).alias("_ref"))
+    ref = _reference(runs, reference, "seed", main, name)
     d = runs.join(ref, "seed", "left").withColumn("_delta", F.when(F.col(name) != reference, F.col(main) - F.col("_ref")))
     aggs = [F.array_sort(F.collect_set("seed")).alias("seeds")]
     for m in [*metrics, "_delta"]:
@@ -106,9 +116,12 @@ def ablation(runs: DataFrame, reference: str, metrics: Sequence[str] = ("score",
 
 
 def horizon(table: DataFrame, present: str | None = None, metric: str = "action_mt5r", default: str = "probe (frozen)") -> DataFrame:
-    """Mean and population sd of a metric by (mode, steps), for one present setting: the given one,
-    else ``default`` if any run uses it, else the most frequent (ties to the first by name)."""
+    """Mean and population sd of a metric by (mode, steps) of the runs with anchor, ``aga`` fusion and memory
+    from scratch (where the table has these columns), for one present setting: the given one, else ``default`` if any run uses it, else the most frequent (ties to the first by name)."""
     rows = table.where(F.col(metric).isNotNull())
+    for column, value in HORIZON.items():
+        if column in table.columns:
+            rows = rows.where(F.col(column) == F.lit(value))
     if present is None:
         uses = rows.groupBy("present").agg(F.count(F.lit(1)).alias("_n"))
         chosen = uses.orderBy((F.col("present") == default).desc(), F.col("_n").desc(), "present").limit(1)

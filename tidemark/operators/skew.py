@@ -5,29 +5,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_HOT_GROUPS = 10_000
-HOT_ROWS = 1_000_000
+PART_ROWS = 1_000_000
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None, weight: Column | None = None) -> DataFrame:
-    """Groups with more than ``rows`` rows, and into how many parts to split each (``_parts``).
-
-    Only the 10,000 largest are listed, so the result is safe to broadcast whatever the input size;
-    every other group then holds less than 1/10,000 of all rows. ``weight`` lets one row of ``df``
-    stand for several. The counting is one partial aggregation, and almost always finds nothing."""
-    rows = HOT_ROWS if rows is None else rows
+    """Into how many parts of ``rows`` rows to split each group (``_parts``), for those that need more
+    than one, however many they are. ``weight`` lets one row of ``df`` stand for several. The counting
+    is one partial aggregation, and almost always finds nothing."""
+    rows = PART_ROWS if rows is None else rows
     counts = df.groupBy(*keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-    return (counts.where(F.col("_n") > rows).orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS)
-            .select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts")))
+    return counts.where(F.col("_n") > rows).select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
 
 
 def spread_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], copied: Column, spread: Sequence[str]) -> DataFrame:
     """Add ``_part``: a row of a hot group goes to one part, by a hash of ``spread``, or to all of them
-    where ``copied`` holds. Rows of other groups have part 0."""
+    where ``copied`` holds. Rows of other groups have part 0. The planner joins ``hot`` by its size."""
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     one = F.array(F.pmod(F.xxhash64(*spread), parts).cast("int"))
     targets = F.when(copied, F.sequence(F.lit(0), parts - 1)).otherwise(one)
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_part", F.explode(targets)).drop("_parts")
+    return df.join(hot, list(keys), "left").withColumn("_part", F.explode(targets)).drop("_parts")
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column, value: Column | None = None,

@@ -67,7 +67,7 @@ def participant_pool(events: DataFrame, pool: tuple[float, float] = (0.25, 0.75)
             .select("participant_id", "n", "participants", "events"))
 
 
-def band_limit(target: float, ks: Sequence[int], pool: tuple[float, float], band: float) -> int:
+def band_limit(target: float, ks: Sequence[int], pool: tuple[float, float], band: float) -> int | None:
     """The largest number of participants with which a combination can still reach the band.
 
     At least a share ``1 - q`` of the participants are as large as the upper bound of the pool, so a
@@ -75,7 +75,7 @@ def band_limit(target: float, ks: Sequence[int], pool: tuple[float, float], band
     ``target - band`` only when ``participants <= k / ((1 - q) * (target - band))``."""
     top, floor = 1 - pool[1], target - band
     if top <= 0 or floor <= 0:
-        raise ValueError("the pool must exclude the largest participants and the band must be above zero")
+        return None  # any number of participants may reach it
     return int(max(ks) / (top * floor)) + 1
 
 
@@ -90,10 +90,11 @@ def combinations(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2
     ks = sorted(ks)
     members = participant_pool(events, pool)
     limit = band_limit(target, ks, pool, band)
-    few = members.where(F.col("participants") <= limit)
-    many = (members.where(F.col("participants") > limit)
-            .orderBy(F.col("n").desc(), "participant_id").limit(max(ks)))
-    members = few.unionByName(many)
+    if limit is not None:
+        few = members.where(F.col("participants") <= limit)
+        many = (members.where(F.col("participants") > limit)
+                .orderBy(F.col("n").desc(), "participant_id").limit(max(ks)))
+        members = few.unionByName(many)
     index = F.row_number().over(Window.orderBy("participant_id")) - 1
     members = members.withColumn("i", index).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))
     lookup = F.broadcast(members.select("i", F.col("participant_id").alias("_p"), F.col("n").alias("_n")))
@@ -125,6 +126,32 @@ def combinations(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2
     return inside.unionByName(every.where(outside).withColumn("coverage", F.lit(0)).withColumn("outside", F.lit(True)))
 
 
+def combination_counts(events: DataFrame, target: float = 0.06, pool: tuple[float, float] = (0.25, 0.75), band: float = 0.01) -> DataFrame:
+    """How many pairs and triples of pool members lie inside and outside the band, and their events: members, outside,
+    combinations, events. Counted on the histogram of member sizes, so no combination is listed, however many there are."""
+    members = participant_pool(events, pool)
+    hist = members.groupBy("n").agg(F.count(F.lit(1)).alias("m"), F.max("events").alias("all"))
+    sizes = hist.agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("_sizes"))
+
+    def also(df: DataFrame, name: str, least: str) -> DataFrame:
+        bigger = F.filter("_sizes", lambda s: s["n"] >= F.col(least))
+        return df.withColumn("_s", F.explode(bigger)).withColumn(name, F.col("_s.n")).withColumn(f"m_{name}", F.col("_s.m")).drop("_s")
+
+    one = with_scalar(hist, sizes).select("_sizes", "all", F.col("n").alias("a"), F.col("m").alias("m_a"))
+    two = also(one, "b", "a")
+    three = also(two, "c", "b")
+    a, b, c = (F.col(f"m_{x}") for x in "abc")
+    same = F.col("a") == F.col("b")
+    pairs = two.select(F.lit(2).cast("long").alias("members"), "all", (F.col("a") + F.col("b")).alias("n"), F.when(same, a * (a - 1) / 2).otherwise(a * b).alias("ways"))
+    ways = (F.when(same & (F.col("b") == F.col("c")), a * (a - 1) * (a - 2) / 6).when(same, a * (a - 1) / 2 * c)
+            .when(F.col("b") == F.col("c"), a * (b * (b - 1) / 2)).otherwise(a * b * c))
+    triples = three.select(F.lit(3).cast("long").alias("members"), "all", (F.col("a") + F.col("b") + F.col("c")).alias("n"), ways.alias("ways"))
+    outside = F.abs(F.col("n") / F.col("all") - F.lit(float(target))) > F.lit(float(band))
+    every = pairs.unionByName(triples).where("ways > 0")
+    return every.groupBy("members", outside.alias("outside")).agg(
+        F.sum(F.col("ways").cast("long")).alias("combinations"), F.sum((F.col("ways") * F.col("n")).cast("long")).alias("events"))
+
+
 def choose_unseen(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2, 3),
                   pool: tuple[float, float] = (0.25, 0.75), band: float = 0.01) -> DataFrame:
     """Whole participants to hold out: the combination inside the band that covers most classes, else

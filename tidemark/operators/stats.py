@@ -11,11 +11,11 @@ from ..session import with_scalar
 
 def class_counts(events: DataFrame, num_verbs: int = 97, num_nouns: int = 300, keep: Sequence[str] = ()) -> DataFrame:
     """``(field, class_id, n)`` with zero rows for absent classes, in one aggregation: the class
-    spine joins the counted rows with weight zero. ``keep`` counts separately per extra column."""
+    spine joins the counted rows with weight zero. Verbs and nouns are counted each by itself. ``keep`` counts separately per extra column."""
     spark = events.sparkSession
-    labels = events.where(F.col("verb").isNotNull() & F.col("noun").isNotNull()).select(*keep, F.explode(F.array(
+    labels = events.select(*keep, F.explode(F.array(
         F.struct(F.lit("verb").alias("field"), F.col("verb").cast("int").alias("class_id")),
-        F.struct(F.lit("noun").alias("field"), F.col("noun").cast("int").alias("class_id")))).alias("c"))
+        F.struct(F.lit("noun").alias("field"), F.col("noun").cast("int").alias("class_id")))).alias("c")).where("c.class_id IS NOT NULL")
     counted = labels.groupBy(*keep, "c").agg(F.count(F.lit(1)).alias("n")).select(*keep, "c.*", "n")
     spine = (spark.range(num_verbs).select(F.lit("verb").alias("field"), F.col("id").cast("int").alias("class_id"))
              .unionByName(spark.range(num_nouns).select(F.lit("noun").alias("field"), F.col("id").cast("int").alias("class_id")))

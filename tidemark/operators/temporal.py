@@ -9,6 +9,7 @@ EPS = 1e-6
 
 # How a history step got its clip.
 BANK, EXACT = "bank", "exact"
+ANCHOR = ("anchor_row", "anchor_end")
 
 
 def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float = 1.0,
@@ -20,13 +21,14 @@ def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float =
     A step is invalid (times NULL) when the cutoff or tau is negative, when no clip ends early
     enough, or when the nearest is older than ``tolerance`` (``"stride"`` by default, ``None`` for
     no limit; ``allow_negative_tau`` keeps steps before the video start). With ``anchors`` (event
-    features), an exact clip takes the last step. Only index columns and the event columns named in
+    features with ``has_clip``, ``row``, ``sta_clip_end_s``), an exact clip takes the last step and its own
+    end becomes the step's time, so a clip that ends after the cutoff shows up in ``check_before_cutoff``. Only index columns and the event columns named in
     ``keep`` travel; join vectors last."""
     limit = float(stride) if tolerance == "stride" else tolerance
     span = steps * float(stride)
     source = events.select("narration_id", "video_id", "sta_cutoff", *keep)
     if anchors is not None:
-        exact = anchors.where(F.col("has_clip")).select("narration_id", F.col("row").alias("anchor_row"))
+        exact = _exact(anchors)
         source = source.join(exact, "narration_id", "left")
     if steps < 1 or not stride > 0:
         raise ValueError("need steps >= 1 and stride > 0")
@@ -50,20 +52,24 @@ def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float =
     base = ["narration_id", "video_id", "sta_cutoff", *keep, "k", "tau"]
     out = matched.select(*base, F.coalesce(ok, F.lit(False)).alias("valid"),
                          used.alias("_u"), F.col("before.row").alias("_r"),
-                         *(["anchor_row"] if anchors is not None else []))
+                         *(ANCHOR if anchors is not None else []))
     out = out.select(*base, F.when(F.col("valid"), F.col("_u")).alias("used_time"),
                      F.when(F.col("valid"), F.col("_r")).alias("row"), "valid",
                      F.when(F.col("valid"), F.lit(BANK)).alias("source"),
-                     *(["anchor_row"] if anchors is not None else []))
+                     *(ANCHOR if anchors is not None else []))
     if anchors is None:
         return out
     replaced = (F.col("k") == steps) & F.col("anchor_row").isNotNull() & (F.col("sta_cutoff") >= 0)
-    return _apply_exact(out, replaced).drop("anchor_row")
+    return _apply_exact(out, replaced).drop(*ANCHOR)
+
+
+def _exact(features: DataFrame) -> DataFrame:
+    return features.where(F.col("has_clip")).select("narration_id", F.col("row").alias("anchor_row"), F.col("sta_clip_end_s").alias("anchor_end"))
 
 
 def _apply_exact(h: DataFrame, replaced: Column) -> DataFrame:
     return (h.withColumn("_x", replaced)
-            .withColumn("used_time", F.when(F.col("_x"), F.col("sta_cutoff")).otherwise(F.col("used_time")))
+            .withColumn("used_time", F.when(F.col("_x"), F.col("anchor_end")).otherwise(F.col("used_time")))
             .withColumn("row", F.when(F.col("_x"), F.col("anchor_row")).otherwise(F.col("row")))
             .withColumn("source", F.when(F.col("_x"), F.lit(EXACT)).otherwise(F.col("source")))
             .withColumn("valid", F.col("valid") | F.col("_x")).drop("_x"))
@@ -72,10 +78,10 @@ def _apply_exact(h: DataFrame, replaced: Column) -> DataFrame:
 def use_exact_anchor(history_rows: DataFrame, event_features: DataFrame, steps: int = 16) -> DataFrame:
     """Let an event's exact clip take its last history step. ``history(anchors=...)`` does the same
     with one feature row per event instead of one per step; prefer it when building from scratch."""
-    exact = event_features.where(F.col("has_clip")).select("narration_id", F.col("row").alias("anchor_row"))
+    exact = _exact(event_features)
     joined = history_rows.join(exact, "narration_id", "left")
     replaced = (F.col("k") == steps) & F.col("anchor_row").isNotNull() & (F.col("sta_cutoff") >= 0)
-    return _apply_exact(joined, F.coalesce(replaced, F.lit(False))).drop("anchor_row").select(*history_rows.columns)
+    return _apply_exact(joined, F.coalesce(replaced, F.lit(False))).drop(*ANCHOR).select(*history_rows.columns)
 
 
 def present_clip(history_rows: DataFrame, event_features: DataFrame, steps: int = 16) -> DataFrame:

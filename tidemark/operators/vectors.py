@@ -175,7 +175,9 @@ def retrieval_top1(queries: DataFrame, keys: DataFrame, vector: str = "vector",
              .select("cell", "kb", "qb", F.col("id").alias("kid"), "k"))
     beaten = (left.groupBy("cell", "kb", "qb").cogroup(right.groupBy("cell", "kb", "qb"))
               .applyInPandas(_beaten, "id long").distinct().withColumn("_lost", F.lit(True)))
-    judged = own.select("id").join(beaten, "id", "left")
+    # a query without a key of its own is a miss
+    missed = q.select("id").join(mine.select("own_id"), F.col("id") == F.col("own_id"), "left_anti").withColumn("_lost", F.lit(True))
+    judged = own.select("id").join(beaten, "id", "left").unionByName(missed)
     chance = F.try_divide(F.lit(1.0), F.count(F.lit(1)))
     return judged.agg((F.count_if(F.col("_lost").isNull()) / F.count(F.lit(1))).alias("top1"), chance.alias("chance"),
                       F.count(F.lit(1)).alias("n"))
@@ -230,6 +232,15 @@ def score_frozen(features: DataFrame, weights: dict, version: str, vector: str =
     return features.mapInArrow(run, schema)
 
 
+def score_classes(features: DataFrame, classes: DataFrame, version: str, vector: str = "vector") -> DataFrame:
+    """As ``score_frozen`` for a table of classes ``(class_id, w, b)``, of any number: the class table, which the label space
+    bounds, becomes one broadcast row and never passes the driver. ``scores`` maps class ids to ``w v + b``."""
+    rows = classes.agg(F.collect_list(F.struct("class_id", "w", "b")).alias("_classes"))
+    v = F.col(vector).cast("array<double>")
+    scores = F.map_from_entries(F.transform("_classes", lambda c: F.struct(c["class_id"], dot(v, c["w"]) + c["b"])))
+    return with_scalar(features, rows).withColumn("scores", scores).withColumn("scorer_version", F.lit(version)).drop("_classes")
+
+
 def fit_baseline(features: DataFrame, field: str, weights: DataFrame | None = None, vector: str = "vector",
                  max_iter: int = 50, reg: float = 1e-2):
     """Multinomial logistic regression of one label field on pooled vectors; ``weights`` is an

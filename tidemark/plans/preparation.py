@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import checks as C, splits as SP, stats as S
 from ..sources.annotations import read_events, write_manifests, write_split, write_summary
-from ..sources.files import file_index, fingerprint
+from ..sources.files import file_fingerprint, file_index
 
 
 def _with_test(split: DataFrame, spark: SparkSession, test_csv: str | None, gap: float) -> DataFrame:
@@ -41,7 +41,7 @@ def prepare_grouped(spark: SparkSession, train_csv: str, out: str, videos: str |
             C.enforce(lost.select(F.lit("missing_video").alias("check"), F.col("video_id").alias("id"), F.lit("").alias("detail")))
     write_manifests(split, f"{out}/manifests", context)
     write_split(split, f"{out}/split")
-    write_summary(f"{out}/summary", source=fingerprint(spark, train_csv).select("sha256"), **_statistics(split, num_verbs, num_nouns))
+    write_summary(f"{out}/summary", source=file_fingerprint(spark, train_csv), **_statistics(split, num_verbs, num_nouns))
     return split
 
 
@@ -59,7 +59,7 @@ def prepare_hybrid(spark: SparkSession, train_csv: str, out: str, test_csv: str
     tail = S.tail_classes(counts, head_share)
     write_manifests(split, f"{out}/manifests", context)
     write_split(labelled, f"{out}/split")
-    write_summary(f"{out}/summary", source=fingerprint(spark, train_csv).select("sha256"), coverage=S.coverage(labelled, head_share),
+    write_summary(f"{out}/summary", source=file_fingerprint(spark, train_csv), coverage=S.coverage(labelled, head_share),
                   tail=tail, tail_action_events=S.tail_action_events(labelled, tail),
                   cold_start_prior=S.cold_start_prior(train, num_verbs, num_nouns), **_statistics(split, num_verbs, num_nouns))
     return split

@@ -205,6 +205,9 @@ def s10(spark, sf):
     return SRC.read_summary(spark, folder, "splits", "subset string, events bigint, videos bigint, no_history bigint")
 
 
-@query("s11_fingerprints")
+@query("s11_fingerprints", """SELECT count(*) AS rows, CAST(coalesce(sum(CAST(concat('0x', substr(sha256(concat_ws('|', event_id, epoch_us(ts), user_id, event_type,
+  CAST(round(value * 1e6) AS BIGINT), props)), 1, 15)) AS BIGINT)::HUGEINT), 0) AS VARCHAR) AS digest FROM events""")
 def s11(spark, sf):
-    return SRC.fingerprint(spark, f"{sf}/events.parquet").select(F.length("sha256").alias("digits"), "sha256")
+    e = V.table(spark, sf, "events")
+    record = F.concat_ws("|", "event_id", F.unix_micros(F.col("ts").cast("timestamp")), "user_id", "event_type", F.round(F.col("value") * 1e6).cast("long"), "props")
+    return SRC.fingerprint(e.select(record.alias("value")))

@@ -7,7 +7,7 @@ from ..operators import checks, temporal as T
 from ..operators.events import affected, matched, restrict, unmatched
 from ..operators.report import delta_vs
 from ..operators.audit import audit, same_order, same_timeline
-from ..operators.splits import combinations, grouped_split
+from ..operators.splits import combination_counts, grouped_split
 from ..operators.stats import event_counts
 from ..operators.vectors import retrieval_top1
 from . import views as V
@@ -223,9 +223,7 @@ rated AS (SELECT names, n, abs(n / (SELECT count(*) FROM ev) - {target}) AS dist
 SELECT len(names) AS members, distance > 0.005 AS outside, count(*) AS combinations, CAST(sum(n) AS BIGINT) AS events
 FROM rated GROUP BY 1, 2""")
 def j16(spark, sf):
-    c = combinations(V.action_events(spark, sf), 0.02, band=0.005)
-    return c.groupBy(F.size("names").cast("long").alias("members"), "outside").agg(
-        F.count(F.lit(1)).alias("combinations"), F.sum("n").alias("events"))
+    return combination_counts(V.action_events(spark, sf), 0.02, band=0.005)
 
 
 UNIT = """k AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),

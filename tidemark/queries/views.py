@@ -67,8 +67,8 @@ def event_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_clips(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with an exactly extracted clip: the first three verbs."""
-    return action_events(spark, sf).select("narration_id", F.col("event_id").alias("row"),
+    """Events with an exactly extracted clip that ends at the cutoff: the first three verbs."""
+    return action_events(spark, sf).select("narration_id", F.col("event_id").alias("row"), F.col("sta_cutoff").alias("sta_clip_end_s"),
                                            ((F.col("verb") <= 2) & (F.col("sta_cutoff") >= 0)).alias("has_clip"))
 
 

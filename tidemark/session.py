@@ -26,15 +26,23 @@ def build_session(cores: str = "*", **extra) -> SparkSession:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder, so that every later reader sees
-    the same rows even when executors are lost. A folder of our own is only used when the session
-    names none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    the same rows even when executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Only a local session, where there is one machine,
+    may do without; a cluster without one is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row table (a global aggregate) to every row."""
     return df.join(F.broadcast(one_row), F.lit(True), "inner")

@@ -27,7 +27,7 @@ def read_events(spark: SparkSession, path: str, labeled: bool = True, gap: float
                 num_nouns: int = 300, validate: bool = True) -> DataFrame:
     """Typed events from an annotation CSV. Columns are found by name, others ignored; identifiers are
     trimmed. With ``validate``, broken rows raise with their count and first ids."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8")
+    raw = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", quote='"', escape='"', multiLine=True)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     needed = REQUIRED + (LABELS if labeled else ())
     missing = sorted(set(needed) - set(raw.columns))
@@ -75,16 +75,11 @@ def write_split(split: DataFrame, path: str) -> None:
 
 
 def write_summary(path: str, **tables: DataFrame) -> None:
-    """One JSON document per named table, ``{"name": ..., "rows": [...]}``. For summaries only: class
-    tables, split sizes, priors - all bounded by the label space."""
-    parts = None
+    """One folder of JSON rows per named table, ``table=<name>``."""
     for name, df in tables.items():
-        doc = df.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns)))).alias("rows")).select(F.lit(name).alias("name"), "rows")
-        parts = doc if parts is None else parts.unionByName(doc)
-    parts.coalesce(1).write.mode("errorifexists").json(path)
+        df.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/table={name}")
 
 
 def read_summary(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """A table written by ``write_summary``."""
-    docs = spark.read.schema("name string, rows array<string>").json(path).where(F.col("name") == name)
-    return docs.select(F.explode("rows").alias("row")).select(F.from_json("row", schema).alias("r")).select("r.*")
+    return spark.read.schema(schema).json(f"{path}/table={name}")

@@ -23,9 +23,16 @@ def file_index(spark: SparkSession, root: str, ext: str) -> DataFrame:
             .select(F.regexp_extract(name, r"^(.*)\.[^.]+$", 1).alias("stem"), "path", "length"))
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, as ``(path, sha256)``."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def fingerprint(rows: DataFrame, record: str = "value") -> DataFrame:
+    """One row ``(rows, digest)`` for a table of record texts: the number of records and the sum of the first 60 bits of their
+    SHA-256. The order of rows and the cut into files don't matter, and no file is read whole."""
+    part = F.conv(F.substring(F.sha2(F.col(record), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
+
+
+def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """``fingerprint`` over the lines of text files of any size."""
+    return fingerprint(spark.read.text(path))
 
 
 def parse_metrics(docs: DataFrame) -> DataFrame:

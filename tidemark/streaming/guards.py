@@ -66,11 +66,30 @@ def order_violations_stream(frames: DataFrame) -> DataFrame:
                     "video_id string, position long, pts double, previous double", "None")
 
 
+class LateRows:
+    """Counts of rows in and rows behind the watermark over a whole query. A query keeps its last 100 progress reports only:
+    call ``poll`` more often than that; if reports were missed after all, it raises instead of counting on."""
+
+    def __init__(self):
+        self.rows = self.late_rows = 0
+        self.last_batch: int | None = None
+        self.watermark: str | None = None
+
+    def poll(self, query: StreamingQuery) -> "LateRows":
+        for p in query.recentProgress:
+            batch = p["batchId"]
+            if self.last_batch is not None and batch <= self.last_batch:
+                continue
+            if batch > (0 if self.last_batch is None else self.last_batch + 1) and len(query.recentProgress) >= 100:
+                raise RuntimeError(f"progress of batches before {batch} is gone; poll more often")
+            self.rows += p["numInputRows"]
+            self.late_rows += sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])
+            self.watermark, self.last_batch = p.get("eventTime", {}).get("watermark", self.watermark), batch
+        return self
+
+
 def late_rows_report(query: StreamingQuery) -> list[dict]:
-    """Per micro-batch, how many rows came in and how many fell behind the watermark."""
-    out = []
-    for p in query.recentProgress:
-        out.append({"batch": p["batchId"], "rows": p["numInputRows"],
-                    "late_rows": sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]),
-                    "watermark": p.get("eventTime", {}).get("watermark")})
-    return out
+    """Of the micro-batches the query still reports, how many rows came in and how many fell behind the watermark; ``LateRows``
+    counts over all of them."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "late_rows": sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]),
+             "watermark": p.get("eventTime", {}).get("watermark")} for p in query.recentProgress]
