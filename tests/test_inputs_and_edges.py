@@ -79,3 +79,21 @@ def test_fingerprint_ignores_order_and_files(spark, folder):
     lines.repartition(5).write.text(f"{folder}/a")
     assert SRC.file_fingerprint(spark, f"{folder}/a").first() == SRC.fingerprint(lines).first()
     assert SRC.fingerprint(lines.where("value <> '7'")).first()["digest"] != SRC.fingerprint(lines).first()["digest"]
+
+
+def test_events_of_a_video_without_clips_are_an_error(spark):
+    from tidemark import plans
+    from tidemark.operators.checks import IntegrityError
+    ev = events_frame(spark, [("a", "P1", "P1_1", 20.0, 21.0, 0, 0), ("b", "P1", "P1_2", 20.0, 21.0, 0, 0)]).withColumn("subset", F.lit("val"))
+    bank = spark.createDataFrame([("P1_1", float(t), t) for t in range(1, 20)], "video_id string, t_end_s double, row long")
+    assert plans.validation_history(ev.where("video_id = 'P1_1'"), bank, 4).count() == 4
+    with pytest.raises(IntegrityError, match="video_without_clips"):
+        plans.validation_history(ev, bank, 4)
+
+
+def test_attention_joins_queries_once_and_answers_events_without_steps(spark):
+    steps = spark.createDataFrame([("a", 1, True, [1.0, 0.0]), ("a", 2, True, [0.0, 1.0])], "narration_id string, k int, valid boolean, vector array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "narration_id string, q array<double>")
+    once = {r["narration_id"]: r for r in VX.attend(steps, "q", "vector", "vector", "valid", queries=queries).collect()}
+    each = VX.attend(steps.join(queries, "narration_id"), "q", "vector", "vector", "valid").first()
+    assert once["a"]["attended"] == each["attended"] and once["b"]["attended"] == [0.0, 0.0] and once["b"]["weights"] == [[]]

@@ -82,18 +82,28 @@ def dimension_spread(df: DataFrame, vector: str, collapsed: float = 0.99) -> Dat
 
 
 def attend(steps: DataFrame, query: str, key: str, value: str, valid: str, heads: int = 1,
-           by: str = "narration_id", order: str = "k") -> DataFrame:
+           by: str = "narration_id", order: str = "k", queries: DataFrame | None = None) -> DataFrame:
     """Masked attention per event: scaled dot products of the query with the keys of valid steps,
     softmax, weighted sum of values. Without a usable key the result is a zero vector and zero
     weights. Heads are equal consecutive ranges of the vectors.
 
-    Steps of an event are few and fixed in number; each is scored before they are brought together."""
+    Steps of an event are few and fixed in number; each is scored before they are brought together. With
+    ``queries`` (``by`` and the query), the query joins once per event instead of travelling with every step, and
+    events without any step are answered too; leave steps that aren't valid out then."""
     fields = [F.col(order).alias("k"), F.col(valid).alias("ok")]
     fields += [F.col(key).alias("key")] if key != value else []
     item = F.struct(*fields, F.col(value).alias("value"))
-    g = steps.groupBy(by).agg(F.first(query).alias("q"), F.array_sort(F.collect_list(item)).alias("steps"))
     kind = dict(steps.dtypes)[by]
-    return g.mapInArrow(attention(heads), f"{by} {kind}, attended array<double>, weights array<array<double>>")
+    schema = f"{by} {kind}, attended array<double>, weights array<array<double>>"
+    gathered = F.array_sort(F.collect_list(item)).alias("steps")
+    if queries is None:
+        return steps.groupBy(by).agg(F.first(query).alias("q"), gathered).mapInArrow(attention(heads), schema)
+    asked = queries.select(by, F.col(query).alias("q"))
+    told = asked.join(steps.groupBy(by).agg(gathered), by, "left")
+    zeros = F.transform("q", lambda x: F.lit(0.0)).alias("attended")
+    none = F.array_repeat(F.array().cast("array<double>"), heads).alias("weights")
+    return (told.where("steps IS NOT NULL").mapInArrow(attention(heads), schema)
+            .unionByName(told.where("steps IS NULL").select(by, zeros, none)))
 
 
 def gate_fuse(df: DataFrame, branches: Sequence[str], scores: str, available: str) -> DataFrame:

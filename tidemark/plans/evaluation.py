@@ -4,11 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import checks as C, metrics as M, stats as S, temporal as T
+from ..session import checkpointed
 
 
 def validation_history(split: DataFrame, bank: DataFrame, steps: int = 16, stride: float = 1.0) -> DataFrame:
-    """History of every event, after the gate that nothing used lies past its cutoff."""
-    rows = T.history(split, bank, steps, stride, keep=("subset",))
+    """History of every event, stored once, after the gates that nothing used lies past its cutoff and that every event
+    with a cutoff has a video with clips (it must not fall back to the prior for want of a file)."""
+    lost = C.missing_keys(split.where("sta_cutoff >= 0"), bank, "video_id")
+    C.enforce(lost.select(F.lit("video_without_clips").alias("check"), F.col("video_id").alias("id"), F.lit("").alias("detail")))
+    rows = checkpointed(T.history(split, bank, steps, stride, keep=("subset",)))
     C.enforce(C.check_before_cutoff(rows))
     return rows
 

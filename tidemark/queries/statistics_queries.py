@@ -274,18 +274,18 @@ SELECT e.narration_id, {sql6('coalesce(sum(0.8 * pow(0.2, age) * p.vector[1]), 0
 FROM ev e LEFT JOIN past p USING (narration_id) GROUP BY e.narration_id""".replace("\n,", ",", 1))
 def w9(spark, sf):
     steps = step_vectors(spark, sf)
-    q = SA.ema(steps, "vector", "valid")
-    return q.select("narration_id", r6(F.col("ema")[0]).alias("ema_1"), r6(F.col("ema")[63]).alias("ema_64"))
+    q = V.action_events(spark, sf).select("narration_id").join(SA.ema(steps, "vector", "valid"), "narration_id", "left")
+    zero = F.lit(0.0)
+    return q.select("narration_id", r6(F.coalesce(F.col("ema")[0], zero)).alias("ema_1"), r6(F.coalesce(F.col("ema")[63], zero)).alias("ema_64"))
 
 
 def step_vectors(spark, sf):
-    """History steps with their clip vector (zeros where invalid)."""
-    h = V.history_rows(spark, sf).select("narration_id", "k", "valid", "row")
+    """Valid history steps with their clip vector. Steps without a clip stay away from the join on vectors."""
+    h = V.history_rows(spark, sf).where("valid").select("narration_id", "k", "valid", "row")
     e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = e.agg(F.count(F.lit(1)).alias("_vectors"))
     keyed = with_scalar(h, n).withColumn("vec_id", F.col("row") % F.col("_vectors"))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), 64)
-    return keyed.join(e, "vec_id", "left").select("narration_id", "k", "valid", F.coalesce("vector", zeros).alias("vector"))
+    return keyed.join(e, "vec_id").select("narration_id", "k", "valid", "vector")
 
 
 @query("w10_best_epoch", f"""WITH log AS (SELECT concat('c', l_suppkey % 50) AS run, CAST(date_diff('month', DATE '1992-01-01', l_shipdate) AS INTEGER) AS epoch,
