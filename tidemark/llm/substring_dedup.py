@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .words import SPACE, Words, inside, mix, ngrams, powers, slices
 
 LEAST, ANCHOR = 50, 16
-OFTEN = 4096
+OFTEN = 1 << 14
+SLICE = 1 << 20
 SHARD_WORDS = 1 << 19
 WORD_BYTES = 6
 
@@ -65,13 +66,15 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         self.n, self.depth = len(text), depth
         rank = text.astype(np.int64)
+        needed = {1 << ((d or 1).bit_length() - 1) for d in (depth, depth - 1)}
         ranks, k = {1: rank}, 1
         while k < depth:
             later = np.zeros(self.n, np.int64)
             later[:-k or None] = rank[k:] + 1 if k < self.n else 0
             rank = np.unique(rank * np.int64(self.n + int(rank.max(initial=0)) + 2) + later, return_inverse=True)[1].reshape(-1)
             k *= 2
-            ranks[k] = rank
+            if k in needed:
+                ranks[k] = rank
         self.suffixes = np.argsort(rank, kind="stable")
         before = text[self.suffixes - 1].copy()
         before[self.suffixes == 0] = 0
@@ -148,7 +151,7 @@ class FMIndex:
 
 def _anchors(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             found = Anchored(Words(part.column("text")), least)
             new = np.unique(np.stack([found.document, found.anchor]), axis=1) if len(found.anchor) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(new[1]), part.column("doc_id").take(pa.array(new[0])), part.column("h").take(pa.array(new[0]))], names=["anchor", "doc_id", "h"])
@@ -162,7 +165,8 @@ FRAGMENT = "key long, alike long, doc_id long, h long, start long, words binary"
 def _fragments(least: int):
     """Of documents with `shared` anchors (anchor, often). Of fragments that are alike in a slice only the first carries its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        some_shared = (batch.filter(pc.is_valid(batch.column("shared"))) for batch in batches)
+        for part in slices(some_shared, most=SLICE):
             words = Words(part.column("text"))
             found = Anchored(words, least)
             lists = part.column("shared")
@@ -276,12 +280,13 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 def earlier_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, h, start, n: runs of words (they may overlap) to remove. docs: doc_id, text, h (a hash of the text), none of them null."""
-    anchors = docs.mapInArrow(_anchors(least), "anchor long, doc_id long, h long")
+    """doc_id, h, start, n: runs of words (they may overlap) to remove. docs: doc_id, text, h (a hash of the text), and what else there is."""
+    anchors = docs.select("doc_id", "text", "h").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_anchors(least), "anchor long, doc_id long, h long")
     shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
               .where("low < high").select("anchor", (F.col("n") > OFTEN).alias("often")))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "often")).alias("shared"))
-    fragments = docs.join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "shared").mapInArrow(_fragments(least), FRAGMENT)
+    # the left side is, column by column, that of the join which applies the result, so texts are shuffled once for both
+    fragments = docs.join(wanted, ["doc_id", "h"], "left").select(*docs.columns, "shared").mapInArrow(_fragments(least), FRAGMENT)
     return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(least), "doc_id long, h long, start long, n long")
 
 
@@ -302,7 +307,7 @@ def kept_bytes(words: Words, keep: np.ndarray) -> list[bytes]:
 
 def _apply(derive, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             words = Words(part.column("text"))
             spans = part.column("spans")
             flat = spans.flatten()
@@ -322,8 +327,7 @@ def _apply(derive, names: list[str]):
 
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
     docs = docs.withColumn("h", F.xxhash64("text"))
-    plain = docs.select("doc_id", "text", "h")
-    spans = (earlier_passages(plain.where("doc_id IS NOT NULL AND text IS NOT NULL"), least)
+    spans = (earlier_passages(docs, least)
              .groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
     return docs.join(spans, ["doc_id", "h"], "left").withColumn("spans", F.coalesce("spans", none)).drop("h")
@@ -340,11 +344,12 @@ def remove_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def remove(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """`docs` with the texts as they are after removal: texts that lose words become the kept words joined by one space, others stay.
     Documents that lose all their words are left out. Other columns pass, whatever they are called."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def texts_of(part: pa.RecordBatch, texts: list[bytes], removed: np.ndarray) -> pa.Array:
         return pa.array([t.decode() if gone else old for t, gone, old in zip(texts, removed.tolist(), part.column("text").to_pylist())], pa.string())
 
-    schema = f"row {docs.select(F.struct(*(F.col(f'`{c}`') for c in docs.columns)).alias('row')).schema['row'].dataType.simpleString()}, n_words long, n_removed long, text string"
+    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
     done = _with_spans(rows, least).select("row", "text", "spans").mapInArrow(_apply(texts_of, ["row", "n_words", "n_removed", "text"]), schema)
     return done.where("n_removed = 0 OR n_removed < n_words").select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
