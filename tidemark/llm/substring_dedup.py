@@ -3,7 +3,7 @@
 Every window of `least` words belongs to its anchor: of the n-grams of `ANCHOR` words inside it, the one with the smallest hash, so
 equal windows have equal anchors wherever they stand. Anchors that only one document has are counted out first. Around each other
 anchor a document gives a fragment, the words of all windows that belong to it; fragments with one anchor meet in one shard, and
-fragments that are alike within a part of the table travel once. An anchor that is found very often is spread: its windows travel
+fragments that are alike within a part of the table travel once. An anchor that is found at very many places is spread: its windows travel
 singly, each by its own hash, so no shard gathers what one common passage brings.
 
 A shard's different fragments form one text, which is indexed by a suffix array cut at depth 64, its Burrows-Wheeler transform and a
@@ -153,8 +153,12 @@ def _anchors(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=SLICE):
             found = Anchored(Words(part.column("text")), least)
-            new = np.unique(np.stack([found.document, found.anchor]), axis=1) if len(found.anchor) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(new[1]), part.column("doc_id").take(pa.array(new[0])), part.column("h").take(pa.array(new[0]))], names=["anchor", "doc_id", "h"])
+            order = np.lexsort((found.anchor, found.document))
+            document, anchor = found.document[order], found.anchor[order]
+            first = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (anchor[1:] != anchor[:-1])])) if len(order) else order
+            rows = pa.array(document[first])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(np.diff(np.append(first, len(order))))],
+                                             names=["anchor", "doc_id", "h", "places"])
 
     return run
 
@@ -281,8 +285,8 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 def earlier_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, h, start, n: runs of words (they may overlap) to remove. docs: doc_id, text, h (a hash of the text), and what else there is."""
-    anchors = docs.select("doc_id", "text", "h").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_anchors(least), "anchor long, doc_id long, h long")
-    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    anchors = docs.select("doc_id", "text", "h").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_anchors(least), "anchor long, doc_id long, h long, places long")
+    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("places").alias("n"))
               .where("low < high").select("anchor", (F.col("n") > OFTEN).alias("often")))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "often")).alias("shared"))
     # the left side is, column by column, that of the join which applies the result, so texts are shuffled once for both
