@@ -193,7 +193,8 @@ def _fragments(least: int):
                 key, document = key[each].copy(), document[each]
                 key[single] = ngrams(found.hashes, least)[begin[single]].view(np.int64) if single.any() else key[single]
             size = end - begin + least
-            grams = np.concatenate([[0], np.cumsum(found.hashes * powers(0xD6E8FEB86659FD93, len(found.hashes)))]).astype(np.uint64) if len(found.hashes) else np.zeros(1, np.uint64)
+            grams = np.zeros(len(found.hashes) + 1, np.uint64)
+            np.cumsum(found.hashes * powers(0xD6E8FEB86659FD93, len(found.hashes)), out=grams[1:])
             back = powers(pow(0xD6E8FEB86659FD93, -1, 1 << 64), len(found.hashes) + 1)
             alike = mix((grams[begin + size] - grams[begin]) * back[begin] + size.astype(np.uint64))
             first = np.zeros(len(begin), bool)

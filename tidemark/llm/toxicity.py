@@ -4,13 +4,14 @@ A word enters the network as two vectors side by side: one of the word itself (h
 element-wise largest of the vectors of its byte 4-grams, edges included, so that unseen forms of a known word are
 recognised. Windows of `SPAN` words, each beginning `STEP` words after the one before it and the last ending with the
 document, are read in both directions; attention weighs the states, and their weighted sum gives a window's logit. A document
-scores as its most toxic window. Training (numpy, on the driver) takes a bounded sample of labelled documents; every window
+scores as its most toxic window. Training (numpy, in one task) takes a bounded sample of labelled documents; every window
 of every document is scored on the executors.
 
 Null and empty texts have one window without words. Labels other than 0 and 1 are left out of the sample, of repeated labels
 the larger counts. Without both classes in the sample no network is trained and all scores are 0."""
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import SLICE_BYTES, Words, mix, slices
+from .words import SLICE_BYTES, Words, as_strings, mix, slices
 
 SPAN, STEP = 64, 48
 HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 8, 12, 12, 8
@@ -270,15 +271,23 @@ def _calibrate(best: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Network | None:
     """Train on documents whose crc32(doc_id as text) modulo `fold` is not 0: at most `SAMPLE_TOXIC` and `SAMPLE_CLEAN` of each
-    class, the first by a hash of their id, with texts of at most `SAMPLE_BYTES`. Only these reach the driver."""
+    class, the first by a hash of their id, with texts of at most `SAMPLE_BYTES`. The bounded sample is gathered in one task, which
+    trains and returns the network."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
              .where(F.crc32(F.col("doc_id").cast("string")) % fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = []
-    for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+    def part(toxic: int, most: int) -> DataFrame:
         picked = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows += short.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(most).collect()
-    return train(pa.array([r["text"] for r in rows], pa.large_string()), np.array([r["toxic"] for r in rows], np.int64)) if rows else None
+        return short.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(most).select("doc_id", "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({"doc_id": [], "text": pa.array([], pa.string()), "toxic": []})]).sort_by("doc_id")
+        network = train(as_strings(rows.column("text")), np.asarray(rows.column("toxic"), np.int64)) if rows.num_rows else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
+
+    sample = part(1, SAMPLE_TOXIC).union(part(0, SAMPLE_CLEAN)).coalesce(1)
+    found = sample.mapInArrow(run, "network binary").collect()
+    return pickle.loads(found[0]["network"]) if found else None
 
 
 def score(docs: DataFrame, network: Network | None, fold: int = 5) -> DataFrame:

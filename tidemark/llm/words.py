@@ -106,10 +106,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_RANDOM[self.data] * powers(BASE, len(self.data)), out=sums[1:])
-        back = powers(inverse(BASE), len(self.data) + 1)[self.starts]
-        return mix((sums[self.ends] - sums[self.starts]) * back)
+        """A hash of each word's bytes, wherever they stand. Worked out for about `SLICE_BYTES` at a time."""
+        out = np.zeros(len(self.starts), np.uint64)
+        begin = 0
+        while begin < len(out):
+            base = self.starts[begin]
+            end = max(begin + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, "right")))
+            data = self.data[base:self.ends[end - 1]]
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_RANDOM[data] * powers(BASE, len(data)), out=sums[1:])
+            starts, ends = self.starts[begin:end] - base, self.ends[begin:end] - base
+            out[begin:end] = mix((sums[ends] - sums[starts]) * powers(inverse(BASE), len(data) + 1)[starts])
+            begin = end
+        return out
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
