@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
 from .words import SPACE, Words, as_strings, inside, inverse, mix, ngrams, powers, slices, text_bytes, BASE, _RANDOM
@@ -107,9 +107,12 @@ def model(docs: DataFrame) -> list[DataFrame]:
                for i in (1, 2, 3)]
         discounts = seen.select("lang", *(c.alias(f"d{i}") for i, c in enumerate(cut, 1)))
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = grams.join(discounts, "lang").select("lang", "gram", "n", taken.alias("taken"), F.shiftright("gram", 8).alias("context"))
-        contexts = grams.groupBy("lang", "context").agg(F.sum("n").alias("all"), (F.sum("taken") / F.sum("n")).alias("back"))
-        direct = grams.join(contexts, ["lang", "context"]).withColumn("direct", (F.col("n") - F.col("taken")) / F.col("all"))
+        # discounts are one row for each language; a context has at most 256 n-grams, so its window is small
+        grams = grams.join(F.broadcast(discounts), "lang").select("lang", "gram", "n", taken.alias("taken"), F.shiftright("gram", 8).alias("context"))
+        same = Window.partitionBy("lang", "context")
+        total = F.sum("n").over(same)
+        direct = grams.select("lang", "gram", "n", "context", ((F.col("n") - F.col("taken")) / total).alias("direct"), (F.sum("taken").over(same) / total).alias("back"))
+        contexts = direct.groupBy("lang", "context").agg(F.first("back").alias("back"))
         if order == 1:
             kinds = F.lit(1.0 / 256)
             ready = direct.select("lang", "gram", "n", (F.col("direct") + F.col("back") * kinds).alias("p"))
