@@ -206,6 +206,26 @@ def test_kneser_ney_probabilities_sum_to_one_and_bands_work(spark):
     assert perplexity.quality(docs.limit(0)).count() == 0
 
 
+def test_a_small_language_is_scored_alike_beside_a_large_one(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rare = [babble(rng, 60) for _ in range(20)] + ["", None]
+    hot = ["".join(map(chr, rng.integers(33, 127, 20_000))) for _ in range(15)]  # 300,000 different n-grams
+    want = {r["doc_id"]: r["log_perplexity"] for r in perplexity.quality(frame(spark, rare, langs=["rare"] * 22)).collect()}
+    docs = frame(spark, rare + hot, langs=["rare"] * 22 + ["hot"] * 15)
+    for name, value in (("UNIT_BYTES", 50_000), ("RANGE_ROWS", 5_000)):
+        monkeypatch.setattr(perplexity, name, value, raising=False)
+    tables = perplexity.model(docs)
+    got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.quality(docs).collect()}
+    assert len(got) == 37 and got[20] is None and got[21] is None
+    assert [got[i] for i in range(20)] == pytest.approx([want[i] for i in range(20)], rel=1e-5)
+    arrays = perplexity.Arrays(tables)
+    assert len(arrays.orders[-1][0]) == tables[-1].count() > 290_000
+    language = perplexity.language_key("hot")
+    for context in (hot[0][:4].encode(), b"\0\0\0\0"):
+        grams = np.array([language << 40 | int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
+        assert np.exp(arrays.log_probabilities(grams).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(300, 16)).astype(np.float32)

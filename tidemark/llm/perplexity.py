@@ -2,9 +2,12 @@
 
 The model is an interpolated modified Kneser-Ney model over bytes, of order `ORDER`, one for each value of `lang`. Spark counts
 the n-grams of all documents (each task adds up its own first), and joins and aggregates derive continuation counts,
-discounts, back-off weights and probabilities. For scoring, the model lies in sorted arrays of 64-bit hashes, one array for
-each order; a hash falls in one of `SLOTS` slots and a slot keeps its most frequent n-gram, so the arrays are bounded whatever
-the corpus holds, and may be broadcast. An n-gram without an entry backs off. White space counts as one space.
+discounts, back-off weights and probabilities, all of which stay. White space counts as one space.
+
+Scoring joins the texts with the model on Spark. Texts are dealt into units of about `UNIT_BYTES`, packed, and shuffled once. A unit asks
+for its distinct n-grams, cut by ranges of their hashes; each range of the model answers with probabilities, and the unit adds
+them up along its texts. No task holds more of the model than a range or the n-grams of its unit. The model has counted the texts it
+scores, so each n-gram has an entry; one without is an error. `Arrays` scores any n-gram, with back-off, where a model fits in memory.
 
 Bands: per language the median of log-perplexity over all documents of at least `LEAST_WORDS` words, and below and above it
 `SPREADS` times the distance to the quartile there, but `LEAST_WIDTH` at least. A document outside is rejected, as is
@@ -20,7 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import checkpointed
 from .words import SPACE, Words, as_strings, inside, inverse, mix, ngrams, powers, slices, text_bytes, BASE, _RANDOM
 
-ORDER, SLOTS = 5, 1 << 22
+ORDER = 5
+UNIT_BYTES, RANGE_ROWS, ASKED_ROWS = 1 << 25, 1 << 19, 1 << 23
 LEAST_WORDS, SPREADS, LEAST_WIDTH = 50, 6.0, 0.1
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -136,47 +140,54 @@ def hashed(keys: np.ndarray, order: int) -> np.ndarray:
     return mix(((keys & kept) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+class Sorted:
+    """Sorted hashes, each with a place."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = max(4, min(22, len(hashes).bit_length() + 1))  # where hashes with the same leading bits begin
+        self.shift = np.uint64(64 - bits)
+        self.directory = np.searchsorted(hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash and whether it has one: from the directory on, hashes are passed while they are smaller."""
+        if not len(self.hashes):
+            return np.zeros(len(wanted), np.int32), np.zeros(len(wanted), bool)
+        last = np.int32(len(self.hashes) - 1)
+        at = np.minimum(self.directory[wanted >> self.shift], last)
+        there = self.hashes[at]
+        behind = np.flatnonzero((there < wanted) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            there[behind] = self.hashes[at[behind]]
+            behind = behind[(there[behind] < wanted[behind]) & (at[behind] < last)]
+        return at, there == wanted
+
+
 class Arrays:
-    """The model as sorted hash arrays: per order hashes, log-probabilities and log back-off weights."""
+    """A whole model in the memory of one process: per order sorted hashes, log-probabilities and log back-off weights."""
 
     def __init__(self, tables: list[DataFrame]):
-        self.orders, self.directories = [], []
+        self.orders, self.places = [], []
         for order, frame in enumerate(tables, 1):
-            key = F.shiftleft("lang", BYTES).bitwiseOR(F.col("gram"))
-            slot = F.pmod(F.xxhash64("lang", "gram"), F.lit(SLOTS))
-            kept = frame.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", key.alias("key"), "p", "back")).alias("best")).select("best.*")
-            data = kept.select("key", "p", "back").toArrow()
+            data = frame.select(F.shiftleft("lang", BYTES).bitwiseOR(F.col("gram")).alias("key"), "p", "back").toArrow()
             hashes = hashed(np.asarray(data.column("key"), np.int64).view(np.uint64), order)
             at = np.argsort(hashes)
             back = np.asarray(data.column("back").fill_null(1.0), np.float64)
-            self.orders.append((hashes[at], np.log(np.asarray(data.column("p"), np.float64))[at].astype(np.float32), np.log(np.maximum(back, 1e-12))[at].astype(np.float32)))
-            bits = max(4, min(22, len(hashes).bit_length() + 1))  # where hashes with the same leading bits begin
-            self.directories.append((np.uint64(64 - bits), np.searchsorted(hashes[at] >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)))
+            self.orders.append((np.log(np.asarray(data.column("p"), np.float64))[at].astype(np.float32), np.log(np.maximum(back, 1e-12))[at].astype(np.float32)))
+            self.places.append(Sorted(hashes[at]))
         roots = tables[0].groupBy("lang").agg(F.max("root").alias("root")).collect()  # a row for each language
         self.unknown = {row["lang"]: float(np.log(max(row["root"], 1e-12) / 256)) for row in roots}
 
     def find(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each n-gram and whether it has one: from the directory on, hashes are passed while they are smaller."""
-        hashes, (shift, directory) = self.orders[order - 1][0], self.directories[order - 1]
-        if not len(hashes):
-            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
-        wanted = hashed(keys, order)
-        last = np.int32(len(hashes) - 1)
-        at = np.minimum(directory[wanted >> shift], last)
-        there = hashes[at]
-        behind = np.flatnonzero((there < wanted) & (at < last))
-        while len(behind):
-            at[behind] += 1
-            there[behind] = hashes[at[behind]]
-            behind = behind[(there[behind] < wanted[behind]) & (at[behind] < last)]
-        return at, there == wanted
+        return self.places[order - 1].find(hashed(keys, order))
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.float32)
         rest = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
             at, there = self.find(keys[rest], order)
-            out[rest[there]] += self.orders[order - 1][1][at[there]]
+            out[rest[there]] += self.orders[order - 1][0][at[there]]
             rest = rest[~there]
             if not len(rest):
                 return out
@@ -184,7 +195,7 @@ class Arrays:
                 own = keys[rest]
                 context = own & np.uint64(((1 << 24) - 1) << BYTES) | (own & np.uint64((1 << 8 * order) - 1)) >> np.uint64(8)
                 at, there = self.find(context, order - 1)
-                out[rest[there]] += self.orders[order - 2][2][at[there]]
+                out[rest[there]] += self.orders[order - 2][1][at[there]]
         languages = (keys[rest] >> np.uint64(BYTES)).astype(np.int64)
         for language in np.unique(languages):
             out[rest[languages == language]] += np.float32(self.unknown.get(int(language), np.log(1 / 256)))
@@ -234,22 +245,124 @@ def counts_of(column: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": words.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": duplicate, "n_repeat_words": repeated}
 
 
-def measure(docs: DataFrame, arrays: Arrays) -> DataFrame:
-    """The base counts and log_perplexity (per byte; null for an empty text) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A compressed block for each unit among some `UNIT_BYTES` of texts."""
+    def out(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        units = np.asarray(table.column("unit"))
+        order = np.argsort(units, kind="stable")
+        cuts = np.flatnonzero(np.diff(units[order], prepend=-1, append=-1))
+        blocks = []
+        for begin, end in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            rows = table.take(pa.array(order[begin:end])).drop_columns(["unit"])
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows)
+            blocks.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(units[order][cuts[:-1]]), pa.array(blocks, pa.binary())], names=["unit", "block"])
+
+    held, size = [], 0
+    for part in slices(batches):
+        held.append(part)
+        size += part.nbytes
+        if size > UNIT_BYTES:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+def _unpacked(blocks: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for block in blocks.to_pylist():
+        yield from slices(pa.ipc.open_stream(block))
+
+
+def _ranges(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Range, first and last place for all ranges of sorted hashes that have any."""
+    own = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1)) if len(own) else []
+    return ((int(own[begin]), begin, end) for begin, end in zip(cuts, cuts[1:]))
+
+
+def _answers(top: DataFrame, packed: DataFrame, bits: int) -> DataFrame:
+    """unit, hashes, values: the log-probabilities of all n-grams of each unit, by ranges."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held):
+            hashes = hashed(np.concatenate([np.asarray(b.column("key"), np.int64) for b in held]).view(np.uint64), ORDER)
+            at = np.argsort(hashes)
+            hashes, values = hashes[at], np.log(np.concatenate([np.asarray(b.column("p"), np.float64) for b in held]))[at].astype(np.float32)
+            rows = [(r, hashes[a:b].tobytes(), values[a:b].tobytes()) for r, a, b in _ranges(hashes, bits)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["range", "hashes", "values"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > 2_000_000:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    def ask(table: pa.Table) -> pa.Table:
+        held, size = [], 0
+        for part in _unpacked(table.column("block")):
+            held.append(np.unique(grams_of(part)[0]))
+            size += len(held[-1])
+            if size > 4_000_000:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+        hashes = np.sort(hashed(np.unique(np.concatenate(held)), ORDER)) if held else np.zeros(0, np.uint64)
+        rows = [(r, hashes[a:b].tobytes()) for r, a, b in _ranges(hashes, bits)]
+        return pa.table({"range": pa.array([r for r, _ in rows], pa.int64()), "unit": pa.array([table.column("unit")[0].as_py()] * len(rows), pa.int64()), "hashes": pa.array([h for _, h in rows], pa.binary())})
+
+    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
+        hashes, values = (np.frombuffer(b"".join(known.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("values", np.float32)))
+        order = np.argsort(hashes)
+        places, values, out = Sorted(hashes[order]), values[order], []
+        for wanted in asked.column("hashes").to_pylist():
+            at, there = places.find(np.frombuffer(wanted, np.uint64))
+            if not there.all():
+                raise ValueError("the model lacks n-grams of the texts: it must be counted over the same rows")
+            out.append(values[at].tobytes())
+        return pa.table({"unit": asked.column("unit"), "hashes": asked.column("hashes"), "values": pa.array(out, pa.binary())})
+
+    model_rows = top.select(F.shiftleft("lang", BYTES).bitwiseOR(F.col("gram")).alias("key"), "p").mapInArrow(entries, "range long, hashes binary, values binary")
+    asked = packed.groupBy("unit").applyInArrow(ask, "range long, unit long, hashes binary")
+    return model_rows.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(answer, "unit long, hashes binary, values binary")
+
+
+def measure(docs: DataFrame, top: DataFrame) -> DataFrame:
+    """The base counts and log_perplexity (per byte; null for an empty text) of every row. `top` is the highest order of the
+    model of these rows."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    units, entries = max(4 * cores, -(-size // UNIT_BYTES)), top.count()
+    ranges = max(4 * cores, -(-entries // RANGE_ROWS), -(-min(size, units * entries) // ASKED_ROWS))
+    # what decides on the unit is the row alone, so that both readers below deal alike; they share one shuffle
+    packed = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units))).mapInArrow(_packed, "unit long, block binary")
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes, values = (np.frombuffer(b"".join(answers.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("values", np.float32)))
+        order = np.argsort(hashes)
+        places, values, out = Sorted(hashes[order]), values[order], []
+        for part in _unpacked(texts.column("block")):
             found = counts_of(part.column("text"))
             grams, offsets = grams_of(part)
-            sums = np.concatenate([[0.0], np.cumsum(shared.value.log_probabilities(grams), dtype=np.float64)])
+            at, there = places.find(hashed(grams, ORDER))
+            if not there.all():
+                raise ValueError("n-grams of a unit without an answer")
+            sums = np.concatenate([[0.0], np.cumsum(values[at], dtype=np.float64)])
             sizes = np.diff(offsets)
             mean = -(sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(1, sizes)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(v.astype(np.int64)) for v in found.values()), pa.array(mean, mask=sizes == 0)],
-                                             names=["doc_id", "lang", *found, "log_perplexity"])
+            out.append(pa.table([part.column("doc_id"), part.column("lang"), *(pa.array(v.astype(np.int64)) for v in found.values()), pa.array(mean, mask=sizes == 0)],
+                                names=["doc_id", "lang", *found, "log_perplexity"]))
+        return pa.concat_tables(out)
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, COUNTS + ", log_perplexity double"))
+    answers = _answers(top, packed, (ranges - 1).bit_length())
+    return packed.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(run, COUNTS + ", log_perplexity double")
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -268,4 +381,4 @@ def judge(measured: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """Counts, perplexity and verdict of every row of `docs` (doc_id, lang, text). What is measured is kept in the checkpoint
     folder, as bands need it before verdicts do."""
-    return judge(checkpointed(measure(docs, Arrays(model(docs)))))
+    return judge(checkpointed(measure(docs, model(docs)[-1])))
