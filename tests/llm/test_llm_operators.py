@@ -122,6 +122,25 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_threshold_of_the_pipeline(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(8000):  # 40 words of 50 are common
+        words = [f"w{x}" for x in rng.choice(10 ** 6, 50, replace=False)]
+        texts += [" ".join(words[:45]), " ".join(words[:40] + words[45:])]
+    signed = pa.Table.from_batches(near_dedup._sign(1)([pa.record_batch({"doc_id": pa.array(range(16000)), "text": pa.array(texts)})]))
+    values = np.frombuffer(b"".join(signed.column("signature").to_pylist()), np.uint32).reshape(8000, 2, near_dedup.COORDINATES)
+    collisions = (values[:, 0] == values[:, 1]).sum(1)
+    few = np.flatnonzero((collisions >= 27) & (collisions < 30))[:5]
+    rows = [(int(i), texts[i]) for at in few for i in (2 * at, 2 * at + 1)]
+    assert len(few)
+    got = {r[0]: tuple(r)[1:] for r in near_dedup.near_duplicates(frame(spark, [t for _, t in rows], ids=[i for i, _ in rows]), 1, 80).collect()}
+    assert got == brute_classes(rows, 1, 80) and sum(kept for *_, kept in got.values()) == len(few)
+    assert [near_dedup.matches(percent) for percent in (80, 85, 100)] == [27, 30, 48]
+    with pytest.raises(ValueError):
+        near_dedup.matches(5)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 50), (100, 70), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}

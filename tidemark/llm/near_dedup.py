@@ -3,10 +3,10 @@
 1. Every document gets the set of its word shingles and a MinHash signature of `COORDINATES` values. Documents with the same set are
    one node from here on, named by the smallest id.
 2. Each (coordinate, value) pair is a posting list. Lists of one document go first, and with them every document that has too few
-   pairs left to reach `MATCHES` collisions. Pairs have a global order, rare ones first; two documents with `MATCHES` collisions
+   pairs left to reach MATCHES collisions. Pairs have a global order, rare ones first; two documents with MATCHES collisions
    share one of the first COORDINATES - MATCHES + 1 pairs of each, so a document is posted under these only.
 3. In a list, collisions are counted on whole signatures; a partner whose set size rules the similarity out is skipped. Documents
-   with `MATCHES` collisions are of one family.
+   with MATCHES collisions are of one family.
 4. In a family, links are confirmed on full sets: 100 * intersection >= percent * union. Components of confirmed links are the
    classes.
 
@@ -16,10 +16,12 @@ that join a block's members to their smallest are returned. So a group of copies
 unlike its pivot, and no task holds more than two blocks.
 
 Null and empty texts have no set and are linked with nothing. Texts of fewer words than a shingle have one, the whole sequence. Rows that
-share an id are linked with each other. The chance that a link at the threshold misses `MATCHES` collisions is below 1 in 20,000."""
+share an id are linked with each other. MATCHES is the largest count that a link at the threshold misses with a chance below `MISSES`
+(1 in 20,000): 27 at 80 percent, 30 at 85."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,23 @@ from ..session import checkpointed
 from .components import components
 from .words import Words, mix, ngrams, slices
 
-COORDINATES, MATCHES = 48, 30
+COORDINATES, MISSES = 48, 1 / 20_000
 BLOCK, UNIT_ROWS = 512, 20_000
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches(percent: int) -> int:
+    """Collisions that a pair must have: as many as all but `MISSES` of the pairs at the threshold reach."""
+    p, tail = percent / 100, 0.0
+    for count in range(COORDINATES + 1):
+        tail += comb(COORDINATES, count) * p ** count * (1 - p) ** (COORDINATES - count)  # at most `count` collisions
+        if tail >= MISSES:
+            break
+    if not count:
+        raise ValueError(f"{COORDINATES} coordinates are too few for {percent} percent")
+    return count
+
+
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts one after the other, sorted within each, and where each text begins."""
     words = Words(column, lower=True)
@@ -158,18 +172,20 @@ def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signature_rules(percent: int):
+    least = matches(percent)
+
     def matrix(payloads) -> np.ndarray:
         return np.frombuffer(b"".join(payloads), np.uint32).reshape(len(payloads), COORDINATES)
 
     def pivot(own, n, theirs, m):
-        return ((matrix(own) == matrix(theirs)).sum(1) >= MATCHES) & _fits(n, m, percent)
+        return ((matrix(own) == matrix(theirs)).sum(1) >= least) & _fits(n, m, percent)
 
     def block(own, n, theirs, m):
         a, b = matrix(own), matrix(theirs)
         count = np.zeros((len(a), len(b)), np.uint8)
         for j in range(COORDINATES):
             count += a[:, j, None] == b[None, :, j]
-        return (count >= MATCHES) & _fits(n[:, None], m[None], percent)
+        return (count >= least) & _fits(n[:, None], m[None], percent)
 
     return pivot, block
 
@@ -210,6 +226,7 @@ def _set_rules(percent: int):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text). Signatures, families and their sets are stored in the
     checkpoint folder between the steps."""
+    least = matches(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(docs.mapInArrow(_sign(size), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"))
     filled = signed.where("n_shingles > 0")
@@ -222,9 +239,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = posted.join(counts, "pair")
     order = Window.partitionBy("id").orderBy("often", "pair")
     placed = (shared.withColumn("place", F.row_number().over(order)).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("id")))
-              .withColumn("score", F.sum("often").over(Window.partitionBy("id"))).where(F.col("left") >= MATCHES))
+              .withColumn("score", F.sum("often").over(Window.partitionBy("id"))).where(F.col("left") >= least))
     # pairs of one document stand before all others in the order
-    prefix = placed.where(F.col("place") + (COORDINATES - F.col("left")) <= COORDINATES - MATCHES + 1).select("id", "pair", "score")
+    prefix = placed.where(F.col("place") + (COORDINATES - F.col("left")) <= COORDINATES - least + 1).select("id", "pair", "score")
     members = prefix.join(nodes, "id").select(F.col("pair").alias("grp"), "id", "n", F.col("score").alias("rank"), F.col("signature").alias("payload"))
     families = components(_links(members, *_signature_rules(percent)))
 
