@@ -1,6 +1,6 @@
 """A corpus run in stages, each working on all that the stage before it has kept.
 
-Toxic documents go; later copies of repeated line runs go; of near-duplicates (five-word shingles, similarity 0.8 or more) the one
+Toxic documents go; later copies of lines go, also where a line is repeated alone; of near-duplicates (five-word shingles, similarity 0.8 or more) the one
 with the smallest id stays; passages of 50 words or more that an earlier document has go; what is left is packed into sequences.
 Documents from which lines or passages took every word go as well. `n_chars` follows the text."""
 from __future__ import annotations
@@ -22,7 +22,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = line_dedup.dedup(docs).where(r"n_removed = 0 OR text RLIKE '[^ \\t\\n\\x0B\\f\\r]'")
+    rest = line_dedup.dedup(docs, least=1).where(r"n_removed = 0 OR text RLIKE '[^ \\t\\n\\x0B\\f\\r]'")
     return _like(docs, rest)
 
 

@@ -60,3 +60,11 @@ def test_stages(spark, corpus):
     assert {r["doc_id"] for r in rows} == set(last)
     assert all(r["ids_crc32"] == zlib.crc32(tokens[r["doc_id"]][4 * r["start"]:4 * (r["start"] + r["length"])]) for r in rows)
     assert len(rows) == sum(len(packing.pieces_of(len(t) // 4)) for t in tokens.values())
+
+
+def test_lines_that_are_repeated_alone_go(spark):
+    texts = ["one\nlicence line\ntwo", "three\nlicence line\nfour", "only line", "only line", "five\n\nsix"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    want = {0: texts[0], 1: "three\nfour", 2: texts[2], 4: texts[4]}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
