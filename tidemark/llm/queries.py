@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import fresh_folder
-from . import bpe, html_text, line_dedup, near_dedup, neighbours, packing, perplexity, substring_dedup, token_counts, toxicity
+from . import (bpe, html_text, line_dedup, near_dedup, neighbours, packing, perplexity, substring_dedup, token_counts, toxicity, url_filter,
+               vector_codes, whitening)
 from .pretokens import library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,63 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_qdwh_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.integer_rows(table(spark, sf, "embeddings"))
+    return whitening.transform(rows, whitening.fit(rows))
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds one after the other, every part against every entry; distance and index are one number, so that its minimum has the lower index."""
+    nearest = """a{0} AS MATERIALIZED (SELECT r, p, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + e) AS best
+  FROM parts JOIN b{0} USING (p) GROUP BY r, p)"""
+    update = """s{0} AS (SELECT p, a.best % 16 AS e, i, sum(v[i]) AS s, count(*) AS n FROM a{1} a JOIN parts USING (r, p), range(1, 65) t(i) WHERE i <= len(v) GROUP BY ALL),
+m{0} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{0} GROUP BY p, e),
+b{0} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{1} b LEFT JOIN m{0} m USING (p, e))"""
+    steps = []
+    for turn in range(rounds):
+        steps += [nearest.format(turn), update.format(turn + 1, turn)]
+    return f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+  list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (SELECT r, p, list_slice(x, p * (len(x) // 8) + 1, (p + 1) * (len(x) // 8)) AS v FROM kept, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= 16),
+{(","+chr(10)).join(steps)},
+{nearest.format(rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+whole AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), whole"""
+
+
+@query("op12_laesa_vector_codes", _codes_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.codes(vector_codes.integer_rows(table(spark, sf, "embeddings")))[0]
+
+
+URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+             url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
+
+# Edges by the canonical links and refreshes with absolute targets in double quotes; classes by reachability.
+URL_SQL = r"""WITH RECURSIVE rules(rule, host, path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+edges AS (SELECT url AS source, unnest(regexp_extract_all(html, '<link rel="canonical" href="([^"]+)"', 1) ||
+  regexp_extract_all(html, '<meta http-equiv="refresh" content="\d+;\s*url=([^"]+)"', 1)) AS target FROM pages),
+urls AS (SELECT url FROM pages UNION SELECT source FROM edges UNION SELECT target FROM edges),
+cut AS (SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM urls),
+named AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS node FROM cut),
+ruled AS (SELECT n.url, n.host, n.path, n.node, r.rule, r.verdict FROM named n LEFT JOIN rules r
+  ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) QUALIFY row_number() OVER (PARTITION BY n.url ORDER BY length(r.rule) DESC) = 1),
+pairs AS (SELECT a.node AS a, b.node AS b FROM edges JOIN named a ON source = a.url JOIN named b ON target = b.url WHERE a.node IS NOT NULL AND b.node IS NOT NULL),
+reached(node) AS (SELECT node FROM ruled WHERE verdict = 'block' UNION
+  SELECT CASE WHEN p.a = reached.node THEN p.b ELSE p.a END FROM reached JOIN pairs p ON reached.node IN (p.a, p.b)),
+last AS (SELECT *, rule IS NULL AND coalesce(node IN (SELECT node FROM reached WHERE node IS NOT NULL), false) AS by_alias FROM ruled)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN by_alias THEN 'block' ELSE 'allow' END) AS verdict, by_alias
+FROM pages JOIN last ON pages.url IS NOT DISTINCT FROM last.url"""
+
+
+@query("op13_redirect_url_filter", URL_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
