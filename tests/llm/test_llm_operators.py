@@ -122,6 +122,34 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    rng = np.random.default_rng(21)
+    one, two, three = (babble(rng, 60).split() for _ in range(3))
+    near = lambda words: " ".join([*words[:30], "new", *words[31:]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, near(one)), (3, near(two)), (9, " ".join(three)), (None, " ".join(three)), (None, "alone in its class"), (5, " ".join(one))]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, [t for _, t in rows], ids=[i for i, _ in rows]), 3, 70).collect()), key=str)
+    assert got == sorted([(5, 3, False), (5, 3, False), (5, 3, False), (7, 3, False), (3, 3, True), (9, 9, True), (None, 9, False), (None, None, True)], key=str)
+
+
+def test_a_family_mostly_unlike_its_pivot(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    base = babble(rng, 80, 10 ** 6).split()
+    texts = []
+    for i in range(150):  # each near the base and a chain to the next, few near each other
+        copy = list(base)
+        for at in range(i % 12, len(copy), 12):
+            copy[at] = f"x{i % 12}"
+        copy[i % 80] = f"y{i}"
+        texts.append(" ".join(copy))
+    texts += [babble(rng, 60, 10 ** 6) for _ in range(20)]
+    want = brute_classes(list(enumerate(texts)), 2, 75)
+    docs = frame(spark, texts)
+    assert {r[0]: tuple(r)[1:] for r in near_dedup.near_duplicates(docs, 2, 75).collect()} == want
+    for name, value in (("BLOCK", 7), ("UNIT_ROWS", 20), ("UNIT_BYTES", 3000)):
+        monkeypatch.setattr(near_dedup, name, value)
+    assert {r[0]: tuple(r)[1:] for r in near_dedup.near_duplicates(docs, 2, 75).collect()} == want
+
+
 def test_near_duplicates_at_the_threshold_of_the_pipeline(spark):
     rng = np.random.default_rng(13)
     texts = []

@@ -15,7 +15,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("a", "b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _downward(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         now = checkpointed(_downward(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))))
