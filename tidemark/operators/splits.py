@@ -2,7 +2,7 @@
 depend on partitioning and any engine can recompute it."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,33 +18,38 @@ def _hash(video: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(video)))
 
 
-def _hash_threshold(videos: DataFrame, seed: int, take: Column) -> DataFrame:
-    """One row ``_cut``: the ``take``-th smallest video hash (``take`` may use ``_total``).
-
-    Found by counting per 4-digit hash prefix first, so no task ever sorts all videos."""
-    hashed = videos.select(_hash("video_id", seed).alias("_h"))
-    ranked = running(hashed, [], [F.col("_h")], F.substring("_h", 1, 4))
-    return ranked.where(F.col("_before") < take).agg(F.max("_h").alias("_cut"), F.max("_total").alias("_videos"))
+def _hash_threshold(videos: DataFrame, seed: int, take: Callable[[int], int]) -> tuple[str | None, int]:
+    """The ``take(n)``-th smallest hash of the ``n`` videos (None for the 0-th), and ``n``. Looked up at once, so that plans that use a
+    split carry one literal: a histogram of the first four digits (at most 65,536 rows) tells in which of its cells the hash lies, and only
+    this cell is sorted."""
+    hashed = videos.select(_hash("video_id", seed).alias("_h")).where("_h IS NOT NULL").distinct()
+    cells = sorted((r["cell"], r["n"]) for r in hashed.groupBy(F.substring("_h", 1, 4).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in cells)
+    rest = take(total) if total else 0
+    for cell, n in cells:
+        if 0 < rest <= n:
+            inside = hashed.where(F.substring("_h", 1, 4) == cell).orderBy("_h").limit(rest)
+            return inside.agg(F.max("_h")).first()[0], total
+        rest -= n
+    return None, total
 
 
 def grouped_split(events: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Hold out whole videos: ``round(n * fraction)`` of them (half-even, at least one on each side).
 
-    Only one hash value is broadcast; the events themselves are not shuffled."""
+    One hash is looked up at once; the events themselves are not shuffled."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between zero and one")
-    cut = _hash_threshold(events.select("video_id").distinct(), seed,
-                          half_even_count(F.col("_total"), fraction))
-    side = (F.when(F.col("_videos") < 2, F.raise_error(F.lit("a grouped split needs at least two videos")))
-            .when(_hash("video_id", seed) <= F.col("_cut"), F.lit("val")).otherwise(F.lit("train")))
-    return with_scalar(events, cut).withColumn("subset", side).drop("_cut", "_videos")
+    cut, videos = _hash_threshold(events, seed, lambda n: max(1, min(n - 1, round(n * fraction))))
+    if videos == 1:
+        raise ValueError("a grouped split needs at least two videos")
+    return events.withColumn("subset", F.when(_hash("video_id", seed) <= F.lit(cut), F.lit("val")).otherwise(F.lit("train")))
 
 
 def split_halves(events: DataFrame, seed: int = 0) -> DataFrame:
     """Mark whole videos as half A (``n // 2`` of them) or B, to tune on one and report on the other."""
-    cut = _hash_threshold(events.select("video_id").distinct(), seed, F.floor(F.col("_total") / 2))
-    side = F.when(_hash("video_id", seed) <= F.col("_cut"), F.lit("A")).otherwise(F.lit("B"))
-    return with_scalar(events, cut).withColumn("half", side).drop("_cut", "_videos")
+    cut, _ = _hash_threshold(events, seed, lambda n: n // 2)
+    return events.withColumn("half", F.when(_hash("video_id", seed) <= F.lit(cut), F.lit("A")).otherwise(F.lit("B")))
 
 
 def participant_pool(events: DataFrame, pool: tuple[float, float] = (0.25, 0.75)) -> DataFrame:

@@ -1,9 +1,14 @@
 """Temporal joins on event timelines: history grids, next actions, frame sampling, clip banks."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .asof import Grid, asof
+from .sweep import buckets, first_after, group_ids, last_before, numbers, swept
 
 EPS = 1e-6
 
@@ -12,9 +17,24 @@ BANK, EXACT = "bank", "exact"
 ANCHOR = ("anchor_row", "anchor_end")
 
 
+@dataclass(frozen=True)
+class Actions:
+    """Labelled events that may follow a step: the first that starts in ``[tau + lo, tau + hi]``, of the same video and the same values of
+    the columns ``within``."""
+    events: DataFrame
+    lo: float = 0.5
+    hi: float = 2.5
+    within: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if not self.lo < self.hi:
+            raise ValueError("need lo < hi")
+
+
 def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float = 1.0,
             tolerance: float | str | None = "stride", allow_negative_tau: bool = False, eps: float = EPS,
-            anchors: DataFrame | None = None, keep: tuple[str, ...] = (), hot_rows: int | None = None) -> DataFrame:
+            anchors: DataFrame | None = None, keep: tuple[str, ...] = (), hot_rows: int | None = None,
+            actions: Actions | None = None) -> DataFrame:
     """One row per (event, k): the latest bank clip that ends at or before
     ``tau_k = cutoff - (steps - k) * stride``.
 
@@ -22,45 +42,116 @@ def history(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float =
     enough, or when the nearest is older than ``tolerance`` (``"stride"`` by default, ``None`` for
     no limit; ``allow_negative_tau`` keeps steps before the video start). With ``anchors`` (event
     features with ``has_clip``, ``row``, ``sta_clip_end_s``), an exact clip takes the last step and its own
-    end becomes the step's time, so a clip that ends after the cutoff shows up in ``check_before_cutoff``. Only index columns and the event columns named in
-    ``keep`` travel; join vectors last."""
+    end becomes the step's time, so a clip that ends after the cutoff shows up in ``check_before_cutoff``. With ``actions``,
+    valid steps also get their ``next_verb`` and ``next_noun`` (see ``next_action``). Only index columns and the event columns named in
+    ``keep`` travel; join vectors last.
+
+    With a tolerance, events, clips and actions meet in one shuffle (``sweep``); without one, matches may lie any
+    number of buckets away (``asof``), and actions follow in a second pass."""
     limit = float(stride) if tolerance == "stride" else tolerance
     span = steps * float(stride)
-    source = events.select("narration_id", "video_id", "sta_cutoff", *keep)
+    if steps < 1 or not stride > 0:
+        raise ValueError("need steps >= 1 and stride > 0")
+    wanted = [*keep, *((c for c in actions.within if c not in keep) if actions else ())]
+    source = events.select("narration_id", "video_id", "sta_cutoff", *wanted)
     if anchors is not None:
         exact = _exact(anchors)
         source = source.join(exact, "narration_id", "left")
-    if steps < 1 or not stride > 0:
-        raise ValueError("need steps >= 1 and stride > 0")
-
-    def tau(slot: Column) -> Column:
-        return F.col("sta_cutoff") - (steps - 1 - slot) * F.lit(float(stride))
+    carried = [*wanted, *(ANCHOR if anchors is not None else [])]
 
-    grid = Grid(steps, lambda slot: tau(slot) + eps)
     if limit is None:
+        def tau(slot: Column) -> Column:
+            return F.col("sta_cutoff") - (steps - 1 - slot) * F.lit(float(stride))
+
+        grid = Grid(steps, lambda slot: tau(slot) + eps)
         matched = asof(source, bank, ["video_id"], grid, "t_end_s", ["row"], width=span, tie="row", hot_rows=hot_rows)
+        matched = matched.withColumn("tau", tau(F.col("slot"))).select(
+            "narration_id", "video_id", "sta_cutoff", *carried, (F.col("slot") + 1).alias("k"), "tau", F.col("before.time").alias("_u"), F.col("before.row").alias("_r"))
     else:
-        matched = asof(source, bank, ["video_id"], grid, "t_end_s", ["row"], width=max(span, limit + 4 * eps),
-                       lookback=limit + 4 * eps, tie="row", hot_rows=hot_rows)
-    matched = matched.withColumn("k", F.col("slot") + 1).withColumn("tau", tau(F.col("slot")))
-    used = F.col("before.time")
+        matched = _swept_history(source, bank, steps, float(stride), limit, eps, carried, hot_rows, actions)
+    used = F.col("_u")
     ok = used.isNotNull() & (F.col("sta_cutoff") >= 0)
     if not allow_negative_tau:
         ok &= F.col("tau") >= 0
     if limit is not None:
         ok &= F.col("tau") - used <= limit + eps
-    base = ["narration_id", "video_id", "sta_cutoff", *keep, "k", "tau"]
-    out = matched.select(*base, F.coalesce(ok, F.lit(False)).alias("valid"),
-                         used.alias("_u"), F.col("before.row").alias("_r"),
-                         *(ANCHOR if anchors is not None else []))
-    out = out.select(*base, F.when(F.col("valid"), F.col("_u")).alias("used_time"),
-                     F.when(F.col("valid"), F.col("_r")).alias("row"), "valid",
-                     F.when(F.col("valid"), F.lit(BANK)).alias("source"),
-                     *(ANCHOR if anchors is not None else []))
-    if anchors is None:
+    base = ["narration_id", "video_id", "sta_cutoff", *wanted, "k", "tau"]
+    following = ["_verb", "_noun"] if actions is not None and limit is not None else []
+    out = matched.withColumn("valid", F.coalesce(ok, F.lit(False)))
+    out = out.select(*base, F.when(F.col("valid"), F.col("_u")).alias("used_time"), F.when(F.col("valid"), F.col("_r")).alias("row"), "valid",
+                     F.when(F.col("valid"), F.lit(BANK)).alias("source"), *following, *(ANCHOR if anchors is not None else []))
+    if anchors is not None:
+        replaced = (F.col("k") == steps) & F.col("anchor_row").isNotNull() & (F.col("sta_cutoff") >= 0)
+        out = _apply_exact(out, F.coalesce(replaced, F.lit(False))).drop(*ANCHOR)
+    if actions is None:
         return out
-    replaced = (F.col("k") == steps) & F.col("anchor_row").isNotNull() & (F.col("sta_cutoff") >= 0)
-    return _apply_exact(out, replaced).drop(*ANCHOR)
+    if limit is None:
+        return next_action(out, actions.events, actions.lo, actions.hi, eps, ("video_id", *actions.within), hot_rows)
+    return out.select("*", F.when(F.col("valid"), F.col("_verb")).alias("next_verb"), F.when(F.col("valid"), F.col("_noun")).alias("next_noun")).drop(*following)
+
+
+def _swept_history(source: DataFrame, bank: DataFrame, steps: int, stride: float, limit: float, eps: float, carried: list[str],
+                   hot_rows: int | None, actions: Actions | None) -> DataFrame:
+    """Every step with the last clip at or before it (``_u``, ``_r``) and the first action in its window (``_verb``, ``_noun``): one shuffle of
+    events, clips and actions; a cell of an event returns its steps as arrays, which are opened outside Python."""
+    width = max(steps * stride, limit + 4 * eps)
+    c = F.col("sta_cutoff")
+    asks = source.withColumn("_b", F.explode(buckets(c - (steps - 1) * F.lit(stride) + eps, c + eps, width)))
+    t = F.col("t_end_s").cast("double")
+    clips = bank.where(t.isNotNull() & ~F.isnan(t)).groupBy("video_id", t.alias("_t")).agg(F.max("row").alias("_r"))
+    clips = clips.withColumn("_b", F.explode(buckets(F.col("_t"), F.col("_t") + limit + 4 * eps, width)))
+    facts, within, lo, hi, labelled = [clips], [], 0.0, 0.0, actions is not None
+    if labelled:
+        within = list(actions.within)
+        lo, hi, start = actions.lo, actions.hi, F.col("start").cast("double")
+        first = F.min_by(F.struct("verb", "noun"), F.col("narration_id"))
+        starts = actions.events.where(F.col("verb").isNotNull() & start.isNotNull()).groupBy("video_id", *within, start.alias("_t")).agg(first.alias("_a"))
+        facts.append(starts.select("video_id", *within, "_t", F.col("_a.verb").cast("long").alias("_verb"), F.col("_a.noun").cast("long").alias("_noun"),
+                                   F.explode(buckets(F.col("_t") - hi - 2 * eps, F.col("_t") - lo + 2 * eps, width)).alias("_b")))
+    back = (steps - 1 - np.arange(steps)) * stride
+    columns = ["narration_id", "video_id", "sta_cutoff", *carried]
+    answers = ["_u", "_r", "_verb", "_noun"] if actions is not None else ["_u", "_r"]
+
+    def kernel(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("_side"))
+        group = group_ids(table, ["video_id", "_b", "_part"])
+        time = numbers(table, "_t")
+        ask, clip = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        cutoff, bucket = numbers(table, "sta_cutoff")[ask], numbers(table, "_b")[ask]
+        tau = cutoff[:, None] - back
+        mine = (np.floor((tau + eps) / width) == bucket[:, None]) | np.isnan(bucket)[:, None]
+        row, slot = np.nonzero(mine)
+        tau = tau[row, slot]
+        found = last_before(group[clip], time[clip], group[ask][row], tau + eps)
+        clip = np.append(clip, -1)[found]  # -1: none
+        values = [(time, pa.float64(), clip), (np.asarray(table.column("_r").combine_chunks().fill_null(-1)), pa.int64(), clip)]
+        if labelled:
+            act = np.flatnonzero(side == 2)
+            own = group_ids(table, ["video_id", "_b", "_part", *within])
+            found = first_after(own[act], time[act], own[ask][row], tau + (lo - eps))
+            found = np.where((found >= 0) & (np.append(time[act], np.nan)[found] <= tau + hi + eps), found, -1)
+            act = np.append(act, -1)[found]
+            values += [(np.asarray(table.column(c).combine_chunks().fill_null(-1)), pa.int64(), act) for c in ("_verb", "_noun")]
+        counts = mine.sum(1)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+
+        def lists(flat: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(offsets, flat)
+
+        arrays = {"_k": lists(pa.array((slot + 1).astype(np.int32))), "_tau": lists(pa.array(tau, mask=np.isnan(tau)))}
+        for name, (data, kind, at) in zip(answers, values):
+            data = np.append(data, 0)[at]
+            arrays[name] = lists(pa.array(data, kind, mask=at < 0))
+        taken = table.select(columns).take(pa.array(ask))
+        return pa.table({**{c: taken.column(c) for c in columns}, **arrays})
+
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in columns), "_k array<int>", "_tau array<double>", "_u array<double>", "_r array<long>"]
+                       + (["_verb array<long>", "_noun array<long>"] if actions is not None else []))
+    cells = swept(asks, facts, ["video_id"], kernel, schema, steps, hot_rows)
+    opened = cells.select(*columns, F.inline(F.arrays_zip("_k", "_tau", *answers)))
+    label = [F.col(c).cast(actions.events.schema[c[1:]].dataType).alias(c) for c in answers[2:]] if actions is not None else []
+    return opened.select(*columns, F.col("_k").alias("k"), F.col("_tau").alias("tau"), "_u", F.col("_r").cast(bank.schema["row"].dataType).alias("_r"), *label)
 
 
 def _exact(features: DataFrame) -> DataFrame:

@@ -71,10 +71,8 @@ SELECT narration_id, k, CASE WHEN valid AND start <= tau + 10800.0 + 1e-6 THEN v
   CASE WHEN valid AND start <= tau + 10800.0 + 1e-6 THEN noun ELSE -1 END AS next_noun FROM nxt""".replace("\n,", ",", 1))
 def j5(spark, sf):
     split = grouped_split(V.action_events(spark, sf))
-    steps = T.history(split, V.bank(spark, sf), V.STEPS, V.STRIDE, keep=("subset",))
-    reach = (V.STEPS - 1) * V.STRIDE
-    load = (split.select("subset", "video_id", (F.col("sta_cutoff") + 1800.0).alias("_to")), "_to", reach, V.STEPS)
-    labelled = T.next_action(steps, split, 1800.0, 10800.0, by=("subset", "video_id"), load=load)
+    actions = T.Actions(split, 1800.0, 10800.0, ("subset",))
+    labelled = T.history(split, V.bank(spark, sf), V.STEPS, V.STRIDE, actions=actions)
     return labelled.select("narration_id", F.col("k").cast("long").alias("k"),
                            *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("next_verb", "next_noun")])
 
