@@ -167,3 +167,49 @@ def test_history_never_passes_the_gate_when_shifted(spark):
     C.enforce(C.check_before_cutoff(h))
     with pytest.raises(C.IntegrityError, match="after_cutoff"):
         C.enforce(C.check_before_cutoff(h.withColumn("used_time", F.col("used_time") + 5)))
+
+
+@pytest.mark.parametrize("hot_rows", [None, 4])
+def test_actions_in_the_sweep_equal_a_second_pass(spark, hot_rows):
+    rng = random.Random(11)
+    rows = [(f"e{i}", rng.choice("ab"), round(rng.uniform(-2, 60), 2), rng.choice([None, 0, 1, 2]), rng.randrange(9), rng.choice(["train", "val"])) for i in range(150)]
+    rows += [(f"t{i}", "a", 20.0, i, i, "train") for i in range(5)] + [("none", "a", None, 1, 1, "val")]
+    ev = spark.createDataFrame(rows, "narration_id string, video_id string, start double, verb int, noun int, subset string").withColumn("sta_cutoff", F.col("start") - 1)
+    bank = bank_frame(spark, [i / 2 for i in range(90)], "a").unionByName(bank_frame(spark, [1, 1, 7, 30], "b"))
+    for tolerance in ("stride", None):
+        one = T.history(ev, bank, 5, 1.0, tolerance=tolerance, actions=T.Actions(ev, 0.5, 2.5, ("subset",)), hot_rows=hot_rows)
+        two = T.next_action(T.history(ev, bank, 5, 1.0, tolerance=tolerance, keep=("subset",)), ev, 0.5, 2.5, by=("subset", "video_id"))
+        columns = ["narration_id", "subset", "k", "tau", "used_time", "row", "valid", "next_verb", "next_noun"]
+        assert sorted(map(tuple, one.select(columns).collect()), key=str) == sorted(map(tuple, two.select(columns).collect()), key=str)
+    assert one.where("next_verb IS NOT NULL").count() and one.where("narration_id = 'none'").count() == 5
+    with pytest.raises(ValueError):
+        T.Actions(ev, 2.0, 1.0)
+
+
+def test_event_clip_ends_equal_the_frame_loop(spark, folder):
+    from tidemark.operators.checks import IntegrityError
+    from tidemark.plans import build_event_features
+    rng = random.Random(12)
+    events = [(f"e{i}", "P1", rng.choice("abc"), s := round(rng.uniform(-1, 200), 1), s + rng.choice([0.2, 3.0, 90.0]), 0, 0) for i in range(200)]
+    events += [("late", "P1", "a", 500.0, 501.0, 0, 0), ("edge", "P1", "d", 10.0, 12.0, 0, 0), ("other", "P1", "nowhere", 5.0, 6.0, 0, 0)]
+    frames = [("a", round(i * 0.3, 1)) for i in range(700)] + [("b", float(t)) for t in (0, 1, 1, 64, 128, 128)] + [("b", -1.0), ("d", 9.0), ("d", 12.0), ("d", 4.0), ("c", None), ("c", float("nan"))]
+    ev = events_frame(spark, events)
+    fr = spark.createDataFrame(frames, "video_id string, pts double")
+    got = {r["narration_id"]: r for r in T.event_clip_ends(ev, fr, 5.0, 16, width=16.0).collect()}
+    assert len(got) == len(events) and got == {r["narration_id"]: r for r in T.event_clip_ends(ev, fr, 5.0, 16, width=7.0, hot_rows=3).collect()}
+    for name, _, video, start, stop, _, _ in events:
+        cut = got[name]
+        c = round(start - 1, 9)
+        windows = {"ar": (start, stop, lambda t: start <= t < stop), "sta": (max(0.0, c - 5), c, lambda t: c >= 0 and max(0.0, c - 5) <= t <= c)}
+        for kind, (lo, hi, legal) in windows.items():
+            seen = sorted(t for v, t in frames if v == video and t is not None and t >= 0 and legal(t)) if lo >= 0 else []
+            best = [min(seen, key=lambda t, s=s: (abs(lo + (hi - lo) * (s + 0.5) / 16 - t), t)) for s in range(16)] if seen else [-1.0]
+            assert cut[f"{kind}_clip_end_s"] == max(best), (name, kind)
+        assert cut["use_prior"] == (cut["sta_clip_end_s"] < 0)
+    assert (got["edge"]["ar_clip_end_s"], got["edge"]["sta_clip_end_s"]) == (-1.0, 9.0)
+    with pytest.raises(IntegrityError, match="empty_action_clip"):
+        build_event_features(fr, ev, f"{folder}/none")
+    index = build_event_features(fr, ev.where("video_id = 'a' AND start > 1 AND start < 150 AND stop - start > 1"), f"{folder}/index")
+    rows = index.orderBy("row").collect()
+    assert [r["row"] for r in rows] == list(range(len(rows))) and all(r["has_clip"] for r in rows) and rows == sorted(rows, key=lambda r: (r["video_id"], r["action_start_s"]))
+    assert T.event_clip_ends(ev.limit(0), fr).count() == 0 and T.event_clip_ends(ev, fr.limit(0)).where("use_prior").count() == len(events)

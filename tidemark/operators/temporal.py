@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import observation
 from .asof import Grid, asof
 from .sweep import buckets, first_after, group_ids, last_before, numbers, swept
 
@@ -228,6 +229,66 @@ def nearest_frames(windows: DataFrame, frames: DataFrame, num_targets: int = 8,
     return m.select(*keys, "slot", "target", pick.alias("frame_time"))
 
 
+def event_clip_ends(events: DataFrame, frames: DataFrame, context: float = 5.0, num_frames: int = 16, width: float = 64.0,
+                    hot_rows: int | None = None) -> DataFrame:
+    """Feature index of every event: the ends of its two clips, from one pass over the frames.
+
+    A clip of ``num_frames`` frames ends with the frame nearest to the window's last target (earlier of two equally near), among the
+    frames of the window: ``[start, stop)`` for the action itself, ``[max(0, cutoff - context), cutoff]`` for what may be observed before it.
+    ``ar_clip_end_s`` and ``sta_clip_end_s`` are -1 where the window has no frame; ``use_prior`` marks events whose observation is empty.
+
+    An event lies in every bucket that one of its windows touches, next to the bucket's frames; each bucket returns the nearest frame it has for
+    either window, and the nearest of all buckets is chosen per event. So events and frames are shuffled once, and one row per event and bucket
+    once more. Frames before time zero, and events with a negative start, have no clips; an event without an id is kept."""
+    if num_frames < 1 or not context > 0:
+        raise ValueError("need num_frames >= 1 and context > 0")
+    keep = ["narration_id", "video_id", "start", "stop", "sta_cutoff"]
+    windows = {"ar": observation("start", "stop", "sta_cutoff", F.lit("AR"), context), "sta": observation("start", "stop", "sta_cutoff", F.lit("STA"), context)}
+    asks = events.select(*keep, *(w.alias(f"_{k}") for k, w in windows.items()))
+    for k in windows:
+        usable = ~F.col(f"_{k}.empty") & (F.col(f"_{k}.start") >= 0) & (F.col(f"_{k}.end") >= F.col(f"_{k}.start"))
+        asks = asks.withColumn(f"_{k}_lo", F.when(usable, F.col(f"_{k}.start"))).withColumn(f"_{k}_hi", F.when(usable, F.col(f"_{k}.end"))).drop(f"_{k}")
+    cells = F.array_distinct(F.concat(*(buckets(F.col(f"_{k}_lo"), F.col(f"_{k}_hi"), width) for k in windows)))
+    asks = asks.withColumn("_b", F.explode(cells))
+    t = F.col("pts").cast("double")
+    facts = frames.where((t >= 0) & (t < float("inf"))).select("video_id", t.alias("_t")).withColumn("_b", F.floor(F.col("_t") / F.lit(float(width))))
+    last = (num_frames - 0.5) / num_frames
+
+    def kernel(table: pa.Table) -> pa.Table:
+        side, group, time = np.asarray(table.column("_side")), group_ids(table, ["video_id", "_b", "_part"]), numbers(table, "_t")
+        ask, frame = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = {c: table.column(c).take(pa.array(ask)) for c in keep}
+        frame_time, frame_group, own = np.append(time[frame], np.nan), group[frame], group[ask]
+        for k, closed in (("ar", False), ("sta", True)):
+            lo, hi = numbers(table, f"_{k}_lo")[ask], numbers(table, f"_{k}_hi")[ask]
+            target = lo + (hi - lo) * last
+            before = frame_time[last_before(frame_group, time[frame], own, target)]
+            after = frame_time[first_after(frame_group, time[frame], own, target)]
+            before = np.where(before >= lo, before, np.nan)
+            after = np.where((after < hi) | (closed & (after == hi)), after, np.nan)
+            before = np.where((before < hi) | (closed & (before == hi)), before, np.nan)
+            far = np.isnan(before) | (np.abs(target - after) < np.abs(target - before))
+            end = np.where(far, after, before)
+            out[f"_{k}_off"] = pa.array(np.abs(target - end), mask=np.isnan(end))
+            out[f"_{k}_end"] = pa.array(end, mask=np.isnan(end))
+        return pa.table(out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in asks.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"_{k}_{x} double" for k in windows for x in ("off", "end"))])
+    found = swept(asks, [facts], ["video_id"], kernel, schema, 2, hot_rows)
+    nearest = [F.min(F.when(F.col(f"_{k}_end").isNotNull(), F.struct(f"_{k}_off", f"_{k}_end"))).alias(f"_{k}") for k in windows]
+    ends = found.groupBy(*keep).agg(*nearest)
+    return ends.select("narration_id", "video_id", F.col("start").alias("action_start_s"), F.col("stop").alias("action_stop_s"),
+                       *(F.coalesce(F.col(f"_{k}._{k}_end"), F.lit(-1.0)).alias(f"{k}_clip_end_s") for k in windows),
+                       F.col("_sta").isNull().alias("use_prior"))
+
+
+def check_action_clips(index: DataFrame) -> DataFrame:
+    """Violations: events whose own interval holds no frame."""
+    return index.where(F.col("ar_clip_end_s") < 0).select(F.lit("empty_action_clip").alias("check"), F.col("narration_id").alias("id"),
+                                                          F.concat_ws(" ", F.lit("from"), "action_start_s", F.lit("to"), "action_stop_s").alias("detail"))
+
+
 def clip_bank(frames: DataFrame, length: float = 2.0, stride: float = 1.0, min_end: DataFrame | None = None,
               num_frames: int | None = 16) -> DataFrame:
     """Windows ``[max(0, e - length), e]`` at ``e = stride, 2 * stride, ...``, both ends closed.

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import sources as SRC, streaming as ST
-from ..operators import events as E, report as R, splits as SP, stats as S
+from ..operators import events as E, report as R, splits as SP, stats as S, temporal as T
 from ..sources.scratch import fresh_folder
 from . import views as V
 from .registry import query, r6, sql6
@@ -141,6 +141,28 @@ def s6(spark, sf):
     return SRC.read_event_features(spark, folder, "csv").select("narration_id", "has_clip")
 
 
+# Frames at the start of every other event and at the end of the rest, so that some actions hold no frame.
+FRAMES = """fr AS (SELECT video_id, CASE WHEN event_id % 2 = 0 THEN start ELSE stop END AS pts FROM ev),
+win AS (SELECT narration_id, video_id, start AS lo, stop AS hi, false AS closed FROM ev
+  UNION ALL SELECT narration_id, video_id, greatest(0.0, sta_cutoff - 86400.0), sta_cutoff, true FROM ev WHERE sta_cutoff >= 0),
+near AS (SELECT w.narration_id, w.closed, f.pts, row_number() OVER (PARTITION BY w.narration_id, w.closed
+    ORDER BY abs(lo + (hi - lo) * (15.5 / 16) - f.pts), f.pts) AS r
+  FROM win w JOIN fr f ON f.video_id = w.video_id AND f.pts >= w.lo AND (f.pts < w.hi OR (w.closed AND f.pts = w.hi)))"""
+
+
+@query("s6_event_feature_index", V.cte(V.EV, FRAMES) + f"""SELECT e.narration_id, {sql6('coalesce(a.pts, -1.0)')} AS ar_clip_end_s, {sql6('coalesce(s.pts, -1.0)')} AS sta_clip_end_s,
+  s.pts IS NULL AS use_prior, a.pts IS NULL AS empty_action FROM ev e
+LEFT JOIN near a ON a.narration_id = e.narration_id AND NOT a.closed AND a.r = 1
+LEFT JOIN near s ON s.narration_id = e.narration_id AND s.closed AND s.r = 1""")
+def s6_index(spark, sf):
+    """The index from frames, with the events that `check_action_clips` refuses."""
+    ev = V.action_events(spark, sf)
+    frames = ev.select("video_id", F.when(F.col("event_id") % 2 == 0, F.col("start")).otherwise(F.col("stop")).alias("pts"))
+    index = T.event_clip_ends(ev, frames, V.DAY, width=4 * V.STRIDE)
+    empty = F.col("ar_clip_end_s") < 0
+    return index.select("narration_id", r6("ar_clip_end_s").alias("ar_clip_end_s"), r6("sta_clip_end_s").alias("sta_clip_end_s"), "use_prior", empty.alias("empty_action"))
+
+
 @query("s7_consolidated_bank", V.cte(V.EV) + """SELECT video_id, event_id, row_number() OVER (ORDER BY video_id, start, event_id) - 1 AS "row", (SELECT count(*) FROM ev) AS total_rows FROM ev""")
 def s7(spark, sf):
     folder = fresh_folder(spark, "consolidated")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.temporal import history
+from ..operators.temporal import event_clip_ends, history
 from ..session import with_scalar
 
 GAP, STRIDE, STEPS = 3600.0, 21600.0, 16
@@ -58,12 +58,10 @@ def history_rows(spark: SparkSession, sf: str, **kw) -> DataFrame:
 
 
 def event_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature index: the latest clip at or before the cutoff, else -1 and ``use_prior``."""
-    last = history(action_events(spark, sf), bank(spark, sf), 1, STRIDE, tolerance=None)
-    end = F.coalesce("used_time", F.lit(-1.0))
-    return last.select("narration_id", F.substring("narration_id", 2, 20).cast("long").alias("row"), "video_id",
-                       end.alias("sta_clip_end_s"), F.col("used_time").isNull().alias("use_prior"),
-                       F.col("used_time").isNotNull().alias("has_clip"))
+    """Feature index of the last day before each cutoff, built from the frames."""
+    index = event_clip_ends(action_events(spark, sf), frames(spark, sf), DAY, width=4 * STRIDE)
+    return index.select("narration_id", F.substring("narration_id", 2, 20).cast("long").alias("row"), "video_id", "sta_clip_end_s", "use_prior",
+                        (~F.col("use_prior")).alias("has_clip"))
 
 
 def exact_clips(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,11 +110,12 @@ HIST = """hist AS (SELECT narration_id, video_id, sta_cutoff, k, tau, valid,
         FROM picked))"""
 VEC = """vec AS (SELECT e.event_id, v.embedding::DOUBLE[] AS vector FROM ev e
   JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) FROM embeddings))"""
-FEAT = """one AS (SELECT *, sta_cutoff + 1e-6 AS key FROM ev),
-feat AS (SELECT o.narration_id, o.event_id AS row_id, o.video_id, o.sta_cutoff,
-    CASE WHEN o.sta_cutoff >= 0 THEN coalesce(b.t_end_s, -1.0) ELSE -1.0 END AS sta_clip_end_s,
-    NOT (o.sta_cutoff >= 0 AND b.t_end_s IS NOT NULL) AS use_prior
-  FROM one o ASOF LEFT JOIN bank b ON o.video_id = b.video_id AND o.key >= b.t_end_s)"""
+# The frame nearest to the last of 16 targets of the day before the cutoff, the earlier of two; `bank` holds the frames.
+FEAT = """near AS (SELECT e.event_id, b.t_end_s, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(greatest(0.0, e.sta_cutoff - 86400.0)
+    + (e.sta_cutoff - greatest(0.0, e.sta_cutoff - 86400.0)) * 15.5 / 16 - b.t_end_s), b.t_end_s) AS r
+  FROM ev e JOIN bank b ON b.video_id = e.video_id AND b.t_end_s BETWEEN greatest(0.0, e.sta_cutoff - 86400.0) AND e.sta_cutoff),
+feat AS (SELECT e.narration_id, e.event_id AS row_id, e.video_id, e.sta_cutoff, coalesce(n.t_end_s, -1.0) AS sta_clip_end_s, n.event_id IS NULL AS use_prior
+  FROM ev e LEFT JOIN near n ON n.event_id = e.event_id AND n.r = 1)"""
 SPLIT = """vids AS (SELECT DISTINCT video_id FROM ev),
 held AS (SELECT video_id FROM (SELECT video_id, row_number() OVER (ORDER BY md5(concat('42:', video_id))) AS r,
     count(*) OVER () AS n FROM vids) WHERE r <= greatest(1, least(n - 1, CAST(round_even(n * 0.2, 0) AS BIGINT)))),
