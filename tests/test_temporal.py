@@ -213,3 +213,24 @@ def test_event_clip_ends_equal_the_frame_loop(spark, folder):
     rows = index.orderBy("row").collect()
     assert [r["row"] for r in rows] == list(range(len(rows))) and all(r["has_clip"] for r in rows) and rows == sorted(rows, key=lambda r: (r["video_id"], r["action_start_s"]))
     assert T.event_clip_ends(ev.limit(0), fr).count() == 0 and T.event_clip_ends(ev, fr.limit(0)).where("use_prior").count() == len(events)
+
+
+@pytest.mark.parametrize("width", [8.0, 64.0])
+def test_greedy_chains_equal_the_loop(spark, width):
+    from tidemark.operators.chains import greedy
+    rng = random.Random(13)
+    times = {"run": [round(i * 0.31, 2) for i in range(2000)], "sparse": [float(i * 7) for i in range(40)], "tie": [i * 0.5 for i in range(300)],
+             "one": [3.0], "mixed": sorted({round(rng.uniform(0, 400), 2) for _ in range(500)}), "far": [1e6 + i / 3 for i in range(300)] + [9e8, 9e8 + 0.5]}
+    points = spark.createDataFrame([(v, t, i) for v, ts in times.items() for i, t in enumerate(ts)], "video_id string, t_end_s double, row long").repartition(5)
+    got = {}
+    for r in greedy(points, ["video_id"], "t_end_s", "row", 1.0, width).collect():
+        got.setdefault(r["video_id"], []).append((r["t_end_s"], r["row"]))
+    for video, ts in times.items():
+        want = []
+        for i, t in enumerate(ts):
+            if not want or t - want[-1][0] > 1.0:
+                want.append((t, i))
+        assert sorted(got[video]) == want, video
+    assert greedy(points.limit(0), ["video_id"], "t_end_s", "row", 1.0, width).count() == 0
+    with pytest.raises(ValueError):
+        greedy(points, ["video_id"], "t_end_s", "row", 1.0, 2.0)

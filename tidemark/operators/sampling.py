@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed, with_scalar
-from .asof import asof
+from .chains import greedy
 from .skew import running
 
 EPS = 1e-6
@@ -34,33 +34,12 @@ def dedupe_times(bank: DataFrame, eps: float = EPS, width: float = 64.0) -> tupl
 
     Clips that could not be decoded (end NULL, negative or not finite) go first. Then, per video in
     time order, a clip within ``eps`` of the last kept one is dropped; equal times keep the lowest
-    row. Most clips have no neighbour that close and are kept at once; only runs of clips closer
-    than ``eps`` to each other need the ordered pass, one run at a time."""
+    row. Runs of clips that close are resolved by pointer doubling over buckets (``chains``), so neither a run nor a video is
+    ever in one task."""
     t = F.col("t_end_s")
     usable = F.coalesce((t >= 0) & (t < F.lit(float("inf"))), F.lit(False))
     best = (bank.where(usable).groupBy("video_id", "t_end_s").agg(F.min("row").alias("row")))
-    near = asof(best, best, ["video_id"], "t_end_s", "t_end_s", width=max(width, 16 * eps), lookback=eps * 1.001,
-                direction="both", strict=True)
-    follows = F.coalesce(t - F.col("before.time") <= eps, F.lit(False))
-    leads = F.coalesce(F.col("after.time") - t <= eps, F.lit(False))
-    near = near.select("video_id", "t_end_s", "row", follows.alias("_follows"), leads.alias("_leads"))
-    alone = near.where(~F.col("_follows") & ~F.col("_leads")).select("video_id", "t_end_s", "row")
-    run = near.where(F.col("_follows") | F.col("_leads"))
-    along = Window.partitionBy("video_id").orderBy("t_end_s").rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumn("_run", F.max(F.when(~F.col("_follows"), t)).over(along))
-    items = F.array_sort(F.collect_list(F.struct("t_end_s", "row")))
-    empty = F.array().cast("array<struct<t_end_s:double,row:bigint>>")
-
-    def keep(acc, x):
-        last = F.element_at(acc, F.size(acc))
-        fits = (F.size(acc) == 0) | (x["t_end_s"] - F.when(F.size(acc) > 0, last["t_end_s"]) > eps)
-        return F.when(fits, F.concat(acc, F.array(x))).otherwise(acc)
-
-    typed = F.transform(items, lambda s: F.struct(s["t_end_s"].cast("double").alias("t_end_s"),
-                                                  s["row"].cast("long").alias("row")))
-    folded = (run.groupBy("video_id", "_run").agg(F.aggregate(typed, empty, keep).alias("kept"))
-              .select("video_id", F.inline("kept")))
-    kept = alone.select("video_id", t.cast("double").alias("t_end_s"), F.col("row").cast("long").alias("row")).unionByName(folded)
+    kept = greedy(best, ["video_id"], "t_end_s", "row", eps, max(width, 16 * eps))
     scanned = bank.agg(F.count(F.lit(1)).alias("_all"), F.count_if(~usable).alias("undecodable"))
     dropped = (with_scalar(scanned, kept.agg(F.count(F.lit(1)).alias("_kept")))
                .select("undecodable", (F.col("_all") - F.col("undecodable") - F.col("_kept")).alias("duplicate_time")))

@@ -232,8 +232,9 @@ def i5(spark, sf):
     idx = j.select("narration_id", "row", "verb", "noun",
                    F.when((F.col("verb") == 1) & (F.col("sta_cutoff") >= 0), F.col("start")).otherwise(F.col("sta_clip_end_s")).alias("sta_clip_end_s"),
                    F.when(F.col("verb") == 2, ~F.col("use_prior")).otherwise(F.col("use_prior")).alias("use_prior"))
-    strange = idx.where("verb = 3 AND noun = 0").withColumn("narration_id", F.concat(F.lit("x"), F.col("narration_id")))
-    return C.check_event_features(idx.unionByName(strange), ev).select("check", "id")
+    strange = F.when((F.col("verb") == 3) & (F.col("noun") == 0), F.concat(F.lit("x"), F.col("narration_id")))
+    idx = idx.withColumn("narration_id", F.explode(F.array_compact(F.array("narration_id", strange))))
+    return C.check_event_features(idx, ev).select("check", "id")
 
 
 @query("i6_prediction_violations", V.cte(V.EV) + """SELECT 'missing_prediction' AS "check", narration_id AS id FROM ev WHERE verb = 0
