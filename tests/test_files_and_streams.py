@@ -184,6 +184,8 @@ def drain(df, folder):
 def test_clip_stream_equals_batch_and_reports_late_rows(spark, folder):
     frames = spark.createDataFrame([("a", i / 4) for i in range(80)] + [("b", 3.0), ("~", 500.0)], "video_id string, pts double")
     src = stream(spark, frames, f"{folder}/in", ["pts < 8", "pts >= 8 AND pts < 400 AND pts <> 9", "pts > 400", "pts = 9"])
+    counter = ST.LateCounter()
+    spark.streams.addListener(counter)
     q, out = drain(ST.clip_bank_stream(src, 2.0, 1.0, "5 seconds"), folder)
     kept = frames.where("pts <> 9 AND video_id <> '~'")
     batch = T.clip_bank(kept, 2.0, 1.0).where("frames > 0").select("video_id", "row", "frames", "last_pts", "t_end_s")
@@ -191,20 +193,52 @@ def test_clip_stream_equals_batch_and_reports_late_rows(spark, folder):
     ends = kept.groupBy("video_id").agg((F.max("pts") + 1.0).alias("end"))
     closed = out.join(ends, "video_id").where("window_end <= end")
     assert sorted(map(tuple, closed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
-    late = ST.LateRows().poll(q)
-    assert late.late_rows == late.poll(q).late_rows == sum(r["late_rows"] for r in ST.late_rows_report(q)) > 0
+    counts = counter.counts(q)
+    spark.streams.removeListener(counter)
+    assert counts["rows"] == frames.count() and counts["late_rows"] > 0 and counts["batches"] >= 4
 
 
 def test_history_stream_equals_batch(spark, folder):
     bank = spark.createDataFrame([("a", i / 2, i) for i in range(60)] + [("b", 4.0, 99), ("~", 900.0, -1)], "video_id string, t_end_s double, row long")
     ev = spark.createDataFrame([(f"e{i}", "a" if i % 3 else "b", i * 1.7 - 2) for i in range(16)], "narration_id string, video_id string, sta_cutoff double")
     sb = stream(spark, bank, f"{folder}/bank", ["t_end_s < 15", "t_end_s >= 15 AND t_end_s < 400", "t_end_s > 400"])
-    se = stream(spark, ev, f"{folder}/ev", ["sta_cutoff < 12", "sta_cutoff >= 12"])
+    flush = spark.createDataFrame([("~", "~", 900.0)], ev.schema)  # the slower of two watermarks counts
+    se = stream(spark, ev.union(flush), f"{folder}/ev", ["sta_cutoff < 12", "sta_cutoff >= 12 AND sta_cutoff < 400", "sta_cutoff > 400"])
     _, out = drain(ST.history_stream(se, sb, 4, 1.0, lateness="20 seconds"), folder)
     batch = T.history(ev, bank, 4, 1.0).select("narration_id", "k", "valid", "used_time", F.coalesce("row", F.lit(-1)).alias("row"))
     assert sorted(map(str, out.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
+def test_history_stream_forgets_clips_and_is_not_hurried(spark, folder):
+    """Clips that run far ahead make no event late, and a video without events keeps only the clips within reach of the watermark."""
+    bank = spark.createDataFrame([("a", float(i), i) for i in range(0, 400)] + [("quiet", float(i), i) for i in range(400)], "video_id string, t_end_s double, row long")
+    ev = spark.createDataFrame([(f"e{i}", "a", i * 10.0) for i in range(40)] + [("~", "~", 900.0)], "narration_id string, video_id string, sta_cutoff double")
+    sb = stream(spark, bank, f"{folder}/bank", ["t_end_s < 300", "t_end_s >= 300"])  # 300 seconds of clips before the first event is answered
+    se = stream(spark, ev, f"{folder}/ev", [f"sta_cutoff >= {i * 100} AND sta_cutoff < {i * 100 + 100}" for i in range(4)] + ["sta_cutoff > 500"])
+    _, out = drain(ST.history_stream(se, sb, 4, 1.0, lateness="5 seconds"), folder)
+    got = {(r["narration_id"], r["k"]): r for r in out.collect()}
+    batch = T.history(ev.where("sta_cutoff < 390"), bank, 4, 1.0).collect()
+    assert all(got[r["narration_id"], r["k"]]["used_time"] == r["used_time"] for r in batch) and len(batch) == 39 * 4
+    state = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "clips").load()
+    left = state.selectExpr("key.video_id AS video", "user_map_key.slice AS slice").collect()
+    quiet = sorted(r["slice"] for r in left if r["video"] == "quiet")
+    assert quiet == list(range(quiet[0], 320)) and quiet[0] >= 305  # the last of 320
+
+
+def test_late_rows_are_stored(spark, folder):
+    rows = [(1, 10.0), (2, 50.0), (3, 45.0), (4, 39.0), (5, 41.0), (6, None), (7, float("nan")), (8, 100.0), (9, 60.0), (10, 95.0)]
+    df = spark.createDataFrame(rows, "id long, t double")
+    src = stream(spark, df, f"{folder}/in", ["id <= 2", "id BETWEEN 3 AND 7", "id = 8", "id >= 9"])
+    run = lambda: ST.late_rows_stream(src, "t", 10.0, f"{folder}/good", f"{folder}/late", f"{folder}/state", availableNow=True).awaitTermination()
+    run()
+    late = {r["id"]: (r["reason"], r["watermark"]) for r in spark.read.parquet(f"{folder}/late").collect()}
+    assert late == {4: ("behind_watermark", 40.0), 6: ("bad_time", 40.0), 7: ("bad_time", 40.0), 9: ("behind_watermark", 90.0)}
+    assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/good").collect()) == [1, 2, 3, 5, 8, 10]
+    spark.createDataFrame([(11, 89.0), (12, 91.0)], df.schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    run()  # a restarted query goes on with its limit
+    assert {r["id"] for r in spark.read.parquet(f"{folder}/late").collect()} == {4, 6, 7, 9, 11}
+
+
 def test_ema_stream_equals_batch(spark, folder):
     st = spark.createDataFrame([("e", k, k != 2, [float(k), 1.0]) for k in range(1, 6)] + [("f", 1, False, [5.0, 5.0])], "narration_id string, k int, valid boolean, p array<double>")
     _, out = drain(ST.ema_stream(stream(spark, st, f"{folder}/in", ["k < 3", "k >= 3"]), "narration_id", "p", "valid"), folder)

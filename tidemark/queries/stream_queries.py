@@ -18,6 +18,13 @@ def as_stream(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(folder)
 
 
+def arriving(df: DataFrame, folder: str, batches: int, place) -> DataFrame:
+    """A stream of ``batches`` micro-batches: one file each, in the order of ``place`` (0 to batches - 1)."""
+    for i in range(batches):
+        df.where(place == i).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over everything there is and return its appended output."""
     q = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
@@ -49,24 +56,29 @@ def t1(spark, sf):
     return clips.select("video_id", "row", "frames", r6("last_pts").alias("last_pts"), r6("t_end_s").alias("t_end_s"))
 
 
-@query("t2_leakage_quarantine", V.cte(V.EV) + """SELECT narration_id, CASE WHEN verb = 4 THEN 'unknown_event' WHEN sta_cutoff < 0 THEN 'negative_cutoff' ELSE 'after_cutoff' END AS reason
-FROM ev WHERE verb = 4 OR sta_cutoff < 0 OR verb = 1""")
+@query("t2_leakage_quarantine", V.cte(V.EV) + """SELECT narration_id, CASE WHEN verb = 4 THEN 'unknown_event' WHEN sta_cutoff < 0 THEN 'negative_cutoff' ELSE 'after_cutoff' END AS reason,
+  (SELECT count(*) FROM ev WHERE NOT (verb = 4 OR sta_cutoff < 0 OR verb = 1)) AS passed FROM ev WHERE verb = 4 OR sta_cutoff < 0 OR verb = 1""")
 def t2(spark, sf):
     folder = fresh_folder(spark, "guard")
     ev = V.action_events(spark, sf)
-    arriving = ev.select("narration_id", F.when(F.col("verb") == 1, F.col("start")).otherwise(F.col("sta_cutoff")).alias("time"))
-    q = ST.guard_stream(as_stream(arriving, f"{folder}/in"), ev.where("verb <> 4"), f"{folder}/good", f"{folder}/bad", f"{folder}/state",
+    features = ev.select("narration_id", F.when(F.col("verb") == 1, F.col("start")).otherwise(F.col("sta_cutoff")).alias("time"), "noun")
+    stream = arriving(features, f"{folder}/in", 3, F.col("noun") % 3).drop("noun")
+    q = ST.guard_stream(stream, ev.where("verb <> 4"), f"{folder}/good", f"{folder}/bad", f"{folder}/state",
                         availableNow=True)
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/bad").select("narration_id", "reason")
+    passed = spark.read.parquet(f"{folder}/good").agg(F.count(F.lit(1)).alias("passed"))
+    return V.with_scalar(spark.read.parquet(f"{folder}/bad"), passed).select("narration_id", "reason", "passed")
 
 
 @query("t3_history_stream", V.cte(V.EV, V.BANK, V.PROBES, V.PICKED, V.HIST) + f"""SELECT narration_id, k, valid, {sql6('used_time')} AS used_time, coalesce(row_id, -1) AS "row" FROM hist""")
 def t3(spark, sf):
+    """Clips and events arrive in three micro-batches each, in the order of their time."""
     folder = fresh_folder(spark, "history")
-    events = V.action_events(spark, sf).select("narration_id", "video_id", "sta_cutoff")
+    events = flushed(spark, V.action_events(spark, sf).select("narration_id", "video_id", "sta_cutoff"), narration_id="~", video_id="~", sta_cutoff=FLUSH)
     clips = flushed(spark, V.bank(spark, sf), video_id="~", t_end_s=FLUSH, row=-1)
-    h = ST.history_stream(as_stream(events, f"{folder}/events"), as_stream(clips, f"{folder}/clips"), V.STEPS, V.STRIDE, lateness="1 second")
+    third = lambda t: F.greatest(F.lit(0), F.least(F.lit(2), F.floor(F.col(t) / (2.5 * V.DAY))))
+    h = ST.history_stream(arriving(events, f"{folder}/events", 3, third("sta_cutoff")), arriving(clips, f"{folder}/clips", 3, third("t_end_s")),
+                          V.STEPS, V.STRIDE, lateness="1 day")
     out = drained(h, folder)
     return out.select("narration_id", F.col("k").cast("long").alias("k"), "valid", r6("used_time").alias("used_time"), "row")
 
@@ -97,6 +109,25 @@ def t6(spark, sf):
     return drained(ST.order_violations_stream(as_stream(frames, f"{folder}/in")), folder).select("video_id", "position")
 
 
+# Events arrive by id in eight micro-batches; late is what lies over a day before the latest start of the batches before.
+LATE = """placed AS (SELECT *, event_id * 8 // (SELECT max(event_id) + 1 FROM ev) AS batch FROM ev),
+highs AS (SELECT batch, max(max(start)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400.0 AS low FROM placed GROUP BY batch)"""
+
+
+@query("t7_late_rows", V.cte(V.EV, LATE) + f"""SELECT narration_id, {sql6('low')} AS watermark, 'behind_watermark' AS reason,
+  (SELECT count(*) FROM placed p2 JOIN highs h2 USING (batch) WHERE h2.low IS NULL OR p2.start >= h2.low) AS on_time FROM placed JOIN highs USING (batch) WHERE start < low""")
+def t7(spark, sf):
+    """The rows of the late sink, and how many went on."""
+    folder = fresh_folder(spark, "late")
+    ev = V.action_events(spark, sf).select("event_id", "narration_id", "start")
+    n = ev.agg(F.max("event_id") + 1).first()[0]
+    stream = arriving(ev, f"{folder}/in", 8, F.floor(F.col("event_id") * 8 / F.lit(n)))
+    q = ST.late_rows_stream(stream, "start", V.DAY, f"{folder}/good", f"{folder}/late", f"{folder}/state", availableNow=True)
+    q.awaitTermination()
+    on_time = spark.read.parquet(f"{folder}/good").agg(F.count(F.lit(1)).alias("on_time"))
+    return V.with_scalar(spark.read.parquet(f"{folder}/late"), on_time).select("narration_id", r6("watermark").alias("watermark"), "reason", "on_time")
+
+
 @query("s1_annotation_scan", V.cte(V.EV) + f"""SELECT narration_id, participant_id, video_id, {sql6('start % 86400')} AS start, {sql6('(start % 86400) - 1')} AS sta_cutoff, verb, noun FROM ev""")
 def s1(spark, sf):
     folder = fresh_folder(spark, "annotations")

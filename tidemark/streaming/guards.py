@@ -1,11 +1,12 @@
 """Stream gates: leakage quarantine, duplicates, order violations and late rows."""
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from .stateful import stateful
@@ -66,30 +67,74 @@ def order_violations_stream(frames: DataFrame) -> DataFrame:
                     "video_id string, position long, pts double, previous double", "None")
 
 
-class LateRows:
-    """Counts of rows in and rows behind the watermark over a whole query. A query keeps its last 100 progress reports only:
-    call ``poll`` more often than that; if reports were missed after all, it raises instead of counting on."""
+def late_rows_stream(rows: DataFrame, time: str, lateness: float, good_path: str, late_path: str, checkpoint: str,
+                     marks_path: str | None = None, **trigger) -> StreamingQuery:
+    """Send rows that lie more than ``lateness`` seconds before the latest ``time`` (seconds) of all earlier micro-batches to the late sink,
+    with that limit and a reason; rows without a finite time go there too. The others go to the good sink, which later stages may read with a
+    watermark of this lateness without losing a row.
+
+    The latest time so far is stored beside the good rows, one row per micro-batch that carries it on, so a restarted query goes on with
+    it; a retried batch overwrites its own folders."""
+    marks = marks_path or f"{good_path.rstrip('/')}-marks"
+    spark = rows.sparkSession
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            t = F.col(time).cast("double")
+            sound = F.coalesce(F.abs(t) < F.lit(float("inf")), F.lit(False))
+            high = None
+            if batch_id:
+                high = spark.read.schema("high double").parquet(f"{marks}/batch={batch_id - 1}").agg(F.max("high")).first()[0]
+            limit = F.lit(None if high is None else high - lateness).cast("double")
+            reason = F.when(~sound, "bad_time").when(t < limit, "behind_watermark")
+            tagged = batch.withColumn("watermark", limit).withColumn("reason", reason)
+            folder = f"batch={batch_id}"
+            tagged.where("reason IS NULL").drop("reason", "watermark").write.mode("overwrite").parquet(f"{good_path}/{folder}")
+            tagged.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{late_path}/{folder}")
+            latest = batch.agg(F.max(F.when(sound, t)).alias("high")).select(F.greatest("high", F.lit(high).cast("double")).alias("high"))
+            latest.write.mode("overwrite").parquet(f"{marks}/{folder}")
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+class LateCounter(StreamingQueryListener):
+    """Counts, over the whole run of each query, the rows that came in and those that its stateful operators dropped behind the
+    watermark. Every progress report is seen once as it is made, so long runs lose none. Add it with ``spark.streams.addListener``."""
 
     def __init__(self):
-        self.rows = self.late_rows = 0
-        self.last_batch: int | None = None
-        self.watermark: str | None = None
-
-    def poll(self, query: StreamingQuery) -> "LateRows":
-        for p in query.recentProgress:
-            batch = p["batchId"]
-            if self.last_batch is not None and batch <= self.last_batch:
-                continue
-            if batch > (0 if self.last_batch is None else self.last_batch + 1) and len(query.recentProgress) >= 100:
-                raise RuntimeError(f"progress of batches before {batch} is gone; poll more often")
-            self.rows += p["numInputRows"]
-            self.late_rows += sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])
-            self.watermark, self.last_batch = p.get("eventTime", {}).get("watermark", self.watermark), batch
-        return self
-
-
-def late_rows_report(query: StreamingQuery) -> list[dict]:
-    """Of the micro-batches the query still reports, how many rows came in and how many fell behind the watermark; ``LateRows``
-    counts over all of them."""
-    return [{"batch": p["batchId"], "rows": p["numInputRows"], "late_rows": sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]),
-             "watermark": p.get("eventTime", {}).get("watermark")} for p in query.recentProgress]
+        self._runs: dict[str, dict] = {}
+        self._lock = threading.Condition()
+
+    def _run(self, run_id) -> dict:
+        return self._runs.setdefault(str(run_id), {"rows": 0, "late_rows": 0, "batches": 0, "watermark": None, "ended": False})
+
+    def onQueryStarted(self, event) -> None:
+        with self._lock:
+            self._run(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self._lock:
+            run = self._run(p.runId)
+            run["rows"] += p.numInputRows
+            run["late_rows"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            run["batches"] += 1
+            run["watermark"] = (p.eventTime or {}).get("watermark", run["watermark"])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            self._run(event.runId)["ended"] = True
+            self._lock.notify_all()
+
+    def counts(self, query: StreamingQuery, timeout: float = 60.0) -> dict:
+        """rows, late_rows, batches and the last watermark of a query's run; waits for the last report of one that has ended."""
+        with self._lock:
+            if not query.isActive and not self._lock.wait_for(lambda: self._run(query.runId)["ended"], timeout):
+                raise TimeoutError("the end of the query was not reported")
+            return {k: v for k, v in self._run(query.runId).items() if k != "ended"}

@@ -1,10 +1,10 @@
 """Custom state: as-of history answered at the cutoff, and a running average of class probabilities."""
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,60 +25,80 @@ HISTORY = "narration_id string, video_id string, k int, tau double, valid boolea
 
 
 class _History(StatefulProcessor):
-    """Per video: recent clips, and events that wait for their cutoff."""
+    """Per video: clips by slice of time, and events by the slot of time in which they are answered.
+
+    A slice is written and read alone, so a timer touches only what it answers or forgets; clips set the timers that forget
+    them, whether their video has events or not."""
 
     def __init__(self, steps: int, stride: float, tolerance: float, eps: float):
         self.steps, self.stride, self.tolerance, self.eps = steps, stride, tolerance, eps
+        self.slice = max(stride, (steps * stride + tolerance) / 4)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clips = handle.getListState("clips", "t double, row long")
-        self.waiting = handle.getListState("waiting", "narration_id string, cutoff double")
+        self.clips = handle.getMapState("clips", "slice long", "t array<double>, row array<long>")
+        self.waiting = handle.getMapState("waiting", "due long", "narration_id array<string>, cutoff array<double>")
+
+    def _slots(self, cutoffs: np.ndarray) -> np.ndarray:
+        """Time in ms at which an event is answered: after the next multiple of the stride, one timer for all of a slot. These timers are
+        even and those of `_forget_at` odd, so that a timer tells what it is for."""
+        return ((np.ceil((cutoffs + self.eps) / self.stride) * self.stride * 1000).astype(np.int64) + ORIGIN // 1000 + 2) & ~1
+
+    def _forget_at(self, piece: int) -> int:
+        """Time in ms after which no event can use a clip of the slice: later than the slot of any event that can."""
+        reach = self.steps * self.stride + self.tolerance + 2 * self.stride + 1
+        return int(math.ceil(((piece + 1) * self.slice + reach) * 1000)) + ORIGIN // 1000 | 1
 
-    def _due(self, cutoff: float) -> int:
-        # one timer per stride rather than per event
-        return int(math.ceil((cutoff + self.eps) / self.stride) * self.stride * 1000) + ORIGIN // 1000 + 1
+    def _extend(self, state, key: int, columns: list[list]) -> bool:
+        """Append to the lists of one entry; whether it is new."""
+        old = state.getValue((int(key),)) if state.containsKey((int(key),)) else None
+        state.updateValue((int(key),), tuple(columns if old is None else [list(a) + b for a, b in zip(old, columns)]))
+        return old is None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        cold, due = [], set()
         for batch in rows:
-            clips = batch[batch["kind"] == "clip"]
-            if len(clips):
-                self.clips.appendList(list(zip(clips["t"].astype(float), clips["row"].astype(int))))
-            events = batch[batch["kind"] == "event"]
-            early = events["t"] < 0
-            cold += list(zip(events["narration_id"][early], events["t"][early]))
-            live = events[~early]
-            if len(live):
-                self.waiting.appendList(list(zip(live["narration_id"], live["t"].astype(float))))
-                due |= {self._due(c) for c in live["t"]}
-        for at in due:
-            self.handle.registerTimer(at)
-        yield self._answers(key[0], cold, [], [])
+            t, is_clip = batch["t"].to_numpy(float), (batch["kind"] == "clip").to_numpy()
+            piece = np.floor(t / self.slice).astype(np.int64)
+            for one in np.unique(piece[is_clip]):
+                at = is_clip & (piece == one)
+                if self._extend(self.clips, one, [t[at].tolist(), batch["row"].to_numpy()[at].astype(int).tolist()]):
+                    self.handle.registerTimer(self._forget_at(int(one)))
+            cold = ~is_clip & (t < 0)
+            if cold.any():
+                yield self._answers(key[0], batch["narration_id"].to_numpy()[cold], t[cold], np.zeros(0), np.zeros(0, np.int64))
+            live = np.flatnonzero(~is_clip & ~(t < 0))
+            slots = self._slots(t[live])
+            for due in np.unique(slots):
+                at = live[slots == due]
+                if self._extend(self.waiting, due, [batch["narration_id"].to_numpy()[at].tolist(), t[at].tolist()]):
+                    self.handle.registerTimer(int(due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        events = list(self.waiting.get())
-        ready = [(n, c) for n, c in events if self._due(c) <= now]
-        later = [(n, c) for n, c in events if self._due(c) > now]
-        clips = sorted(self.clips.get())
-        if ready:
-            yield self._answers(key[0], ready, [c[0] for c in clips], [c[1] for c in clips])
-            self.waiting.put(later) if later else self.waiting.clear()
-            needed = min([c for _, c in later] + [now / 1000.0 - ORIGIN / 1e6]) - self.steps * self.stride - self.tolerance - 1
-            kept = [c for c in clips if c[0] >= needed]
-            if len(kept) < len(clips):
-                self.clips.put(kept) if kept else self.clips.clear()
-
-    def _answers(self, video, events, times, clip_rows) -> pd.DataFrame:
-        out = []
-        for narration_id, cutoff in events:
-            for k in range(1, self.steps + 1):
-                tau = cutoff - (self.steps - k) * self.stride
-                at = bisect.bisect_right(times, tau + self.eps) - 1 if cutoff >= 0 and tau >= 0 else -1
-                ok = at >= 0 and tau - times[at] <= self.tolerance + self.eps
-                out.append((narration_id, video, k, tau, ok, times[at] if ok else None, clip_rows[at] if ok else -1))
-        return pd.DataFrame(out, columns=["narration_id", "video_id", "k", "tau", "valid", "used_time", "row"])
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if due % 2 == 0:
+            names, cutoffs = self.waiting.getValue((due,))
+            self.waiting.removeKey((due,))
+            cutoffs = np.asarray(cutoffs, float)
+            first, last = (cutoffs.min() - self.steps * self.stride - self.tolerance - 1, cutoffs.max() + self.eps)
+            pieces = [self.clips.getValue((p,)) for p in range(int(first // self.slice), int(last // self.slice) + 1) if self.clips.containsKey((p,))]
+            t = np.concatenate([np.asarray(p[0], float) for p in pieces]) if pieces else np.zeros(0)
+            row = np.concatenate([np.asarray(p[1], np.int64) for p in pieces]) if pieces else np.zeros(0, np.int64)
+            order = np.lexsort((row, t))
+            yield self._answers(key[0], np.asarray(names, object), cutoffs, t[order], row[order])
+            return
+        piece = round((due - ORIGIN // 1000) / 1000 / self.slice - (self.steps * self.stride + self.tolerance + 2 * self.stride + 1) / self.slice - 1)
+        for one in (piece - 1, piece, piece + 1):
+            if self._forget_at(one) == due and self.clips.containsKey((one,)):
+                self.clips.removeKey((one,))
+
+    def _answers(self, video, names, cutoffs, times, clip_rows) -> pd.DataFrame:
+        tau = (cutoffs[:, None] - (self.steps - np.arange(1, self.steps + 1)) * self.stride).reshape(-1)
+        at = np.searchsorted(times, tau + self.eps, "right") - 1
+        used = np.append(times, np.nan)[at]
+        ok = (at >= 0) & (np.repeat(cutoffs, self.steps) >= 0) & (tau >= 0) & (tau - used <= self.tolerance + self.eps)
+        return pd.DataFrame({
+            "narration_id": np.repeat(names, self.steps), "video_id": video, "k": np.tile(np.arange(1, self.steps + 1), len(cutoffs)), "tau": tau, "valid": ok,
+            "used_time": pd.Series(used).where(ok, None).astype(object), "row": np.where(ok, np.append(clip_rows, -1)[at], -1)})
 
     def close(self) -> None:
         pass
@@ -87,14 +107,15 @@ class _History(StatefulProcessor):
 def history_stream(events: DataFrame, bank: DataFrame, steps: int = 16, stride: float = 1.0,
                    tolerance: float | None = None, eps: float = 1e-6, lateness: str = "10 seconds") -> DataFrame:
     """As-of history over streams of events (``narration_id, video_id, sta_cutoff``) and clips
-    (``video_id, t_end_s, row``). An event is answered when the watermark passes its cutoff, so every
+    (``video_id, t_end_s, row``). Each input has its own watermark and the slower one counts, so clips that run ahead make no event late. An
+    event is answered when the watermark passes its cutoff, so every
     clip it may use has arrived; a negative cutoff is answered at once. Clips are forgotten
-    ``steps * stride + tolerance`` after the oldest waiting event. ``row`` is -1 for invalid steps."""
-    e = with_event_time(events, "sta_cutoff").select(
+    about ``steps * stride + tolerance`` behind the watermark, also in videos without events. ``row`` is -1 for invalid steps."""
+    e = with_event_time(events, "sta_cutoff").withWatermark("ts", lateness).select(
         "video_id", "ts", F.lit("event").alias("kind"), "narration_id", F.col("sta_cutoff").alias("t"), F.lit(-1).cast("long").alias("row"))
-    b = with_event_time(bank, "t_end_s").select(
+    b = with_event_time(bank, "t_end_s").withWatermark("ts", lateness).select(
         "video_id", "ts", F.lit("clip").alias("kind"), F.lit("").alias("narration_id"), F.col("t_end_s").alias("t"), F.col("row").cast("long").alias("row"))
-    rows = e.unionByName(b).withWatermark("ts", lateness)
+    rows = e.unionByName(b)
     return stateful(rows, ["video_id"], _History(steps, stride, stride if tolerance is None else tolerance, eps), HISTORY, "EventTime")
 
 
@@ -108,7 +129,6 @@ class _Ema(StatefulProcessor):
         self.state = handle.getValueState("ema", "k long, q array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
         batch = pd.concat(list(rows), ignore_index=True).sort_values("k", kind="stable")
         last, q = self.state.get() if self.state.exists() else (-(2 ** 62), None)
         q = None if q is None else np.asarray(q, dtype="float64")
