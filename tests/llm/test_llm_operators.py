@@ -379,6 +379,20 @@ def test_piece_memory_equals_the_tokenizer_file():
         assert np.frombuffer(memory.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_names_are_ids_as_in_the_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is loaded
+    memory = english_pieces()
+    assert np.frombuffer(memory.ids("<|endoftext|> a"), "<u4").tolist() == [50256, 257]
+    rng = np.random.default_rng(12)
+    parts = ["a", " ", "  ", "\n", "don't", "é", "日本", "<|endoftext|>", "<|endoftext|", "|>", "<", "🙂", "!?"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 20))) for _ in range(400)] + ["<|endoftext|>", "<|endoftext|>" * 3, " <|endoftext|> "]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [np.frombuffer(memory.ids(text), "<u4").tolist() for text in texts] == want
+    rows = packing.pack(frame(spark, texts), english_pieces, 2).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] - 1 for r in rows} == {i: len(ids) for i, ids in enumerate(want)}
+
+
 def test_bpe(spark):
     import tiktoken
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.scratch import fresh_folder
 from . import (bpe, html_text, line_dedup, near_dedup, neighbours, packing, perplexity, substring_dedup, token_counts, toxicity, url_filter,
                vector_codes, whitening)
-from .pretokens import library_pieces
+from .pretokens import added_tokens, library_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def english_pieces():
+    """Ids as the tokenizer file gives them: a name that it adds, such as that of the end of a text, is one id wherever it stands."""
+    return library_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def ordinary_pieces():
+    """The same without added names: where the id of the end of a text separates documents, no text may hold it."""
     return library_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -65,7 +71,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents, read back from the flat files they are written to."""
     folder = fresh_folder(spark, "tokens")
-    places = token_counts.write_token_files(table(spark, sf, "documents"), folder, english_pieces, END_OF_TEXT)
+    places = token_counts.write_token_files(table(spark, sf, "documents"), folder, ordinary_pieces, END_OF_TEXT)
     counts = token_counts.count_tokens(spark, folder, END_OF_TEXT)
     return places.join(counts.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
 
