@@ -193,7 +193,11 @@ def test_toxicity_learns_and_defines_odd_texts(spark):
     assert np.mean([got[i]["predicted"] == labels[i] for i in held]) > 0.9
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values()) and len(got) == len(texts) + len(ODD)
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
-    assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
+    assert {(r["score"], r["trained"]) for r in toxicity.score(docs, None).collect()} == {(0.0, False)}
+    known = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    strangers = spark.range(1000, 40_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    alike = toxicity.fit(docs, known.union(strangers))  # labels of documents that aren't there change nothing
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, alike).collect()} == {i: r["score"] for i, r in got.items()}
 
 
 def test_toxicity_gradient():

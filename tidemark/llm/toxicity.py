@@ -271,13 +271,15 @@ def _calibrate(best: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Network | None:
     """Train on documents whose crc32(doc_id as text) modulo `fold` is not 0: at most `SAMPLE_TOXIC` and `SAMPLE_CLEAN` of each
-    class, the first by a hash of their id, with texts of at most `SAMPLE_BYTES`. The bounded sample is gathered in one task, which
-    trains and returns the network."""
+    class, the first by a hash of their id of those that `docs` holds with texts of at most `SAMPLE_BYTES`. The bounded sample is gathered in
+    one task, which trains and returns the network; None where a class has no such document."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
              .where(F.crc32(F.col("doc_id").cast("string")) % fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    here = known.join(short.select("doc_id"), "doc_id", "left_semi")  # before the limit: labels may be those of other documents
+
     def part(toxic: int, most: int) -> DataFrame:
-        picked = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        picked = here.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         return short.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(most).select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,19 +293,20 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Network | None:
 
 
 def score(docs: DataFrame, network: Network | None, fold: int = 5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of `docs`. The network (under 7 MB, whatever the input) is broadcast."""
+    """doc_id, held_out, score, predicted and trained of every row of `docs`. The network (under 7 MB, whatever the input) is broadcast. Without
+    one `trained` is false and all scores are 0."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for part in slices(batches, most=SLICE_BYTES):
             scores = net.score(part.column("text")) if net else np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                                             names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(np.full(part.num_rows, net is not None))],
+                                             names=["doc_id", "held_out", "score", "predicted", "trained"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 0, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+        run, "doc_id long, held_out boolean, score double, predicted int, trained boolean")
 
 
 def clean(docs: DataFrame, network: Network | None) -> DataFrame:
