@@ -145,15 +145,16 @@ def _units(members: DataFrame) -> DataFrame:
         rows, size = F.count(F.when(which, 1)), F.coalesce(F.sum(F.when(which, F.col("bytes"))), F.lit(0))
         counts.append(F.greatest(F.ceil(rows / UNIT_ROWS), F.ceil(size / UNIT_BYTES)).cast("int").alias(name))  # in units
     undecided = members.groupBy("grp").agg(*counts).where("top <> low")
-    spread = members.join(undecided, "grp")
     own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    fields = ["grp", "id", "bytes", "component"]
-    unlike = spread.where(F.col("level") > NEAR).select(*fields, own("unlike").alias("own"), every("unlike").alias("other"))
-    unlike = unlike.select(*fields, F.lit(0).alias("kind"), F.least("own", "other").alias("u"), F.greatest("own", "other").alias("m"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    shell = spread.where(F.col("level") == SHELL).select(*fields, F.lit(1).alias("kind"), own("unlike").alias("u"), every("near").alias("m"), F.lit(0).alias("side"))
-    near = spread.where((F.col("level") == NEAR) & (F.col("shell") > 0)).select(*fields, F.lit(1).alias("kind"), every("unlike").alias("u"), own("near").alias("m"), F.lit(1).alias("side"))
-    return checkpointed(unlike.union(shell).union(near))
+    unit = lambda kind, u, m, side: F.struct(F.lit(kind).alias("kind"), u.alias("u"), m.alias("m"), side.cast("int").alias("side"))
+    every = lambda count, make: F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)
+    none = F.array().cast("array<struct<kind:int,u:int,m:int,side:int>>")
+    among = every("unlike", lambda x: unit(0, F.least(own("unlike"), x), F.greatest(own("unlike"), x), own("unlike") > x))
+    near = every("near", lambda x: unit(1, own("unlike"), x, F.lit(0)))
+    theirs = every("unlike", lambda x: unit(1, x, own("near"), F.lit(1)))
+    shell = F.col("level") == SHELL
+    units = F.when(F.col("level") > NEAR, F.concat(among, F.when(shell, near).otherwise(none))).otherwise(F.when(F.col("shell") > 0, theirs).otherwise(none))
+    return checkpointed(members.join(undecided, "grp").select("grp", "id", "bytes", "component", F.inline(units)))
 
 
 def _compare_units(in_block: Callable):
@@ -199,7 +200,7 @@ def _classes(groups: DataFrame, payloads: DataFrame, levels: Callable, in_block:
     hooks = hooks.join(onward, "hook", "left").select("id", F.coalesce("next", "hook").alias("component"))
     members = (paired.join(met, ["id", "p_id"], "left").join(hooks, "id", "left")
                .select("grp", "id", "bytes", F.coalesce("level", F.lit(NEAR)).alias("level"), F.coalesce("component", "id").alias("component")))
-    units = _units(members)
+    units = _units(checkpointed(members))  # stored, so that plans stay small
     size = units.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     if not size["rows"]:
         return components(near)
