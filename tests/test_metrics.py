@@ -227,3 +227,26 @@ def test_class_weights_average_to_one(spark):
     c = spark.createDataFrame([("verb", i, n) for i, n in enumerate([9, 0, 4])], "field string, class_id int, n long")
     w = S.class_weights(c, -1.0).collect()
     assert abs(sum(r["weight"] * (r["n"] + 1) for r in w) / sum(r["n"] + 1 for r in w) - 1) < 1e-12
+
+
+def test_retrieval_meets_few_leaves_on_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    k = np.repeat(centres, 50, 0) + rng.normal(size=(2000, 16)) * .05
+    q = k + rng.normal(size=k.shape) * .02
+    frame = lambda m: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, vector array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = VX.retrieval_hits(frame(q), frame(k), block=64).toPandas().sort_values("id")
+    assert (got["hit"].to_numpy() == (np.argmax(unit(q) @ unit(k).T, 1) == np.arange(2000))).all()
+    assert got["leaves"].mean() < 3 and got["leaves"].max() < 12  # of 45
+
+
+def test_retrieval_without_vectors(spark):
+    schema = "id long, vector array<double>, q int, leaf string"
+    keys = spark.createDataFrame([(1, [1.0, 0.0], 0, ""), (2, None, 0, ""), (3, [float("nan"), 1.0], 0, ""), (4, [0.5, None], 0, ""), (5, [0.0, 1.0], 0, "")], schema)
+    got = {r["id"]: (r["hit"], r["leaves"]) for r in VX.retrieval_hits(keys, keys).collect()}
+    assert sorted(i for i in got if got[i][0]) == [1, 5]
+    assert {got[i] for i in (2, 3, 4)} == {(False, 0)}
+    assert VX.retrieval_top1(keys, keys.limit(0)).first()["top1"] == 0
+    none = VX.retrieval_top1(keys.limit(0), keys).first()
+    assert none["n"] == 0 and none["top1"] is None

@@ -120,16 +120,3 @@ def attention(heads: int):
             outer = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype="int32") * heads), inner)
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors, outer], names=[batch.schema.names[0], "attended", "weights"])
     return run
-
-
-def with_pivot_distances(df: DataFrame, vector: str, pivots: list[list[float]]) -> DataFrame:
-    """Add ``_d``, the distances of a unit vector from a few unit vectors."""
-    table = np.asarray(pivots, dtype="float64")
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * matrix(pdf[vector]) @ table.T))
-                yield pdf.assign(_d=list(d))
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("_d", T.ArrayType(T.DoubleType()))]))

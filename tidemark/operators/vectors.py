@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import all_finite, dot, let, mask_vector, mean_vector, normalize
 from ..session import with_scalar
-from .batches import attention, with_pivot_distances
+from .batches import attention
+from .retrieval import retrieval_hits, retrieval_top1  # noqa: F401
 
 
 def mean_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -142,72 +143,6 @@ def availability(history_rows: DataFrame, present: DataFrame, future: DataFrame
     return out.withColumn("present_available", F.coalesce("present_available", F.lit(False)))
 
 
-def retrieval_top1(queries: DataFrame, keys: DataFrame, vector: str = "vector", pivots: int = 64,
-                   block: int = 4096) -> DataFrame:
-    """Share of queries whose most similar key (cosine, ties to the lower id) is their own, and chance.
-
-    A query misses only when some other key is closer to it than its own. Keys are put in the cell
-    of their nearest pivot (a fixed number of keys picked by hash). By the triangle inequality a cell
-    whose distance range cannot contain a closer key is skipped, exactly; the others are compared in
-    blocks of at most about ``block`` x ``block`` vectors by matrix products that return one row per
-    query. Own keys are found by an equi join, so nothing here needs all pairs as rows."""
-    q = queries.select("id", normalize(vector).alias("q"))
-    k = keys.select("id", normalize(vector).alias("k"))
-    # a fixed, small number of vectors: held by the driver and sent with the tasks
-    chosen = k.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
-    table = [r["k"] for r in chosen]
-    kd = (with_pivot_distances(k, "k", table)
-          .withColumn("cell", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
-          .select("id", "k", "cell", F.array_min("_d").alias("d")))
-    cells = (kd.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n"))
-             .agg(F.collect_list(F.struct("cell", "lo", "hi", "n")).alias("_cells")))
-    mine = keys.select(F.col("id").alias("own_id"), normalize(vector).alias("k"))
-    own = (q.join(mine, F.col("id") == F.col("own_id")).withColumn("own", dot("q", "k"))
-           .select("id", "q", "own"))
-    slack = 1e-6
-    radius = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("own"))) + slack
-    qd = with_scalar(with_pivot_distances(own, "q", table).withColumn("_r", radius), cells)
-    reach = F.filter("_cells", lambda c: (F.col("_d")[c["cell"]] - F.col("_r") <= c["hi"])
-                     & (F.col("_d")[c["cell"]] + F.col("_r") >= c["lo"]))
-    routed = qd.select("id", "q", "own", F.explode(reach).alias("c")).select(
-        "id", "q", "own", F.col("c.cell").alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("c.n") - 1) / block).cast("int"))).alias("kb"))
-    load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    sizes = kd.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    load = sizes.join(load, "cell").select(
-        "cell", (F.floor((F.col("n") - 1) / block) + 1).cast("int").alias("kbs"),
-        (F.floor((F.col("m") / (F.floor((F.col("n") - 1) / block) + 1) - 1) / block) + 1).cast("int").alias("qbs"))
-    load = F.broadcast(load)  # one row per pivot
-    left = (routed.join(load, "cell").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("qbs")).cast("int"))
-            .select("cell", "kb", "qb", F.col("id").alias("qid"), "q", "own"))
-    right = (kd.join(load, "cell").withColumn("kb", F.pmod(F.xxhash64("id"), F.col("kbs")).cast("int"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
-             .select("cell", "kb", "qb", F.col("id").alias("kid"), "k"))
-    beaten = (left.groupBy("cell", "kb", "qb").cogroup(right.groupBy("cell", "kb", "qb"))
-              .applyInPandas(_beaten, "id long").distinct().withColumn("_lost", F.lit(True)))
-    # a query without a key of its own is a miss
-    missed = q.select("id").join(mine.select("own_id"), F.col("id") == F.col("own_id"), "left_anti").withColumn("_lost", F.lit(True))
-    judged = own.select("id").join(beaten, "id", "left").unionByName(missed)
-    chance = F.try_divide(F.lit(1.0), F.count(F.lit(1)))
-    return judged.agg((F.count_if(F.col("_lost").isNull()) / F.count(F.lit(1))).alias("top1"), chance.alias("chance"),
-                      F.count(F.lit(1)).alias("n"))
-
-
-def _beaten(queries, keys):
-    """Ids of the queries in this block that some key beats."""
-    import numpy as np
-    import pandas as pd
-
-    if not len(queries) or not len(keys):
-        return pd.DataFrame({"id": np.array([], dtype="int64")})
-    qm, km = np.stack(queries["q"].to_numpy()), np.stack(keys["k"].to_numpy())
-    qi, ki = queries["qid"].to_numpy(), keys["kid"].to_numpy()
-    sims, mine = qm @ km.T, queries["own"].to_numpy()[:, None]
-    tied = np.abs(sims - mine) <= 1e-12
-    beats = np.where(tied, ki[None, :] < qi[:, None], sims > mine)
-    return pd.DataFrame({"id": qi[beats.any(axis=1)]})
-
-
 def score_frozen(features: DataFrame, weights: dict, version: str, vector: str = "vector",
                  done: str | None = None) -> DataFrame:
     """Apply a frozen linear scorer, ``scores = W v + b``, to every feature row in Arrow batches and
