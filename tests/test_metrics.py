@@ -250,3 +250,32 @@ def test_retrieval_without_vectors(spark):
     assert VX.retrieval_top1(keys, keys.limit(0)).first()["top1"] == 0
     none = VX.retrieval_top1(keys.limit(0), keys).first()
     assert none["n"] == 0 and none["top1"] is None
+
+
+def test_ridge_equals_the_closed_form(spark):
+    from tidemark.operators import baseline as BL
+    rng = np.random.default_rng(5)
+    y, z = rng.integers(0, 3, 120), rng.integers(0, 4, 120)
+    x = np.eye(3)[y] * 2 + rng.normal(size=(120, 3)) * .4
+    rows = [(int(a) if i % 10 else None, int(b), v.tolist()) for i, (a, b, v) in enumerate(zip(y, z, x))]
+    rows += [(0, 0, None), (1, 1, [float("nan"), 0.0, 0.0]), (2, 2, [None, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "verb int, noun int, vector array<double>").repartition(7)
+    weights = spark.createDataFrame([("verb", 0, 2.0), ("verb", 2, 0.5), ("noun", 3, 3.0)], "field string, class_id int, weight double")
+    model = BL.fit_ridge(df, {"verb": 3, "noun": 4}, weights, reg=0.7)
+    for field, n, label, heavy, some in (("verb", 3, y, [2, 1, .5], np.arange(120) % 10 > 0), ("noun", 4, z, [1, 1, 1, 3.], np.ones(120, bool))):
+        full, w = np.c_[x, np.ones(120)][some], np.array(heavy)[label[some]]
+        want = np.linalg.solve((full.T * w) @ full + np.diag([.7] * 3 + [0]), (full.T * w) @ np.eye(n)[label[some]])
+        assert np.allclose(model[field]["W"], want[:3].T) and np.allclose(model[field]["b"], want[3])
+    counts = spark.createDataFrame([("verb", i, n) for i, n in enumerate([7, 1, 0])] + [("noun", i, 1) for i in range(4)], "field string, class_id int, n long")
+    asked = df.withColumn("use_prior", F.col("noun") == 1)
+    out = BL.ridge_outputs(asked, model, counts).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        cold = r["noun"] == 1 or r["vector"] is None or r["vector"][0] is None or np.isnan(r["vector"][0])
+        assert r["used_prior"] == cold
+        want = np.log(np.array([8, 2, 1]) / 11 + 1e-8) if cold else model["verb"]["W"] @ r["vector"] + model["verb"]["b"]
+        assert np.allclose(r["verb_output"], want) and len(r["noun_output"]) == 4
+    with pytest.raises(Exception, match="outside 0 to 1"):
+        BL.fit_ridge(df, {"verb": 2})
+    with pytest.raises(ValueError, match="no vectors"):
+        BL.fit_ridge(df.limit(0), {"verb": 3})

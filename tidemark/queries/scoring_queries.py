@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (adjust, config_name, config_seed, cosine, format_mean_sd, gate_mix, half_even_count, is_safe_id,
                          joint_id, mask_vector, named_slice, normalize, parse_bool, softmax, split_joint_id, video_number)
-from ..operators import checks as C, metrics as M, report as R, sampling as SA, stats as S, vectors as VX
+from ..operators import baseline as BL, checks as C, metrics as M, report as R, sampling as SA, stats as S, vectors as VX
 from ..session import with_scalar
 from . import views as V
 from .registry import query, r6, sql6
@@ -296,6 +296,45 @@ def u2(spark, sf):
     return out.select("vec_id", F.col("prediction").cast("int").alias("predicted"), r6(F.array_max(vector_to_array("probability"))).alias("confidence"))
 
 
+# Gauss-Jordan elimination of the normal equations, one row of the matrix per table row; the ridge keeps every pivot positive.
+RIDGE = """fit AS (SELECT t.event_id % (SELECT count(*) FROM embeddings) AS vec_id, t.verb, t.noun FROM split t JOIN feat f USING (narration_id) WHERE t.subset = 'train' AND NOT f.use_prior),
+heavy AS (SELECT field, class_id, raw * sum(m) OVER w / sum(raw * m) OVER w AS weight FROM (SELECT field, class_id, n + 1.0 AS m, pow(n + 1.0, -0.5) AS raw FROM counts)
+  WINDOW w AS (PARTITION BY field)),
+mass AS (SELECT l.vec_id, l.field, l.y, sum(h.weight) AS mass FROM (SELECT vec_id, 'verb' AS field, verb AS y FROM fit UNION ALL SELECT vec_id, 'noun', noun FROM fit) l
+  JOIN heavy h ON h.field = l.field AND h.class_id = l.y GROUP BY 1, 2, 3),
+xs AS (SELECT vec_id, unnest(range(1, 66)) AS i, unnest(list_append(embedding::DOUBLE[], 1.0)) AS x FROM embeddings),
+normal AS (SELECT g.field, a.i, b.i AS j, sum(g.mass * a.x * b.x) + CASE WHEN a.i = b.i AND a.i < 65 THEN 1.0 ELSE 0.0 END AS v
+    FROM (SELECT vec_id, field, sum(mass) AS mass FROM mass GROUP BY 1, 2) g JOIN xs a USING (vec_id) JOIN xs b USING (vec_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT c.field, r.i, 66 + c.class_id, coalesce(sum(m.mass * a.x), 0.0) FROM counts c CROSS JOIN (SELECT unnest(range(1, 66)) AS i) r
+    LEFT JOIN mass m ON m.field = c.field AND m.y = c.class_id LEFT JOIN xs a ON a.vec_id = m.vec_id AND a.i = r.i GROUP BY 1, 2, 3),
+solve AS (SELECT field, 1 AS k, i, list(v ORDER BY j) AS r FROM normal GROUP BY field, i
+  UNION ALL SELECT s.field, s.k + 1, s.i, CASE WHEN s.i = s.k THEN list_transform(s.r, lambda x: x / s.r[s.k])
+      ELSE list_transform(s.r, lambda x, j: x - s.r[s.k] / p.r[p.k] * p.r[j]) END
+    FROM solve s JOIN solve p ON p.field = s.field AND p.i = s.k WHERE s.k <= 65),
+said AS (SELECT xs.vec_id, c.field, c.class_id, sum(xs.x * s.r[66 + c.class_id]) AS score FROM solve s JOIN counts c USING (field) JOIN xs ON xs.i = s.i
+  WHERE s.k = 66 GROUP BY 1, 2, 3),
+cold AS (SELECT field, class_id, ln((n + 1.0) / (sum(n) OVER w + count(*) OVER w) + 1e-8) AS score FROM counts WINDOW w AS (PARTITION BY field)),
+best AS (SELECT vec_id, field, class_id, score FROM said QUALIFY row_number() OVER (PARTITION BY vec_id, field ORDER BY score DESC, class_id) = 1),
+best_cold AS (SELECT field, class_id, score FROM cold QUALIFY row_number() OVER (PARTITION BY field ORDER BY score DESC, class_id) = 1)"""
+
+
+@query("u2_ridge_baseline", "WITH RECURSIVE" + TRAINED20.rstrip()[4:] + ",\n" + V.cte(V.BANK, V.FEAT, RIDGE)[5:] + f"""
+SELECT s.narration_id, f.use_prior AS used_prior, CASE WHEN f.use_prior THEN cv.class_id ELSE v.class_id END AS verb, CASE WHEN f.use_prior THEN cn.class_id ELSE n.class_id END AS noun,
+  {sql6('CASE WHEN f.use_prior THEN cv.score ELSE v.score END')} AS verb_score, {sql6('CASE WHEN f.use_prior THEN cn.score ELSE n.score END')} AS noun_score
+FROM split s JOIN feat f USING (narration_id) JOIN best v ON v.field = 'verb' AND v.vec_id = s.event_id % (SELECT count(*) FROM embeddings)
+  JOIN best n ON n.field = 'noun' AND n.vec_id = v.vec_id JOIN best_cold cv ON cv.field = 'verb' JOIN best_cold cn ON cn.field = 'noun' WHERE s.subset = 'val'""")
+def u2_ridge(spark, sf):
+    features = V.event_features(spark, sf).select("narration_id", "use_prior")
+    rows = V.with_vectors(split(spark, sf), spark, sf, "event_id").join(features, "narration_id").select(
+        "narration_id", "subset", "verb", "noun", "vector", "use_prior")
+    held = S.class_counts(train(spark, sf), V.VERBS, V.NOUNS)
+    fitted = BL.fit_ridge(rows.where("subset = 'train' AND NOT use_prior"), {"verb": V.VERBS, "noun": V.NOUNS}, S.class_weights(held, -0.5))
+    out = BL.ridge_outputs(rows.where("subset = 'val'"), fitted, held)
+    best = [F.array_max(F.transform(f"{f}_output", lambda x, i: F.struct(x.alias("score"), (-i).alias("i")))).alias(f) for f in ("verb", "noun")]
+    return out.select("narration_id", "used_prior", *best).select(
+        "narration_id", "used_prior", *((-F.col(f"{f}.i")).alias(f) for f in ("verb", "noun")), *(r6(f"{f}.score").alias(f"{f}_score") for f in ("verb", "noun")))
+
+
 @query("f1_text_functions", V.cte(V.EV) + """SELECT event_id, CAST(split_part(video_id, '_', 2) AS INTEGER) AS number, concat('run_', noun, '_x') AS config, verb AS seed,
   verb <> 2 AS safe, noun < 10 AS flag, verb * 20 + noun AS action, verb AS back_verb, noun AS back_noun FROM ev""")
 def f_text(spark, sf):
