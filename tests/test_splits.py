@@ -169,3 +169,28 @@ def test_two_standard_deviations(spark):
     sample = {r["c"]: r["sd"] for r in S.mean_sd(df, "c", "x").collect()}
     assert round(sample["a"], 6) == round(2 ** .5, 6) and sample["b"] == 0.0
     assert {r["c"]: r["sd"] for r in S.mean_sd(df, "c", "x", 0).collect()} == {"a": 1.0, "b": 0.0}
+
+
+@pytest.mark.parametrize("target,band,ks,pool", [(.3, .05, (2, 3), (0, 1)), (.01, .01, (2, 3), (0, 1)), (.9, .01, (1, 2, 3), (0, 1)), (.2, .001, (3,), (.1, .9)), (.1, .02, (1, 2), (0, 1)), (.25, .3, (3,), (0, 1))])
+def test_best_combination_equals_the_listing(spark, target, band, ks, pool):
+    import random
+    draw = random.Random(f"{target}{ks}")
+    rows = [(f"n{i}", f"P{draw.randrange(14)}", draw.randrange(9), draw.randrange(30) if i % 7 else None) for i in range(150)]
+    rows += [(f"m{p}{i}", f"Q{p}", 1, 2) for p in range(6) for i in range(8)]  # members that are alike
+    ev = spark.createDataFrame(rows, "narration_id string, participant_id string, verb int, noun int")
+    want = SP.combinations(ev, target, ks, pool, band).orderBy("outside", F.col("coverage").desc(), "distance", "names").first()
+    got = SP.best_combination(ev, target, ks, pool, band).first()
+    assert [got[c] for c in ("names", "n", "distance", "outside", "coverage")] == [want[c] for c in ("names", "n", "distance", "outside", "coverage")]
+    with pytest.raises(ValueError):
+        SP.best_combination(ev, ks=(4,))
+
+
+@pytest.mark.parametrize("target,band", [(.3, .05), (.2, .001), (.01, .01), (.25, .3), (.2, .0)])
+def test_counts_without_the_cube(spark, target, band):
+    import random
+    draw = random.Random(3)
+    rows = [(f"n{i}", f"P{draw.randrange(12)}", 0, 0) for i in range(160)] + [(f"m{p}{i}", f"Q{p}", 0, 0) for p in range(5) for i in range(8)]
+    ev = spark.createDataFrame(rows, "narration_id string, participant_id string, verb int, noun int")
+    listed = SP.combinations(ev, target, (2, 3), (0, 1), band).groupBy(F.size("names").cast("long").alias("members"), "outside").agg(
+        F.count(F.lit(1)).alias("combinations"), F.sum("n").alias("events"))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, SP.combination_counts(ev, target, (0, 1), band).collect()))

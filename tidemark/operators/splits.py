@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import half_even_count, video_number
 from ..session import with_scalar
 from .checks import enforce, missing_keys
+from .choice import best_of, thirds_in_band
 from .events import with_subset
 from .skew import running
 
@@ -84,6 +85,18 @@ def band_limit(target: float, ks: Sequence[int], pool: tuple[float, float], band
     return int(max(ks) / (top * floor)) + 1
 
 
+def _candidates(events: DataFrame, target: float, ks: Sequence[int], pool: tuple[float, float], band: float) -> DataFrame:
+    """Pool members that the best combination can have: all up to ``band_limit`` participants, else the largest."""
+    members = participant_pool(events, pool)
+    limit = band_limit(target, ks, pool, band)
+    if limit is None:
+        return members
+    few = members.where(F.col("participants") <= limit)
+    many = (members.where(F.col("participants") > limit)
+            .orderBy(F.col("n").desc(), "participant_id").limit(max(ks)))
+    return few.unionByName(many)
+
+
 def combinations(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2, 3),
                  pool: tuple[float, float] = (0.25, 0.75), band: float = 0.01) -> DataFrame:
     """Candidate participant combinations with size, distance to the target and class coverage.
@@ -93,13 +106,7 @@ def combinations(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2
     largest one, made of the largest members; only those are combined. Coverage is computed for
     combinations inside the band only."""
     ks = sorted(ks)
-    members = participant_pool(events, pool)
-    limit = band_limit(target, ks, pool, band)
-    if limit is not None:
-        few = members.where(F.col("participants") <= limit)
-        many = (members.where(F.col("participants") > limit)
-                .orderBy(F.col("n").desc(), "participant_id").limit(max(ks)))
-        members = few.unionByName(many)
+    members = _candidates(events, target, ks, pool, band)
     index = F.row_number().over(Window.orderBy("participant_id")) - 1
     members = members.withColumn("i", index).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))
     lookup = F.broadcast(members.select("i", F.col("participant_id").alias("_p"), F.col("n").alias("_n")))
@@ -133,37 +140,78 @@ def combinations(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2
 
 def combination_counts(events: DataFrame, target: float = 0.06, pool: tuple[float, float] = (0.25, 0.75), band: float = 0.01) -> DataFrame:
     """How many pairs and triples of pool members lie inside and outside the band, and their events: members, outside,
-    combinations, events. Counted on the histogram of member sizes, so no combination is listed, however many there are."""
+    combinations, events. No combination is listed, however many there are.
+
+    Counted on the histogram of sizes: pairs by their sum, and for each sum the thirds that bring it into the band, by binary search in running
+    totals. Every triple is met three times that way; thirds that are one of the pair are taken off. What lies outside is the rest of all."""
     members = participant_pool(events, pool)
     hist = members.groupBy("n").agg(F.count(F.lit(1)).alias("m"), F.max("events").alias("all"))
-    sizes = hist.agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("_sizes"))
 
-    def also(df: DataFrame, name: str, least: str) -> DataFrame:
-        bigger = F.filter("_sizes", lambda s: s["n"] >= F.col(least))
-        return df.withColumn("_s", F.explode(bigger)).withColumn(name, F.col("_s.n")).withColumn(f"m_{name}", F.col("_s.m")).drop("_s")
-
-    one = with_scalar(hist, sizes).select("_sizes", "all", F.col("n").alias("a"), F.col("m").alias("m_a"))
-    two = also(one, "b", "a")
-    three = also(two, "c", "b")
-    a, b, c = (F.col(f"m_{x}") for x in "abc")
-    same = F.col("a") == F.col("b")
-    pairs = two.select(F.lit(2).cast("long").alias("members"), "all", (F.col("a") + F.col("b")).alias("n"), F.when(same, a * (a - 1) / 2).otherwise(a * b).alias("ways"))
-    ways = (F.when(same & (F.col("b") == F.col("c")), a * (a - 1) * (a - 2) / 6).when(same, a * (a - 1) / 2 * c)
-            .when(F.col("b") == F.col("c"), a * (b * (b - 1) / 2)).otherwise(a * b * c))
-    triples = three.select(F.lit(3).cast("long").alias("members"), "all", (F.col("a") + F.col("b") + F.col("c")).alias("n"), ways.alias("ways"))
-    outside = F.abs(F.col("n") / F.col("all") - F.lit(float(target))) > F.lit(float(band))
-    every = pairs.unionByName(triples).where("ways > 0")
-    return every.groupBy("members", outside.alias("outside")).agg(
-        F.sum(F.col("ways").cast("long")).alias("combinations"), F.sum((F.col("ways") * F.col("n")).cast("long")).alias("events"))
+    def inside(n):
+        return F.abs(n / F.col("all") - F.lit(float(target))) <= F.lit(float(band))
+
+    edges = [F.floor((F.lit(float(target)) + sign * F.lit(float(band))) * F.col("all")).cast("long") for sign in (-1, 1)]
+    tried = [F.filter(F.sequence(e - 2, e + 2), inside) for e in edges]  # the comparison itself decides at the edges
+    whole = (hist.agg(F.sum("m").alias("people"), F.sum(F.col("m") * F.col("n")).alias("rows"), F.max("all").alias("all"))
+             .withColumn("low", F.array_min(tried[0])).withColumn("high", F.array_max(tried[1]))
+             .withColumn("high", F.coalesce("high", F.col("low"))).withColumn("low", F.coalesce("low", "high")))
+    sized = with_scalar(hist.select("n", "m"), whole.select("all", "low", "high"))
+    sizes = hist.agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("_sizes"))
+    pairs = (with_scalar(sized, sizes).withColumn("_s", F.explode(F.filter("_sizes", lambda s: s["n"] >= F.col("n"))))
+             .select("all", F.col("n").alias("a"), F.col("m").alias("m_a"), F.col("_s.n").alias("b"), F.col("_s.m").alias("m_b")))
+    a, b = F.col("a"), F.col("b")
+    ways = F.when(a == b, F.expr("m_a * (m_a - 1) div 2")).otherwise(F.col("m_a") * F.col("m_b"))
+    pairs = pairs.withColumn("ways", ways).where("ways > 0")
+    within = pairs.where(inside(a + b)).agg(F.coalesce(F.sum("ways"), F.lit(0)).alias("c"), F.coalesce(F.sum(ways * (a + b)), F.lit(0)).alias("e"))
+    again = pairs.select("ways", "all", F.explode(F.array(2 * a + b, a + 2 * b)).alias("s")).where(inside(F.col("s"))).agg(
+        F.coalesce(F.sum("ways"), F.lit(0)).alias("again"), F.coalesce(F.sum(F.col("ways") * F.col("s")), F.lit(0)).alias("again_e"))
+    sums = pairs.groupBy((a + b).alias("s")).agg(F.sum("ways").alias("ways"))
+    buckets = 8
+    met = (sums.withColumn("bucket", F.pmod(F.xxhash64("s"), F.lit(buckets)).cast("int")).groupBy("bucket")
+           .cogroup(sized.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).groupBy("bucket"))
+           .applyInArrow(thirds_in_band, "c long, e long").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("e"), F.lit(0)).alias("e")))
+    third = with_scalar(met, again).selectExpr("(c - again) div 3 AS c", "(e - again_e) div 3 AS e")
+    every = (with_scalar(within, whole).selectExpr("2L AS members", "c", "e", "people * (people - 1) div 2 AS all_c", "(people - 1) * rows AS all_e")
+             .unionByName(with_scalar(third, whole).selectExpr("3L AS members", "c", "e", "(people * (people - 1) div 2) * (people - 2) div 3 AS all_c",
+                                                              "((people - 1) * (people - 2) div 2) * rows AS all_e")))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("outside"), F.col("c").alias("combinations"), F.col("e").alias("events")),
+                              F.struct(F.lit(True).alias("outside"), (F.col("all_c") - F.col("c")).alias("combinations"),
+                                       (F.col("all_e") - F.col("e")).alias("events"))))
+    return every.select("members", sides.alias("_s")).select("members", "_s.*").where("combinations > 0")
+
+
+def best_combination(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2, 3),
+                     pool: tuple[float, float] = (0.25, 0.75), band: float = 0.01) -> DataFrame:
+    """The first of ``combinations`` by outside, coverage (most), distance and names, without listing them: names, n, distance, outside, coverage; no
+    row when there is none. Combinations have up to three members.
+
+    Of members that have one size and the same classes the first ``max(ks)`` names are kept: any other can be replaced by one of them. Each unit
+    gets all members that are left (size, name, classes) and some of the first positions of a combination."""
+    if not ks or min(ks) < 1 or max(ks) > 3:
+        raise ValueError("combinations have one to three members")
+    members = _candidates(events, target, ks, pool, band)
+    labels = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("verb").cast("int").alias("class_id")),
+                               F.struct(F.lit(1).alias("field"), F.col("noun").cast("int").alias("class_id"))))
+    found = (events.select("participant_id", labels.alias("label")).where("label.class_id IS NOT NULL")
+             .select("participant_id", (F.col("label.class_id").cast("long") * 2 + F.col("label.field")).alias("class"))
+             .groupBy("participant_id").agg(F.array_sort(F.collect_set("class")).alias("classes")))
+    known = members.join(found, "participant_id", "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<bigint>")))
+    alike = Window.partitionBy("n", "classes").orderBy("participant_id")
+    needed = (known.where("participant_id IS NOT NULL").withColumn("place", F.row_number().over(alike)).where(F.col("place") <= max(ks))
+              .select("participant_id", "n", "events", "classes"))
+    buckets = F.greatest(F.lit(8), F.ceil(F.col("members") / 128)).cast("int")
+    sized = with_scalar(needed, needed.agg(F.count(F.lit(1)).alias("members"))).withColumn("buckets", buckets)
+    units = sized.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("members")
+    best = units.groupBy("bucket").applyInArrow(best_of(tuple(ks), float(target), float(band)),
+                                                "names array<string>, n long, distance double, outside boolean, coverage int")
+    return best.orderBy("outside", F.col("coverage").desc(), "distance", "names").limit(1)
 
 
 def choose_unseen(events: DataFrame, target: float = 0.06, ks: Sequence[int] = (2, 3),
                   pool: tuple[float, float] = (0.25, 0.75), band: float = 0.01) -> DataFrame:
     """Whole participants to hold out: the combination inside the band that covers most classes, else
     the one closest to the target; then the closer share, then the names decide."""
-    best = (combinations(events, target, ks, pool, band)
-            .orderBy("outside", F.col("coverage").desc(), "distance", "names").limit(1))
-    return best.select(F.explode("names").alias("participant_id"))
+    return best_combination(events, target, ks, pool, band).select(F.explode("names").alias("participant_id"))
 
 
 def latest_videos(events: DataFrame, fraction: float = 0.08, max_fraction: float = 0.15,

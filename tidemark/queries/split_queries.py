@@ -160,8 +160,7 @@ covered AS (SELECT r.names, r.n, r.distance, len(list_distinct(flatten(list(c.ve
 scored AS (SELECT names, n, distance, false AS outside, coverage FROM covered UNION ALL SELECT names, n, distance, true, 0 FROM rated WHERE distance > 0.005)""") + f"""
 SELECT array_to_string(names, ',') AS names, n, {sql6('distance')} AS distance, outside, coverage FROM scored ORDER BY outside, coverage DESC, distance, names LIMIT 1""")
 def k3(spark, sf):
-    c = SP.combinations(V.action_events(spark, sf), 0.02, band=0.005)
-    best = c.orderBy("outside", F.col("coverage").desc(), "distance", "names").limit(1)
+    best = SP.best_combination(V.action_events(spark, sf), 0.02, band=0.005)
     return best.select(F.array_join("names", ",").alias("names"), "n", r6("distance").alias("distance"), "outside",
                        F.col("coverage").cast("long").alias("coverage"))
 
