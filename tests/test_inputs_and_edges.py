@@ -45,6 +45,34 @@ def test_quoted_fields(spark, folder):
     assert (row["video_id"], row["start"], row["verb"], row["noun"]) == ("P1_1", 20.0, 1, 2)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_feeds_across_blocks(spark, folder, end):
+    import random
+    from tidemark.sources.records import csv_records, read_csv
+    draw = random.Random(end)
+    notes = ['plain', '', '"two\nlines"', '"say ""hi"", then\n\n""go"""', '""', '"' + "long\n" * 60 + '"', '"\n"', '"a,b"']
+    for name in ("a", "b"):
+        with open(f"{folder}/{name}.csv", "w", newline="") as out:
+            out.write(f"id,note,more{end}" + end.join(f"{name}{i},{draw.choice(notes)},x{i}" for i in range(300)) + (end if name == "a" else "") + end)
+    want = spark.read.csv(folder, header=True, quote='"', escape='"', multiLine=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = read_csv(spark, folder)
+        assert spark.read.text(folder).rdd.getNumPartitions() > 20
+        assert got.columns == ["id", "note", "more"] and got.count() == 600
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        with open(f"{folder}/a.csv", "a") as out:
+            out.write('z,"never ends,1\n')
+        with pytest.raises(Exception, match="never ends"):
+            read_csv(spark, f"{folder}/a.csv").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with open(f"{folder}/b.csv", "w") as out:
+        out.write('id,note\n1,5" pipe\n2,6" pipe\n')
+    with pytest.raises(Exception, match="not quoted"):
+        csv_records(spark, f"{folder}/b.csv").collect()
+
+
 def test_every_target_and_pool_is_accepted(spark):
     rows = [(f"e{p}_{i}", f"P{p}", f"P{p}_{i}", 2.0 * i, 2.0 * i + 1, p % 3, i % 2) for p in range(6) for i in range(p + 1)]
     ev = events_frame(spark, rows)

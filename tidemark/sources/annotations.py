@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import parse_seconds
 from ..operators.checks import check_events, check_unique, enforce, failing
 from ..operators.events import check_supplied_cutoff, manifest_rows, validate_manifest, with_cutoff
+from .records import read_csv
 
 # Column names of the stored formats.
 REQUIRED = ("narration_id", "participant_id", "video_id", "start_timestamp", "stop_timestamp")
@@ -24,10 +25,12 @@ MANIFEST = T.StructType([
 
 
 def read_events(spark: SparkSession, path: str, labeled: bool = True, gap: float = 1.0, num_verbs: int = 97,
-                num_nouns: int = 300, validate: bool = True) -> DataFrame:
+                num_nouns: int = 300, validate: bool = True, splittable: bool = True) -> DataFrame:
     """Typed events from an annotation CSV. Columns are found by name, others ignored; identifiers are
-    trimmed. With ``validate``, broken rows raise with their count and first ids."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", quote='"', escape='"', multiLine=True)
+    trimmed. With ``validate``, broken rows raise with their count and first ids. Files are read block by block, fields with line feeds
+    included; ``splittable=False`` reads each file in one task and takes quotes inside unquoted fields as they are."""
+    raw = read_csv(spark, path) if splittable else spark.read.csv(
+        path, header=True, inferSchema=False, encoding="UTF-8", quote='"', escape='"', multiLine=True)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     needed = REQUIRED + (LABELS if labeled else ())
     missing = sorted(set(needed) - set(raw.columns))
