@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import parse_seconds
 from ..operators.checks import check_events, check_unique, enforce, failing
 from ..operators.events import check_supplied_cutoff, manifest_rows, validate_manifest, with_cutoff
+from ..session import checkpointed
 from .records import read_csv
 
 # Column names of the stored formats.
@@ -43,6 +44,7 @@ def read_events(spark: SparkSession, path: str, labeled: bool = True, gap: float
                        *label, parse_seconds(F.when(given != "", given)).alias("_given"), (given != "").alias("_has_given"))
     events = with_cutoff(typed, gap, "_given")
     if validate:
+        events = checkpointed(events)  # the checks and all that follows read the parsed rows, not the files
         unreadable = failing(events, "narration_id", {"bad_supplied_cutoff": F.col("_has_given") & F.col("_given").isNull()})
         enforce(check_events(events, num_verbs, num_nouns, labeled), check_supplied_cutoff(events, "_given", gap), unreadable)
         if events.isEmpty():
