@@ -279,3 +279,11 @@ def test_ridge_equals_the_closed_form(spark):
         BL.fit_ridge(df, {"verb": 2})
     with pytest.raises(ValueError, match="no vectors"):
         BL.fit_ridge(df.limit(0), {"verb": 3})
+
+
+def test_metrics_refuse_sums_that_the_score_check_refuses(spark):
+    near, far = [.5, .5 + 1e-5], [.5, .5 + 1e-4]
+    frame = lambda p: spark.createDataFrame([("a", 0, 1, p, [.5, .5])], "narration_id string, verb int, noun int, verb_output array<double>, noun_output array<double>")
+    M.evaluate(frame(near), "STA", {}, "probabilities", 2).collect()
+    with pytest.raises(Exception, match="verb: a label or score"):
+        M.evaluate(frame(far), "STA", {}, "probabilities", 2).collect()

@@ -174,6 +174,10 @@ def check_before_cutoff(rows: DataFrame, time: str = "used_time", eps: float = E
                    {"after_cutoff": F.concat_ws(" ", F.lit("time"), t, F.lit("cutoff"), c)})
 
 
+# Fixed value: how far the sum of probabilities may be from one.
+SUM_TOLERANCE = 2e-5
+
+
 def check_scores(df: DataFrame, scores: str, classes: int, kind: str = "logits") -> DataFrame:
     """Score vectors must be finite and of one width; probabilities non-negative with sum one."""
     if kind not in ("logits", "probabilities"):
@@ -183,7 +187,7 @@ def check_scores(df: DataFrame, scores: str, classes: int, kind: str = "logits")
     if kind == "probabilities":
         total = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
         rules["negative_probability"] = F.exists(v, lambda x: x < 0)
-        rules["sum_not_one"] = ~(F.abs(total - 1) <= 2e-5)
+        rules["sum_not_one"] = ~(F.abs(total - 1) <= SUM_TOLERANCE)
     return failing(df, "narration_id", rules)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import joint_id
 from .batches import grid_hits, ranker
+from .checks import SUM_TOLERANCE
 
 FIELDS = ("verb", "noun", "action")
 
@@ -43,7 +44,7 @@ def _checked(scored: DataFrame, kind: str) -> DataFrame:
         bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         if kind == "probabilities":
             total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-            bad = bad | F.exists(v, lambda x: x < 0) | (F.abs(total - 1) > 1e-3)
+            bad = bad | F.exists(v, lambda x: x < 0) | (F.abs(total - 1) > SUM_TOLERANCE)
         return F.coalesce(bad, F.lit(True))
 
     def label_bad(c):
