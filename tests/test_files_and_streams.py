@@ -68,6 +68,13 @@ def test_prepare_and_read_back(spark, folder):
     assert m.count() == 2 * split.count() and m.where("split = 'test'").count() == 2
     sizes = {r["subset"]: r["events"] for r in SRC.read_summary(spark, f"{folder}/out/summary", "splits", "subset string, events bigint").collect()}
     assert sizes["train"] + sizes["val"] == 192 and sizes["test"] == 1
+    told = {r["name"]: json.loads(r["value"]) for r in SRC.read_summary(spark, f"{folder}/out/summary", "parameters", "name string, value string").collect()}
+    assert told["seed"] == 42 and told["hidden_test_provided"] is True and told["split_unit"] == "video_id"
+    members = SRC.read_summary(spark, f"{folder}/out/summary", "members", "kind string, id string, subset string, events bigint, fraction double")
+    assert {r["id"] for r in members.where("kind = 'video' AND subset = 'val'").collect()} == {r[0] for r in split.where("subset = 'val'").select("video_id").distinct().collect()}
+    assert members.where("kind = 'action' AND subset = 'test'").isEmpty()  # no labels
+    assert abs(members.where("kind = 'participant' AND subset = 'train'").agg({"fraction": "sum"}).first()[0] - 1) < 1e-9
+    assert SRC.read_summary(spark, f"{folder}/out/summary", "missing_videos", "video_id string").isEmpty()
     with pytest.raises(Exception, match="already exists"):
         plans.prepare_grouped(spark, train, f"{folder}/out", None, test)
     touch(f"{folder}/videos/P01_01.mp4")
@@ -263,3 +270,21 @@ def test_order_and_duplicates_in_streams(spark, folder):
     d = spark.createDataFrame([("a", 100.0), ("a", 101.0), ("b", 100.0)], "id string, s double").withColumn("ts", F.timestamp_seconds("s"))
     _, once = drain(ST.dedupe_stream(stream(spark, d, f"{folder}/d", ["s < 101", "s >= 101"]), ["id"]), f"{folder}/p")
     assert sorted(r["id"] for r in once.collect()) == ["a", "b"]
+
+
+def test_gate_weights_of_run_outputs(spark, folder):
+    three = "narration_id string, run string, use_prior boolean, future_available boolean, verb_gates array<double>, noun_gates array<double>"
+    rows = [("a", "007", False, True, [.5, .3, .2], [.2, .2, .6]), ("b", "007", False, False, [.1, .8, .1], [.4, .2, .4]),
+            ("c", "007", True, True, [1., 0., 0.], [1., 0., 0.]), ("d", "007", None, None, [.3, .3, .4], None), ("a", "all_prior", True, True, [.5, .3, .2], [.2, .2, .6])]
+    SRC.write_outputs(spark.createDataFrame(rows, three), f"{folder}/outputs")
+    two = spark.createDataFrame([("a", "x_seed1", .25, .75), ("b", "x_seed1", .5, .5)], "narration_id string, run string, gate_verb double, gate_noun double")
+    SRC.write_outputs(two, f"{folder}/outputs")
+    SRC.write_outputs(two.limit(0), f"{folder}/outputs")
+    weights = R.gate_weights(SRC.read_outputs(spark, f"{folder}/outputs"))
+    got = {(r["run"], r["field"], r["mask"]): (r["events"], r["history"], r["present"], r["future"]) for r in weights.collect()}
+    assert got == {("007", "verb", "model"): (3, .3, .467, .233), ("007", "verb", "with_future"): (1, .5, .3, .2), ("007", "noun", "model"): (2, .3, .2, .5),
+                   ("007", "noun", "with_future"): (1, .2, .2, .6), ("x_seed1", "verb", "model"): (2, .375, None, None), ("x_seed1", "noun", "model"): (2, .625, None, None)}
+    runs = spark.createDataFrame([("007", "x", 1, 2.0), ("x_seed1", "x", 2, 4.0), ("lost", "y", 1, 1.0)], "run string, configuration string, seed int, score double")
+    table = {r["configuration"]: r for r in R.ablation(runs, "y", gates=R.gate_summary(weights, runs)).collect()}
+    assert (table["x"]["verb_history_gate"], table["x"]["verb_present_gate"], table["x"]["noun_future_gate_with_future"]) == (round((.3 + .375) / 2 + 1e-9, 3), .467, .6)
+    assert table["y"]["verb_history_gate"] is None and table["x"]["delta_mean"] == 1.0

@@ -99,7 +99,7 @@ def ablation(runs: DataFrame, reference: str, metrics: Sequence[str] = ("score",
              gates: DataFrame | None = None) -> DataFrame:
     """Per configuration: seeds, mean and sd (0 for one seed) of each metric, the same-seed delta of the
     first metric against ``reference`` (NULL for itself), and mean gate weights when given as
-    (configuration, seed, history, present, future)."""
+    (configuration, seed, history, present, future) or as rows of ``gate_summary``, which give a column per field, branch and mask."""
     main = metrics[0]
     ref = _reference(runs, reference, "seed", main, name)
     d = runs.join(ref, "seed", "left").withColumn("_delta", F.when(F.col(name) != reference, F.col(main) - F.col("_ref")))
@@ -109,12 +109,63 @@ def ablation(runs: DataFrame, reference: str, metrics: Sequence[str] = ("score",
         aggs += [F.avg(m).alias(f"{label}_mean"), F.when(F.count(m) > 0, F.coalesce(F.stddev_samp(m), F.lit(0.0))).alias(f"{label}_sd"),
                  F.count(m).alias(f"{label}_n")]
     out = d.groupBy(name).agg(*aggs)
-    if gates is not None:
+    if gates is not None and "mask" in gates.columns:
+        out = out.join(gate_columns(gates, name), name, "left")
+    elif gates is not None:
         weights = gates.groupBy(name).agg(*[F.avg(b).alias(f"{b}_gate") for b in ("history", "present", "future")])
         out = out.join(weights, name, "left")
     return out
 
 
+# Branches of a three-way gate in their stored order, and the label fields that have one.
+BRANCHES, FIELDS = ("history", "present", "future"), ("verb", "noun")
+
+
+def _thousandths(c: Column) -> Column:
+    return F.rint(c * 1000) / 1000
+
+
+def gate_weights(outputs: DataFrame, rounded: bool = True) -> DataFrame:
+    """Mean gate weight per branch from run outputs (``sources.read_outputs``): ``(run, field, mask, events, history, present, future)``.
+
+    Mask ``model`` holds the events that use the model instead of the prior, ``with_future`` those of them that have future features; a
+    missing mark means no. Runs with two-way gates have a history weight only. A run or mask without gates gives no row. Weights have three decimals,
+    as reports show them, unless ``rounded`` is off. One aggregation with partial sums: what is shuffled are a few numbers per run and task."""
+    used = outputs.where(~F.coalesce(F.col("use_prior"), F.lit(False)))
+    ahead = F.coalesce(F.col("future_available"), F.lit(False))
+    aggs, rows = [], []
+    for field in FIELDS:
+        gates = F.col(f"{field}_gates")
+        weights = {b: F.try_element_at(gates, F.lit(i)) for i, b in enumerate(BRANCHES, 1)}
+        weights["history"] = F.coalesce(weights["history"], F.col(f"gate_{field}"))
+        for mask, inside in (("model", F.lit(True)), ("with_future", ahead & gates.isNotNull())):
+            names = {b: f"{field}_{mask}_{b}" for b in BRANCHES}
+            aggs += [F.avg(F.when(inside, w)).alias(names[b]) for b, w in weights.items()]
+            aggs.append(F.count(F.when(inside, weights["history"])).alias(f"{field}_{mask}_n"))
+            shown = _thousandths if rounded else (lambda c: c)
+            rows.append(F.struct(F.lit(field).alias("field"), F.lit(mask).alias("mask"), F.col(f"{field}_{mask}_n").alias("events"),
+                                 *(shown(F.col(names[b])).alias(b) for b in BRANCHES)))
+    return used.groupBy("run").agg(*aggs).select("run", F.inline(F.array(*rows))).where("events > 0")
+
+
+def gate_summary(weights: DataFrame, runs: DataFrame, name: str = "configuration", rounded: bool = True) -> DataFrame:
+    """Per configuration, field and mask: number of runs and the mean of their gate weights, each run counting once. ``runs`` has ``run`` and ``name``;
+    runs without gates and gates without a run take no part."""
+    joined = weights.join(runs.select("run", name), "run")
+    shown = _thousandths if rounded else (lambda c: c)
+    return joined.groupBy(name, "field", "mask").agg(F.count(F.lit(1)).alias("runs"), *(shown(F.avg(b)).alias(b) for b in BRANCHES))
+
+
+def gate_columns(summary: DataFrame, name: str = "configuration") -> DataFrame:
+    """The rows of ``gate_summary`` side by side: ``verb_history_gate`` ... ``noun_future_gate_with_future`` per configuration."""
+    aggs = []
+    for field in FIELDS:
+        for mask, end in (("model", ""), ("with_future", "_with_future")):
+            here = (F.col("field") == field) & (F.col("mask") == mask)
+            aggs += [F.max(F.when(here, F.col(b))).alias(f"{field}_{b}_gate{end}") for b in BRANCHES]
+    return summary.groupBy(name).agg(*aggs)
+
+
 def horizon(table: DataFrame, present: str | None = None, metric: str = "action_mt5r", default: str = "probe (frozen)") -> DataFrame:
     """Mean and population sd of a metric by (mode, steps) of the runs with anchor, ``aga`` fusion and memory
     from scratch (where the table has these columns), for one present setting: the given one, else ``default`` if any run uses it, else the most frequent (ties to the first by name)."""

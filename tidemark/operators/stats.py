@@ -113,6 +113,24 @@ def split_summary(events: DataFrame, by: str = "subset") -> DataFrame:
                                   F.count_if(F.col("sta_cutoff") < 0).alias("no_history"))
 
 
+def split_members(split: DataFrame) -> DataFrame:
+    """``(kind, id, subset, events, fraction)``: events per participant, video and action of every subset, and the share of the subset's events.
+
+    Rows of kind ``subset`` hold the subset itself, with its share of all rows. The held-out videos and participants are the rows of their kind
+    outside ``train``. Rows without a label are of no action. Groups are counted before they are divided, in one pass over the split."""
+    action = F.when(F.col("verb").isNotNull(), F.concat_ws(":", "verb", "noun"))
+    member = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("id")) for k, c in (
+        ("subset", F.col("subset")), ("participant", F.col("participant_id")), ("video", F.col("video_id")), ("action", action)))))
+    once = split.groupBy("subset", "participant_id", "video_id", "verb", "noun").agg(F.count(F.lit(1)).alias("n"))
+    counted = (once.select("subset", "n", member.alias("m")).where("m.kind = 'subset' OR m.id IS NOT NULL")
+               .groupBy("m", "subset").agg(F.sum("n").alias("events")).select("m.kind", "m.id", "subset", "events"))
+    sizes = split.groupBy("subset").agg(F.count(F.lit(1)).alias("_of"))
+    all_rows = split.agg(F.count(F.lit(1)).alias("_all"))
+    named = counted.join(sizes.withColumnRenamed("subset", "_subset"), F.col("subset").eqNullSafe(F.col("_subset"))).drop("_subset")
+    share = F.col("events") / F.when(F.col("kind") == "subset", F.col("_all")).otherwise(F.col("_of"))
+    return with_scalar(named, all_rows).select("kind", "id", "subset", "events", share.alias("fraction"))
+
+
 def coverage(split: DataFrame, head_share: float = 0.8) -> DataFrame:
     """Per field: share of training classes that validation contains, the same weighted by training
     instances, classes seen in validation only, and validation events of tail classes."""

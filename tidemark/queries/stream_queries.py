@@ -250,6 +250,49 @@ def r2(spark, sf):
     return R.init_rows(run_records(spark, sf)).select("run", "anchor", r6("action_mt5r").alias("action_mt5r"))
 
 
+# Gates per validation event: runs of two configurations have three-way gates, those of the third two-way ones.
+GATES = """g AS (SELECT concat('decoupled_', l_returnflag, '_seed', l_linenumber) AS run, l_returnflag AS configuration, l_suppkey % 7 = 0 AS use_prior,
+  l_partkey % 3 = 0 AS ahead, CAST(l_discount AS DOUBLE) + 0.013 AS h, CAST(l_tax AS DOUBLE) + 0.017 AS p, CAST(l_quantity AS DOUBLE) / 100 + 0.011 AS f FROM lineitem),
+w AS (SELECT run, configuration, field, mask, CASE WHEN configuration = 'R' THEN (CASE field WHEN 'verb' THEN h ELSE p END)
+    ELSE (CASE field WHEN 'verb' THEN h ELSE f END) / (h + p + f) END AS history,
+  CASE WHEN configuration <> 'R' THEN p / (h + p + f) END AS present, CASE WHEN configuration <> 'R' THEN (CASE field WHEN 'verb' THEN f ELSE h END) / (h + p + f) END AS future
+  FROM g, (VALUES ('verb'), ('noun')) a(field), (VALUES ('model'), ('with_future')) b(mask)
+  WHERE NOT use_prior AND (mask = 'model' OR (ahead AND configuration <> 'R'))),
+per_run AS (SELECT run, configuration, field, mask, count(*) AS events, avg(history) AS history, avg(present) AS present, avg(future) AS future FROM w GROUP BY ALL)"""
+
+
+def run_outputs(spark, sf):
+    """Outputs of all runs, written by run and read back."""
+    folder = fresh_folder(spark, "outputs")
+    h, p, f = (F.col("l_discount").cast("double") + 0.013, F.col("l_tax").cast("double") + 0.017, F.col("l_quantity").cast("double") / 100 + 0.011)
+    three, whole = F.col("l_returnflag") != "R", h + p + f
+    SRC.write_outputs(V.table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("narration_id"), (F.col("l_suppkey") % 7 == 0).alias("use_prior"),
+        (F.col("l_partkey") % 3 == 0).alias("future_available"), F.when(three, F.array(h / whole, p / whole, f / whole)).alias("verb_gates"),
+        F.when(three, F.array(f / whole, p / whole, h / whole)).alias("noun_gates"), F.when(~three, h).alias("gate_verb"), F.when(~three, p).alias("gate_noun"),
+        F.concat(F.lit("decoupled_"), "l_returnflag", F.lit("_seed"), "l_linenumber").alias("run")), folder)
+    return SRC.read_outputs(spark, folder)
+
+
+@query("r4_run_gates", V.cte(GATES) + f"""SELECT run, field, mask, events, {sql6('history')} AS history, {sql6('coalesce(present, -1)')} AS present, {sql6('coalesce(future, -1)')} AS future FROM per_run""")
+def r4_run_gates(spark, sf):
+    w = R.gate_weights(run_outputs(spark, sf), rounded=False)
+    return w.select("run", "field", "mask", "events", r6("history").alias("history"), *(r6(F.coalesce(b, F.lit(-1.0))).alias(b) for b in ("present", "future")))
+
+
+@query("r4_ablation_gates", V.cte(V.RUNS, GATES, "means AS (SELECT configuration, field, mask, avg(history) AS history, avg(present) AS present, avg(future) AS future FROM per_run GROUP BY ALL)") + f"""
+SELECT r.configuration, {sql6('avg(score)')} AS score_mean, """ + ", ".join(
+    f"(SELECT {sql6(f'coalesce(max({b}), -1)')} FROM means m WHERE m.configuration = r.configuration AND field = '{field}' AND mask = '{mask}') AS {field}_{b}_gate{end}"
+    for field in R.FIELDS for mask, end in (("model", ""), ("with_future", "_with_future")) for b in R.BRANCHES) + " FROM runs r GROUP BY r.configuration")
+def r4_ablation_gates(spark, sf):
+    outputs = run_outputs(spark, sf)
+    runs = V.runs(spark, sf).withColumn("run", F.concat(F.lit("decoupled_"), "configuration", F.lit("_seed"), "seed"))
+    gates = R.gate_summary(R.gate_weights(outputs, rounded=False), runs, rounded=False)
+    a = R.ablation(runs, "A", ["score"], gates=gates)
+    shown = [c for c in a.columns if "_gate" in c]
+    return a.select("configuration", r6("score_mean").alias("score_mean"), *(r6(F.coalesce(c, F.lit(-1.0))).alias(c) for c in shown))
+
+
 @query("s10_summary_documents", V.cte(V.EV, V.SPLIT) + """SELECT subset, count(*) AS events, count(DISTINCT video_id) AS videos, count(*) FILTER (WHERE sta_cutoff < 0) AS no_history FROM split GROUP BY subset""")
 def s10(spark, sf):
     folder = fresh_folder(spark, "summary")

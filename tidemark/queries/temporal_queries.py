@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timing import step_times, targets
 from ..operators import checks, temporal as T
 from ..operators.events import affected, matched, restrict, unmatched
 from ..operators.report import delta_vs
@@ -241,3 +242,13 @@ def j17(spark, sf):
              .select("id", F.zip_with("vector", "w", lambda a, b: a + 0.8 * b).alias("vector")))
     r = retrieval_top1(noisy, keys)
     return r.select(r6("top1").alias("top1"), r6("chance").alias("chance"), "n")
+
+
+@query("f6_step_grid", V.cte(V.EV, V.PROBES) + f"""SELECT p.narration_id, k, {sql6('tau')} AS step_time,
+  {sql6('start + (k - 0.5) * (stop - start) / 16')} AS target FROM probes p JOIN ev USING (narration_id)""")
+def f6(spark, sf):
+    """Every event's grid of history times and the middles of as many bins of its action."""
+    ev = V.action_events(spark, sf)
+    grid = F.arrays_zip(step_times("sta_cutoff", V.STEPS, V.STRIDE).alias("step"), targets("start", "stop", V.STEPS).alias("target"))
+    rows = ev.select("narration_id", F.posexplode(grid).alias("k", "g"))
+    return rows.select("narration_id", (F.col("k") + 1).cast("long").alias("k"), r6("g.step").alias("step_time"), r6("g.target").alias("target"))

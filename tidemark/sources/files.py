@@ -12,6 +12,10 @@ METRICS = (f"best_epoch int, best_val_action_mt5r double, best_val {SCORES}, bes
            f"init struct<probe_alone: boolean, val: {SCORES}, breakdown: {SCORES}>, "
            "history array<struct<epoch: int, train_loss: double, seconds: double, val: map<string, map<string, string>>>>")
 
+# What a run stores per validation event for reports.
+OUTPUTS = ("narration_id string, use_prior boolean, future_available boolean, verb_gates array<double>, noun_gates array<double>, "
+           "gate_verb double, gate_noun double, run string")
+
 
 def file_index(spark: SparkSession, root: str, ext: str) -> DataFrame:
     """``(stem, path, length)`` of all files below ``root`` with the suffix, in any case. File contents
@@ -56,5 +60,16 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return parse_metrics(load("metrics.json")).join(parse_config(load("config.json")), "run")
 
 
+def write_outputs(outputs: DataFrame, path: str) -> None:
+    """Outputs per validation event, one folder ``run=<name>`` per run. Columns of ``OUTPUTS`` that a run doesn't have may be absent."""
+    known = [c.split(" ")[0] for c in OUTPUTS.split(", ")]
+    outputs.select(*[c for c in known if c in outputs.columns]).write.mode("append").partitionBy("run").parquet(path)
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Outputs of all runs with the columns of ``OUTPUTS``; absent ones are NULL. Run names stay text, and a filter on ``run`` reads its folder only."""
+    return spark.read.schema(OUTPUTS).parquet(path)
+
+
 def _colons(fields: str) -> str:
     return ", ".join(": ".join(f.strip().split(" ", 1)) for f in fields.split(","))
