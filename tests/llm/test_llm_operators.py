@@ -433,3 +433,27 @@ def test_html(spark):
     other = "<body><div class='menu'><li><a>Home</a></li></div><main><h1>A title</h1><p>One long paragraph of text, with words in it.</p></main><section class=comments><p>I liked it.</p></section></body>"
     assert labeller.texts([other]) == ["A title\nOne long paragraph of text, with words in it."]
     assert html_text.fit(table.limit(0)) is None
+
+
+def test_html_without_landmarks(spark):
+    chinese = "这是一个没有空格的中文段落，它也属于正文，不应当丢失。"
+
+    def page(i: int, padding: int = 0) -> str:
+        long = "".join(f"<p>Paragraph {k} of page {i} tells at some length what had to be told about matter {k * i}.</p>" for k in range(6 + padding))
+        return (f"<html><body><div class='menu'><ul><li><a href='/'>Home page</a></li><li><a href='/n'>News of today</a></li></ul></div>"
+                f"<div class='story'><h1 class='title'>The title of {i}</h1><h2 class='sub' id=s{i}>A heading</h2>{long}<p>{chinese}</p><p>Short.</p></div>"
+                f"<div class='footer'>All rights reserved {i}</div></body></html>")
+
+    def wanted(i: int, padding: int = 0) -> str:
+        long = [f"Paragraph {k} of page {i} tells at some length what had to be told about matter {k * i}." for k in range(6 + padding)]
+        return "\n".join([f"The title of {i}", "A heading", *long, chinese, "Short."])
+
+    found = html_text.blocks(page(1))
+    assert "\n".join(b.text for b, mark in zip(found, html_text.weak_labels(found)) if mark) == wanted(1)
+    for pages, padding in ((60, 0), (20, 900)):  # the second table holds pages of over 64 KB only
+        table = spark.createDataFrame([(i, "u", page(i, padding)) for i in range(pages)], "page_id long, url string, html string")
+        assert padding == 0 or table.selectExpr("min(octet_length(html))").first()[0] > 1 << 16
+        got = {r["page_id"]: r["text"] for r in html_text.extract(table, html_text.fit(table)).collect()}
+        assert got == {i: wanted(i, padding) for i in range(pages)}
+    bare = html_text.blocks("<p>Words right in the page, quite many of them.</p><ul><li><a>Link</a></li></ul>")
+    assert len(html_text.weak_labels(bare)) == len(bare) and not len(html_text.weak_labels([]))

@@ -5,9 +5,10 @@ words of classes). A bidirectional LSTM in numpy reads the page's blocks in orde
 its hashed words and a few measures, and labels every block as article or not. It sees the whole page, whatever its length.
 
 Labels for training come from the pages: what stands in a landmark (`article`, `main`) and not in a navigation, side or
-comment element is article; without landmarks, long paragraphs outside elements that are named like page furniture. Sampled
-pages are also shown with other names for the same elements and with further furniture (sidebars, notices, forms, comments
-of readers), so that neither a name nor a place alone decides. The sample is bounded; all pages are labelled on the executors.
+comment element is article; without landmarks, all blocks of the innermost container that holds over half of the text which is neither linked nor in
+elements named like page furniture, headings and short blocks included. Sampled pages are also shown with other names for the same elements and with further furniture (sidebars, notices, forms, comments
+of readers), so that neither a name nor a place alone decides. The sample is bounded: `SAMPLE_PAGES` pages of any size, of each the first and last
+`SAMPLE_BLOCKS` blocks with at most `SAMPLE_TEXT` code points each; one task trains on it. All pages are labelled whole on the executors.
 
 Scripts, styles, heads, comments, templates and form controls hold no blocks. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by one line feed. Null and empty pages, and pages without an article block,
@@ -15,6 +16,7 @@ give an empty text. Unclosed and stray tags are tolerated. Rows with equal ids a
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,13 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import Words, as_strings, slices
 
-SAMPLE_PAGES, SAMPLE_BYTES = 240, 1 << 16
+SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_TEXT = 240, 200, 2000
 PATH_ROWS, WORD_ROWS = 1 << 12, 1 << 13
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 16, 8, 4, 16
 # HTML elements by what they do to text.
 BREAKING = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul
     caption label""".split())
+CONTAINERS = frozenset("article body center div main section td".split())
 SILENT = frozenset("script style template noscript head title textarea select button option svg math iframe object canvas audio video".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FURNITURE = frozenset("""nav aside footer form header menu menubar navbar navigation sidebar footer ad ads advert advertisement banner promo sponsored
@@ -142,7 +145,17 @@ def weak_labels(page: list[Block]) -> np.ndarray:
     named = [{word for entry in block.path for word in entry.split()} & FURNITURE for block in page]
     if any(h & {"article", "main"} for h in heads):
         return np.array([bool(h & {"article", "main"}) and not n for h, n in zip(heads, named)], np.float32)
-    return np.array([not n and (len(b.text.split()) >= 10 or b.path[-1:] == ("h1",)) for b, n in zip(page, named)], np.float32)
+    # without landmarks: all that stands in the innermost container with over half of the text that is neither linked nor in furniture
+    text = [0 if n else len(b.text) - b.linked for b, n in zip(page, named)]
+    inside: dict[tuple[str, ...], int] = {}
+    for block, size in zip(page, text):
+        for end in range(len(block.path) + 1):
+            if end and block.path[end - 1].split()[0] in CONTAINERS:
+                inside[block.path[:end]] = inside.get(block.path[:end], 0) + size
+    most = [path for path, size in inside.items() if 2 * size > sum(text)]
+    home = max(most, key=len, default=())
+    menu = [b.path[-1:] == ("li",) and b.linked >= len(b.text) for b in page]
+    return np.array([not n and not m and b.path[:len(home)] == home for b, n, m in zip(page, named, menu)], np.float32)
 
 
 # Other ways in which pages name the same things.
@@ -310,12 +323,23 @@ def padded(begins: np.ndarray, sizes: np.ndarray, nothing: int) -> np.ndarray:
     return np.where(at < sizes, begins + at, nothing)
 
 
-def train(pages: list[str], epochs: int = 6, batch: int = 24, seed: int = 11) -> Labeller | None:
-    """Fit on pages as they are and varied."""
+def example(page: str) -> tuple[list[Block], np.ndarray] | None:
+    """What the training sees of a page: blocks and labels, made of the whole page, of its beginning and end."""
+    found = blocks(page)
+    if not found:
+        return None
+    marks = weak_labels(found)
+    if len(found) > 2 * SAMPLE_BLOCKS:
+        found, marks = found[:SAMPLE_BLOCKS] + found[-SAMPLE_BLOCKS:], np.concatenate([marks[:SAMPLE_BLOCKS], marks[-SAMPLE_BLOCKS:]])
+    return [Block(b.path, b.text[:SAMPLE_TEXT], min(b.linked, SAMPLE_TEXT)) for b in found], marks
+
+
+def train(known: list[tuple[list[Block], np.ndarray]], epochs: int = 6, least_steps: int = 60, batch: int = 24, seed: int = 11) -> Labeller | None:
+    """Fit on examples as they are and varied, more often where they are few."""
     labeller, rng, moments, step = Labeller(seed), np.random.default_rng(seed), {}, 0
-    known = [(page, weak_labels(page)) for page in map(blocks, pages) if page]
     if not known:
         return None
+    epochs = max(epochs, -(-least_steps // -(-len(known) // batch)))
     others = [block.text for page, _ in known for block in page[:12]]
     for epoch in range(epochs):
         shown = [pair if rng.random() < 0.3 else varied(*pair, others, rng) for pair in known]
@@ -339,12 +363,27 @@ def train(pages: list[str], epochs: int = 6, batch: int = 24, seed: int = 11) ->
 
 
 def fit(pages: DataFrame) -> Labeller | None:
-    """Train on at most `SAMPLE_PAGES` pages of at most `SAMPLE_BYTES`, the first by a hash of their id."""
-    keyed = pages.select(F.xxhash64("page_id", "url").alias("key"), F.col("html").cast("string").alias("html"))
-    small = keyed.where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES))
-    picked = small.select("key").distinct().orderBy("key").limit(SAMPLE_PAGES)
-    rows = small.join(F.broadcast(picked), "key").dropDuplicates(["key"]).orderBy("key").limit(SAMPLE_PAGES).collect()
-    return train([row["html"] for row in rows])
+    """Train on `SAMPLE_PAGES` pages, the first by a hash of their row of those with text outside tags; None if there are none. Executors make the examples, one task
+    trains on them and returns the labeller."""
+    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?:^|>)\s*[^<\s]"))
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            made = [example(page) for page in as_strings(part.column("html")).to_pylist()]
+            some = [i for i, pair in enumerate(made) if pair]
+            shown = [pickle.dumps(([(b.path, b.text, b.linked) for b in made[i][0]], made[i][1].tobytes())) for i in some]
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(some, pa.int64())), pa.array(shown, pa.binary())], names=["key", "example"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in held), []) for i in range(2)))) if (held := list(batches)) else []
+        read = [pickle.loads(shown) for _, shown in rows]
+        labeller = train([([Block(*b) for b in page], np.frombuffer(marks, np.float32)) for page, marks in read])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(labeller)], pa.binary())], names=["labeller"])
+
+    picked = keyed.select("key").distinct().orderBy("key").limit(SAMPLE_PAGES)
+    rows = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"])
+    found = rows.mapInArrow(examples, "key long, example binary").coalesce(1).mapInArrow(run, "labeller binary").collect()
+    return pickle.loads(found[0]["labeller"]) if found else None
 
 
 def extract(pages: DataFrame, labeller: Labeller | None) -> DataFrame:
