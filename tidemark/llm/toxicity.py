@@ -3,7 +3,7 @@
 A word enters the network as two vectors side by side: one of the word itself (hashed) and one of its characters: the
 element-wise largest of the vectors of its byte 4-grams, edges included, so that unseen forms of a known word are
 recognised. Windows of `SPAN` words, each beginning `STEP` words after the one before it and the last ending with the
-document, are read in both directions; attention weighs the states, and their weighted sum gives a window's logit. A document
+document, so that any `SPAN - STEP` words that follow each other stand whole in one, are read in both directions; attention weighs the states, and their weighted sum gives a window's logit. A document
 scores as its most toxic window. Training (numpy, in one task) takes a bounded sample of labelled documents; every window
 of every document is scored on the executors.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import SLICE_BYTES, Words, as_strings, mix, slices
 
-SPAN, STEP = 64, 48
+SPAN, STEP = 64, 32
 HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 8, 12, 12, 8
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 16
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 800, 1600, 1 << 15
