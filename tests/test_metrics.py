@@ -91,6 +91,29 @@ def test_grid_search_equals_numpy(spark, task):
     assert [k for k, r in got.items() if r["is_best"]] == [tuple(int(x) for x in best)]
 
 
+def test_grid_search_keeps_ties(spark):
+    """Verb 6 is hit as often at tau 0 as verb 5 at tau 1 and the other way round, so both cells have the same mean and the first is best."""
+    arr = lambda a: spark.createDataFrame([([float(x) for x in a],)], "log_prior array<double>")
+    wrong = []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        verbs, nouns, zv = [], [], []
+        for noun in range(11):
+            n = int(rng.integers(3, 40))
+            low, high = np.sort(rng.integers(0, n + 1, 2))
+            for i in range(n):
+                for verb, once in ((6, 1.0), (5, -1.0)):
+                    z = [0.0] * 7
+                    z[verb] = 20.0 if i < low else once if i < high else -20.0
+                    verbs.append(verb), nouns.append(noun), zv.append(z)
+        df = scored_frame(spark, verbs, nouns, zv, 50 * np.eye(11)[nouns])
+        got = {r["i"]: r for r in M.grid_search(df, arr([0, 0, 0, 0, 0, -10, 10]), arr([0] * 11), "STA", [0, 1], [0], num_nouns=11).collect()}
+        assert np.isclose(got[0]["value"], got[1]["value"])
+        if not got[0]["is_best"] or got[0]["value"] != got[1]["value"]:
+            wrong.append(seed)
+    assert not wrong
+
+
 def test_prior_fallback(spark):
     df = scored_frame(spark, [0, 1, 1], [0, 1, 1], [[1., 2.]] * 3, [[3., 4.]] * 3)
     h = spark.createDataFrame([("n0", 1, True), ("n0", 2, False), ("n1", 1, False)], "narration_id string, k int, valid boolean")

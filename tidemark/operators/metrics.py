@@ -164,8 +164,10 @@ def grid_search(scored: DataFrame, log_prior_verb: DataFrame, log_prior_noun: Da
     wide = len(taus_n)
     counts = (patterns.select("y", "n", F.posexplode("cells").alias("cell", "hit"))
               .groupBy("cell", "y").agg(F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("h"), F.sum("n").alias("n")))
-    # AR has a single class, so the mean over classes is the plain accuracy
-    table = counts.groupBy("cell").agg((100 * F.avg(F.col("h") / F.col("n"))).alias("value"))
+    # AR has a single class, so the mean over classes is the plain accuracy. Decimals add up alike in any order; cells that tie stay tied.
+    share = F.col("h").cast("decimal(17,0)") / F.col("n").cast("decimal(17,0)")
+    table = counts.groupBy("cell").agg(F.sum(share).alias("_sum"), F.count(F.lit(1)).alias("_classes"))
+    table = table.withColumn("value", 100 * F.round("_sum", 12).cast("double") / F.col("_classes"))
     i, j = F.floor(F.col("cell") / wide).cast("int"), (F.col("cell") % wide).cast("int")
 
     def pick(taus, at):
