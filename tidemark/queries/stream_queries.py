@@ -35,6 +35,7 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+SHELVES = 512
 FLUSH = 90 * V.DAY  # a last row far ahead lets the watermark pass everything before it
 
 
@@ -78,7 +79,7 @@ def t3(spark, sf):
     clips = flushed(spark, V.bank(spark, sf), video_id="~", t_end_s=FLUSH, row=-1)
     third = lambda t: F.greatest(F.lit(0), F.least(F.lit(2), F.floor(F.col(t) / (2.5 * V.DAY))))
     h = ST.history_stream(arriving(events, f"{folder}/events", 3, third("sta_cutoff")), arriving(clips, f"{folder}/clips", 3, third("t_end_s")),
-                          V.STEPS, V.STRIDE, lateness="1 day")
+                          V.STEPS, V.STRIDE, lateness="1 day", shelves=SHELVES)
     out = drained(h, folder)
     return out.select("narration_id", F.col("k").cast("long").alias("k"), "valid", r6("used_time").alias("used_time"), "row")
 
