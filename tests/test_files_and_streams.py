@@ -300,3 +300,27 @@ def test_file_index_counts_a_table_in_parts_once(spark, folder):
     sizes = sum(os.path.getsize(f) for f in glob.glob(f"{folder}/in.parquet/many.Parquet/part-*"))
     assert index.where("stem = 'many'").first()["length"] == sizes
     assert [r["id"] for r in C.check_unique(index, "stem").collect()] == ["one"]
+
+
+def test_streams_share_state_on_shelves(spark, folder):
+    """Sixty videos on two shelves: the answers of the batch, and entries and rows of state for the shelves only."""
+    bank = spark.createDataFrame([(f"v{i % 60}", (i // 60) * 1.0, i) for i in range(600)] + [("~", 900.0, -1)], "video_id string, t_end_s double, row long")
+    ev = spark.createDataFrame([(f"e{i}", f"v{i % 60}", (i // 60) * 2.3 - 2) for i in range(300)], "narration_id string, video_id string, sta_cutoff double")
+    flush = spark.createDataFrame([("~", "~", 900.0)], ev.schema)
+    sb = stream(spark, bank, f"{folder}/bank", ["t_end_s < 5", "t_end_s >= 5 AND t_end_s < 400", "t_end_s > 400"])
+    se = stream(spark, ev.union(flush), f"{folder}/ev", ["sta_cutoff < 3", "sta_cutoff >= 3 AND sta_cutoff < 400", "sta_cutoff > 400"])
+    q, out = drain(ST.history_stream(se, sb, 4, 1.0, lateness="20 seconds", shelves=2), folder)
+    batch = T.history(ev, bank, 4, 1.0).select("narration_id", "k", "valid", "used_time", F.coalesce("row", F.lit(-1)).alias("row"))
+    assert sorted(map(str, out.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+    written = [s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert 0 < sum(written) < 200  # an entry for each video and slice would be over 600
+    f = spark.createDataFrame([(f"v{i % 7}", i, float(i * 37 % 23)) for i in range(200)] + [(None, 300, 2.0), (None, 301, 1.0), ("v0", 302, float("nan"))],
+                              "video_id string, position long, pts double")
+    q, one = drain(ST.order_violations_stream(stream(spark, f, f"{folder}/in", ["position < 90", "position >= 90"]), shelves=2), f"{folder}/o")
+    high, want = {}, []
+    for v, position, t in f.sort("position").toPandas().itertuples(index=False):
+        if t < high.get(v, -1.0):
+            want.append((v, position, t, high[v]))
+        high[v] = max(high.get(v, -1.0), t) if t == t else high[v]
+    assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, want))
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2

@@ -107,7 +107,7 @@ def t5(spark, sf):
 def t6(spark, sf):
     folder = fresh_folder(spark, "order")
     frames = V.action_events(spark, sf).select("video_id", F.col("event_id").alias("position"), F.col("value").alias("pts"))
-    return drained(ST.order_violations_stream(as_stream(frames, f"{folder}/in")), folder).select("video_id", "position")
+    return drained(ST.order_violations_stream(as_stream(frames, f"{folder}/in"), SHELVES), folder).select("video_id", "position")
 
 
 # Events arrive by id in eight micro-batches; late is what lies over a day before the latest start of the batches before.

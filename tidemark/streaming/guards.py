@@ -4,12 +4,14 @@ from __future__ import annotations
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
-from .stateful import stateful
+from .stateful import on_shelves, packed, stateful, unpacked
 
 
 def guard_stream(features: DataFrame, cutoffs: DataFrame, good_path: str, quarantine_path: str, checkpoint: str,
@@ -42,29 +44,34 @@ def dedupe_stream(rows: DataFrame, keys: list[str], event_time: str = "ts", late
 
 
 class _Order(StatefulProcessor):
-    """Remembers the last time of a video in arrival order."""
+    """Remembers the last time of each video in arrival order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double")
+        self.last = handle.getValueState("last", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("position", kind="stable")
-        before = self.last.get()[0] if self.last.exists() else float("-inf")
-        times = batch["pts"].to_numpy()
-        previous = pd.Series(times).cummax().shift(1, fill_value=before).clip(lower=before).to_numpy()
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("position", kind="stable", ignore_index=True)
+        known = unpacked(self.last.get()[0]).to_pandas().set_index("video_id")["t"] if self.last.exists() else pd.Series(dtype="float64")
+        times = batch["pts"].to_numpy(float)
+        code, videos = pd.factorize(batch["video_id"], use_na_sentinel=False)
+        before = known.reindex(videos).fillna(float("-inf")).to_numpy()
+        # a time that is not a number is never the latest
+        high = pd.Series(np.fmax(times, before[code])).groupby(code).cummax()
+        previous = np.fmax(high.groupby(code).shift(1).to_numpy(float), before[code])
         bad = times < previous
-        self.last.update((float(max(times.max(), before)),))
-        yield pd.DataFrame({"video_id": key[0], "position": batch["position"].to_numpy()[bad], "pts": times[bad],
-                            "previous": previous[bad]})
+        latest = pd.concat([known.drop(videos, errors="ignore"), pd.Series(high.groupby(code).max().to_numpy(), index=videos)])
+        self.last.update((packed(pa.table({"video_id": pa.array(latest.index, pa.string(), from_pandas=True), "t": pa.array(latest.to_numpy(float))})),))
+        yield pd.DataFrame({"video_id": batch["video_id"][bad], "position": batch["position"][bad], "pts": times[bad], "previous": previous[bad]})
 
     def close(self) -> None:
         pass
 
 
-def order_violations_stream(frames: DataFrame) -> DataFrame:
-    """Frames (``video_id, position, pts``) whose time lies before an earlier frame of the video."""
-    return stateful(frames.select("video_id", "position", "pts"), ["video_id"], _Order(),
-                    "video_id string, position long, pts double, previous double", "None")
+def order_violations_stream(frames: DataFrame, shelves: int | None = None) -> DataFrame:
+    """Frames (``video_id, position, pts``) whose time lies before an earlier frame of the video. Streams of many videos should share
+    ``shelves`` (see ``on_shelves``)."""
+    rows, keys = on_shelves(frames.select("video_id", "position", "pts"), "video_id", shelves)
+    return stateful(rows, keys, _Order(), "video_id string, position long, pts double, previous double", "None")
 
 
 def late_rows_stream(rows: DataFrame, time: str, lateness: float, good_path: str, late_path: str, checkpoint: str,
