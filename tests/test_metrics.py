@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -333,3 +335,34 @@ def test_metrics_refuse_sums_that_the_score_check_refuses(spark):
     M.evaluate(frame(near), "STA", {}, "probabilities", 2).collect()
     with pytest.raises(Exception, match="verb: a label or score"):
         M.evaluate(frame(far), "STA", {}, "probabilities", 2).collect()
+
+
+def exchanged(df):
+    """The columns of every shuffle of a plan."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [(m[1], m[2]) for m in re.finditer(r"\) Exchange\n(?:Input \[\d+\]: \[([^\n]*)\]\n)Arguments: hashpartitioning\(([a-z_]+)", text)]
+
+
+def test_ridge_rows_are_not_dealt_with_their_vectors(spark):
+    import __spark_entry__ as entry_module
+    from conftest import SMALL
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = exchanged(entry_module.queries()["u2_ridge_baseline"](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any(key == "narration_id" for _, key in sent)
+    assert not [columns for columns, key in sent if key == "narration_id" and ("embedding" in columns or "vector" in columns)]
+
+
+def test_running_average_shuffles_vectors_as_stored(spark):
+    from tidemark.operators import sampling as SA
+    steps = spark.sql("SELECT 'a' AS narration_id, k, k <> 2 AS valid, CAST(array(k / 3, 1.1) AS array<float>) AS p FROM (SELECT explode(sequence(1, 4)) AS k)")
+    out = SA.ema(steps, "p", "valid")
+    gathered = [line for line in out._jdf.queryExecution().analyzed().toString().splitlines() if "collect_list" in line]
+    assert gathered and not any("cast(p" in line for line in gathered)
+    q = np.zeros(2)
+    for k in (1, 3, 4):
+        q = .8 * np.array([k / 3, 1.1], "float32").astype(float) + (1 - .8) * q
+    assert np.allclose(out.first()["ema"], q, rtol=1e-12)

@@ -95,12 +95,11 @@ def uniform_positions(df: DataFrame, partition: Sequence[str], order: Sequence[s
 def ema(steps: DataFrame, value: str, valid: str, alpha: float = 0.8, by: str = "narration_id", order: str = "k") -> DataFrame:
     """Per event, ``q <- alpha * p + (1 - alpha) * q`` over its valid steps in order, from zero.
 
-    An event has a fixed number of steps, so its array is short."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(valid).alias("ok"),
-                                                 F.col(value).cast("array<double>").alias("p"))))
+    An event has a fixed number of steps, so its array is short. Vectors travel as they are stored and become doubles where they are added up."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(valid).alias("ok"), F.col(value).alias("p"))))
 
     def step(q, s):
-        fresh = F.zip_with(s["p"], q, lambda x, y: F.lit(alpha) * x + F.lit(1 - alpha) * y)
+        fresh = F.zip_with(s["p"].cast("array<double>"), q, lambda x, y: F.lit(alpha) * x + F.lit(1 - alpha) * y)
         return F.when(s["ok"], fresh).otherwise(q)
 
     start = F.transform(F.col("_s")[0]["p"], lambda x: F.lit(0.0))
