@@ -175,6 +175,20 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 70: 50, 100: 50}
 
 
+def test_components_of_stars_take_few_tasks(spark):
+    context, group = spark.sparkContext, "components of stars"
+    edges = spark.createDataFrame([(i, i % 7) for i in range(7, 700)], "a long, b long").repartition(8).checkpoint()
+    context.setJobGroup(group, group)
+    try:
+        got = components.components(edges)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    assert sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info) <= 20
+    assert {r["id"]: r["component"] for r in got.collect()} == {i: i % 7 for i in range(700)}
+
+
 def test_toxicity_learns_and_defines_odd_texts(spark):
     rng = np.random.default_rng(4)
     texts, labels = [], []

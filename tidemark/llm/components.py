@@ -8,19 +8,19 @@ from ..session import checkpointed
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component for every id in `edges` (a, b); a component is called after its smallest id. Edges are rewired until each id
-    points at its component; no node's edges are gathered in one place."""
+    points at its component; no node's edges are gathered in one place. A round stores its edges twice and stops after the first
+    step where that moved none and no id has two edges; jobs and tasks, of which the driver keeps records, are few."""
     now = checkpointed(_downward(edges))
-    state = _state(now)
     while True:
-        both = now.union(now.select(F.col("b"), F.col("a"))).toDF("a", "b")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = checkpointed(_downward(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))))
-        before, state = state, _state(now)
-        if before == state:
+        # large-star: an edge leads on to the smallest neighbour of its lower end
+        onward = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = checkpointed(now.join(onward, "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")))
+        if not large.where("moved").take(1) and not now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
             break
+        # small-star: an id and its lower neighbours get an edge to the smallest of these
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        rewired = F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in ("a", "b"))))
+        now = checkpointed(_downward(large.join(least, "a").select(rewired)))
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
@@ -28,8 +28,3 @@ def components(edges: DataFrame) -> DataFrame:
 def _downward(edges: DataFrame) -> DataFrame:
     a, b = F.greatest("a", "b"), F.least("a", "b")
     return edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)

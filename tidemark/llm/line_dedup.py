@@ -71,7 +71,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
             found.append(_ranked(level, least - depth)[1].withColumn("depth", F.lit(least)))
         level, later = _ranked(level, depth)
         depth *= 2
-        if level.isEmpty():
+        if not level.take(1):
             break
         if depth >= least:
             found.append(later.withColumn("depth", F.lit(depth)))
