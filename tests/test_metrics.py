@@ -366,3 +366,16 @@ def test_running_average_shuffles_vectors_as_stored(spark):
     for k in (1, 3, 4):
         q = .8 * np.array([k / 3, 1.1], "float32").astype(float) + (1 - .8) * q
     assert np.allclose(out.first()["ema"], q, rtol=1e-12)
+
+
+def test_predictions_are_checked_in_one_aggregation(spark):
+    both = "array(CAST(0 AS float)) AS verb_output, array(CAST(0 AS float)) AS noun_output"
+    pred = spark.sql(f"SELECT id AS narration_id, {both} FROM VALUES ('a'), ('b'), ('b'), ('x'), (' '), (CAST(NULL AS string)), (NULL) AS t(id)")
+    ids = spark.sql("SELECT id AS narration_id FROM VALUES ('a'), ('b'), ('c'), ('c'), (CAST(NULL AS string)) AS t(id)")
+    found = C.check_predictions(pred, ids, 1, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [") == 1  # one hash table a task
+    want = [("missing_prediction", "c", ""), ("missing_prediction", None, ""), ("unexpected_prediction", "x", ""), ("unexpected_prediction", " ", ""),
+            ("unexpected_prediction", None, ""), ("duplicate_prediction", "b", "count 2"), ("duplicate_prediction", " ", "count 1"),
+            ("duplicate_prediction", None, "count 2"), ("duplicate_expected_id", "c", "count 2"), ("duplicate_expected_id", None, "count 1")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)

@@ -145,14 +145,15 @@ def check_predictions(pred: DataFrame, ids: DataFrame, num_verbs: int = 97, num_
         return ((F.size(v) == count) & all_finite(v) & F.forall(v, lambda x: F.abs(x) <= limit))
 
     rules = {"bad_verb_output": ~fits("verb_output", num_verbs), "bad_noun_output": ~fits("noun_output", num_nouns)}
-    expected = ids.select("narration_id").withColumn("_expected", F.lit(True))
-    j = (pred.select("narration_id").withColumn("_given", F.lit(True)).distinct()
-         .join(expected.distinct(), "narration_id", "full_outer"))
-    coverage = failing(j, "narration_id", {"missing_prediction": F.col("_given").isNull(),
-                                           "unexpected_prediction": F.col("_expected").isNull()})
-    return (failing(pred, "narration_id", rules).unionByName(coverage)
-            .unionByName(check_unique(pred, "narration_id", "duplicate_prediction"))
-            .unionByName(check_unique(ids, "narration_id", "duplicate_expected_id")))
+    # one aggregation counts both sides of every id; an id that is null matches none
+    given, wanted = (df.select(F.col("narration_id").alias("key"), F.lit(1).alias(side)) for df, side in ((pred, "given"), (ids, "expected")))
+    found = given.unionByName(wanted, allowMissingColumns=True).groupBy("key").agg(F.count("given").alias("given"), F.count("expected").alias("expected"))
+    no_key, is_given, is_expected = F.col("key").isNull(), F.col("given") > 0, F.col("expected") > 0
+    empty = no_key | (F.trim(F.col("key").cast("string")) == "")
+    coverage = {"missing_prediction": is_expected & (no_key | ~is_given), "unexpected_prediction": is_given & (no_key | ~is_expected),
+                "duplicate_prediction": is_given & (empty | (F.col("given") > 1)), "duplicate_expected_id": is_expected & (empty | (F.col("expected") > 1))}
+    detail = {"duplicate_prediction": F.concat(F.lit("count "), "given"), "duplicate_expected_id": F.concat(F.lit("count "), "expected")}
+    return failing(pred, "narration_id", rules).unionByName(failing(found, "key", coverage, detail))
 
 
 def check_manifest(manifest: DataFrame, gap: float = 1.0, eps: float = EPS) -> DataFrame:
