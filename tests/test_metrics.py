@@ -379,3 +379,14 @@ def test_predictions_are_checked_in_one_aggregation(spark):
             ("unexpected_prediction", None, ""), ("duplicate_prediction", "b", "count 2"), ("duplicate_prediction", " ", "count 1"),
             ("duplicate_prediction", None, "count 2"), ("duplicate_expected_id", "c", "count 2"), ("duplicate_expected_id", None, "count 1")]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_attention_deals_steps_and_questions_without_vectors(spark):
+    import __spark_entry__ as entry_module
+    sent = exchanged(entry_module.queries()["v8_attention"](spark, "/root/testdata/sf0.1"))  # more events than vectors
+    assert any(key == "narration_id" for _, key in sent)
+    assert not [columns for columns, _ in sent if "embedding" in columns or "vector" in columns or re.search(r"\bq#", columns)]
+    steps = spark.sql("SELECT 'a' AS id, 1 AS k, true AS ok, CAST(array(1, 2) AS array<float>) AS v")
+    asked = spark.sql("SELECT explode(array('a', 'b')) AS id, CAST(array(3, 4) AS array<float>) AS q")
+    got = {r["id"]: (r["attended"], r["weights"]) for r in VX.attend(steps, "q", "v", "v", "ok", 2, "id", queries=asked).collect()}
+    assert got == {"a": ([1, 2], [[1], [1]]), "b": ([0, 0], [[], []])}

@@ -87,9 +87,17 @@ def _flat(array: pa.Array) -> np.ndarray:
 
 def attention(heads: int):
     """Arrow mapper over rows ``(id, q, steps: list<struct<k, ok, key, value>>)``: per row the attended
-    vector and one weight list per head. Rows may have different numbers of steps."""
+    vector and one weight list per head. Rows may have different numbers of steps; without any, the vector is zero and the lists are empty."""
     def run(batches):
         for batch in batches:
+            some = np.asarray(batch.column(2).value_lengths().fill_null(0)) > 0
+            if not some.all():
+                none = batch.filter(pa.array(~some))
+                ends = np.concatenate([[0], np.cumsum(none.column(1).value_lengths().fill_null(0))]).astype("int32")
+                vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.zeros(ends[-1])))
+                lists = pa.array([[[]] * heads] * none.num_rows, pa.list_(pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([none.column(0), vectors, lists], names=[batch.schema.names[0], "attended", "weights"])
+                batch = batch.filter(pa.array(some))
             if batch.num_rows == 0:
                 continue
             steps = batch.column(2)

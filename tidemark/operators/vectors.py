@@ -101,10 +101,7 @@ def attend(steps: DataFrame, query: str, key: str, value: str, valid: str, heads
         return steps.groupBy(by).agg(F.first(query).alias("q"), gathered).mapInArrow(attention(heads), schema)
     asked = queries.select(by, F.col(query).alias("q"))
     told = asked.join(steps.groupBy(by).agg(gathered), by, "left")
-    zeros = F.transform("q", lambda x: F.lit(0.0)).alias("attended")
-    none = F.array_repeat(F.array().cast("array<double>"), heads).alias("weights")
-    return (told.where("steps IS NOT NULL").mapInArrow(attention(heads), schema)
-            .unionByName(told.where("steps IS NULL").select(by, zeros, none)))
+    return told.mapInArrow(attention(heads), schema)
 
 
 def gate_fuse(df: DataFrame, branches: Sequence[str], scores: str, available: str) -> DataFrame:
