@@ -432,7 +432,7 @@ def test_attention_by_ids_meets_every_vector_in_any_number_of_blocks(spark):
                 w = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
                 out[part], top[h] = sum(x * v[part] for x, (_, v) in zip(w, met)), w.max()
         want[e] = [*out, *top]
-    for options in ({}, {"block": 9}, {"block": 9, "most": 9 << 20}, {"block": 3, "most_blocks": 2}):
+    for options in ({}, {"block": 9, "most": 9 << 20}, {"block": 9, "most": 40 << 20}, {"block": 3}):  # one block, five twice, joins
         for entries in (None, [0, 7]):
             rows = attend_rows(df, vectors, 2, "e", entries, **options).collect()
             assert len(rows) == len(want)

@@ -14,29 +14,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK, TILE, CHUNK = 1 << 16, 1 << 20, 1 << 15
-#: Each vector travels twice per block, so with more blocks than this the vectors join the steps one by one.
-MOST_BLOCKS = 8
+#: A vector weighs about as much as so many asks.
+WEIGHT = 10
 PARTS = "top array<double>, total array<double>, sums array<double>, width int"
 
 
 def attend_rows(asks: DataFrame, vectors: DataFrame, heads: int = 1, by: str = "narration_id", entries: Sequence[int] | None = None,
-                most: int = 0, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+                most: int | None = None, block: int = BLOCK) -> DataFrame:
     """Per event the ``attended`` vector and ``top_weight``, the largest weight of each head: as ``attend``, for asks ``(by, query_id, step_id)``
     that name vectors ``(id, vector)``. A null or unknown step is none, an unknown query has no scores; an event without scores has zeros.
 
-    ``entries`` (default: all) says which entries of the attended vector are wanted; scores take whole vectors. Vectors are counted at once;
-    ``most`` is a bound on the number of asks, by which there are more tiles than shuffle partitions."""
+    ``entries`` (default: all) says which entries of the attended vector are wanted; scores take whole vectors. Vectors are counted at once, asks
+    too unless ``most`` bounds their number. There are as many tiles as shuffle partitions, fewer where vectors would weigh more than asks, more
+    where a tile would hold over a million asks. Where the vectors are so many that tiles take more copies of them than there are asks, they join
+    the asks one by one instead."""
     stored = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", F.col("vector").alias("stored"))
-    blocks = max(1, math.ceil(vectors.count() / block))
+    n = vectors.count()
+    most = asks.count() if most is None else most
+    blocks = max(1, math.ceil(n / block))
+    tiles = min(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // (WEIGHT * max(1, n)))
+    shares = math.ceil(max(1, tiles, math.ceil(most / TILE)) / blocks ** 2)
     schema = f"{by} {dict(asks.dtypes)[by]}, "
-    if blocks > most_blocks:
+    if n * shares * (2 * blocks - 1) > most:
         for name in ("step_id", "query_id"):
             asks = asks.join(stored.select(F.col("id").alias(name), F.col("stored").alias(f"_{name}")), name, "left")
         parts = asks.select(by, "_query_id", "_step_id").mapInArrow(scored_steps(by, heads, entries), schema + PARTS)
     else:
-        tiles = max(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / TILE))
-        shares = math.ceil(tiles / blocks ** 2)
-
         def dealt(column: str, n: int):
             return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
